@@ -30,10 +30,10 @@ def context_score(blocks: DataFrame, query: str = "query", text: str = "text", s
     spelled = F.array_distinct(F.flatten(F.transform(T.amounts(q), T.money_terms)))
     hits = lambda terms: F.size(F.filter(terms, lambda x: F.contains(F.col("t_"), x)))
     pair = lambda p: F.when(T.contains_any(F.col("q_"), p[0]) & T.contains_any(F.col("t_"), p[1]), policy.co_occurrence_points).otherwise(0)
-    df = blocks.withColumns({"q_": q, "t_": t, "terms_": T.query_terms(q), "money_": spelled})
+    df = T.evaluated(blocks, {"q_": q, "t_": t, "terms_": T.query_terms(q), "money_": spelled})
     score = source_priority(F.col(source), F.col("q_"), policy) + 3 * hits("terms_") + 12 * hits("money_") + 10 * T.count_terms(F.col("t_"), config.RULE_TERMS)
     score = reduce(lambda a, p: a + pair(p), policy.co_occurrence, score)
-    return df.withColumn("score", score).where("score <> 0").drop("q_", "t_", "terms_", "money_")
+    return T.evaluated(df, {"score": score}).where("score <> 0").drop("q_", "t_", "terms_", "money_")
 
 
 def diverse_top(scored: DataFrame, query_id: str, source: str, index: str, k: int = MAX_BLOCKS) -> DataFrame:
@@ -57,8 +57,8 @@ def evidence_scores(items: DataFrame, terms: Column, ceiling: Column, expected_s
     """``items`` with priority and criteria; items without any are left out. ``terms``: transaction terms (array)."""
     s = T.normalized(F.col(snippet))
     rule = F.array(*[F.lit(t) for t in config.RULE_TERMS])
-    df = items.withColumns({"s_": s, "fact_terms": terms, "ceiling_terms": T.money_terms(ceiling)})
-    df = df.withColumns({"matched_transaction": T.matched_terms(F.col("s_"), F.col("fact_terms")), "matched_rule": T.matched_terms(F.col("s_"), rule), "matched_ceiling": T.matched_terms(F.col("s_"), F.col("ceiling_terms"))})
+    df = T.evaluated(items, {"s_": s, "fact_terms": terms, "ceiling_terms": T.money_terms(ceiling)})
+    df = T.evaluated(df, {"matched_transaction": T.matched_terms(F.col("s_"), F.col("fact_terms")), "matched_rule": T.matched_terms(F.col("s_"), rule), "matched_ceiling": T.matched_terms(F.col("s_"), F.col("ceiling_terms"))})
     has = lambda c: F.size(c) > 0
     tests = {
         "direct_threshold_rule_match": has("matched_ceiling") & has("matched_transaction") & has("matched_rule"),
@@ -70,7 +70,7 @@ def evidence_scores(items: DataFrame, terms: Column, ceiling: Column, expected_s
     points = reduce(lambda a, kv: a + F.when(kv[1], config.EVIDENCE_WEIGHTS[kv[0]]).otherwise(0), tests.items(), F.lit(0))
     criteria = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in tests.items()]))
     slim = {c: F.slice(c, 1, 8) for c in ("matched_transaction", "matched_rule")}
-    return df.withColumns({"priority": points, "criteria": criteria}).where("priority > 0").withColumns(slim).drop("s_", "fact_terms", "ceiling_terms")
+    return T.evaluated(df, {"priority": points, "criteria": criteria}).where("priority > 0").withColumns(slim).drop("s_", "fact_terms", "ceiling_terms")
 
 
 def select_evidence(scored: DataFrame, request: str, index: str, k: int = MAX_EVIDENCE) -> DataFrame:

@@ -42,31 +42,47 @@ def postings(docs: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term is not null").groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _vocabulary(docs: DataFrame) -> DataFrame:
+    """(term, df, n0, dl0): document frequencies; n0 and dl0 count each document and its length under its first term, or under null."""
+    t = T.evaluated(docs, {"w": T.words(F.coalesce("text", F.lit("")))})
+    t = t.select(F.size("w").alias("dl"), F.posexplode_outer(F.array_distinct("w")).alias("pos", "term"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if(first).alias("n0"), F.sum(F.when(first, F.col("dl")).otherwise(0)).alias("dl0"))
+
+
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: n documents, avgdl."""
-    return docs.select(F.size(T.words(F.coalesce("text", F.lit("")))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return _vocabulary(docs).agg(F.sum("n0").alias("n"), (F.sum("dl0") / F.sum("n0")).alias("avgdl"))
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
-    """(term, df, idf) over the whole corpus; negative idf becomes EPSILON times the mean idf of all terms."""
-    distinct = docs.select(F.explode_outer(F.array_distinct(T.words(F.coalesce("text", F.lit(""))))).alias("term")).where("term is not null")
-    df = distinct.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    raw = df.join(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    """(term, df, idf) over the whole corpus; negative idf becomes EPSILON times the mean idf of all terms.
+
+    The corpus is tokenised once: its size is summed from the vocabulary, and Spark reuses the exchange.
+    """
+    v = _vocabulary(docs)
+    raw = v.where("term is not null").join(F.broadcast(v.agg(F.sum("n0").alias("n"))))
+    raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 10) -> DataFrame:
-    """Best documents for each (query_id, query); a term that a query repeats counts as often. Scores of 0 are left out."""
+    """Best documents for each (query_id, query); a term that a query repeats counts as often. Scores of 0 are left out.
+
+    Postings of asked terms are dealt by document once; counting terms and summing scores both
+    happen there, so that pairs of query and document are never shuffled before the top ``k``.
+    """
     asked = queries.select("query_id", F.explode(T.words(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = small(asked.select("term").distinct())
+    n_terms = asked.select("term").distinct().limit(BROADCAST_TERMS + 1).count()
+    fits = F.broadcast if n_terms <= BROADCAST_TERMS else lambda df: df  # statistics of asked terms are as many as these
+    wanted = fits(asked.select("term").distinct())
     stats = term_stats(docs).join(wanted, "term", "left_semi")
-    # only postings of asked terms are grouped and shuffled; their document lengths are those of whole texts
-    tokens = docs.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w"))
-    hits = tokens.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term is not null").join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = T.evaluated(docs.select("doc_id", "text"), {"w": T.words(F.coalesce("text", F.lit("")))})
+    hits = tokens.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term is not null").join(wanted, "term", "left_semi")
+    hits = hits.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = hits.join(F.broadcast(corpus_stats(docs))).join(small(stats), "term").select("doc_id", "term", (F.col("idf") * weight).alias("w"))
+    weighted = hits.join(F.broadcast(corpus_stats(docs))).join(fits(stats), "term").select("doc_id", "term", (F.col("idf") * weight).alias("w"))
     scores = weighted.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("score"))
     return ranked(scores.where("score > 0"), k)
 

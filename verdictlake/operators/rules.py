@@ -15,22 +15,21 @@ def request_facts(requests: DataFrame, query: str = "query", policy: Policy = PO
 
     The first number of the text is the transaction value, 0 if there is none; the ceiling is the policy's.
     """
-    q = F.coalesce(F.col(query), F.lit(""))
-    low = T.normalized(q)
+    df = T.evaluated(requests, {"q_": F.coalesce(F.col(query), F.lit(""))})
+    df = T.evaluated(df, {"low_": T.normalized(F.col("q_"))})
+    q, low = F.col("q_"), F.col("low_")
     kind = T.first_route(low, config.TYPE_ROUTES, config.DEFAULT_TYPE)
-    return requests.withColumns(
-        {
-            "transaction_value": F.coalesce(F.get(T.amounts(q), 0), F.lit(0.0)),
-            "allowed_ceiling": F.lit(policy.ceiling),
-            "source_doc": T.first_route(low, config.SOURCE_ROUTES, config.DEFAULT_SOURCE),
-            "transaction_type": kind,
-            "origin_entity": T.origin(q, policy.origin_prefix, policy.default_origin),
-            "destination": T.destination(q),
-            "jurisdiction": F.when(T.contains_any(low, config.CROSS_BORDER), policy.home_jurisdiction).otherwise("Unspecified jurisdiction"),
-            "payment_purpose": kind,
-            "currency": T.currency(q, policy.currency),
-        }
-    )
+    facts = {
+        "transaction_value": F.coalesce(F.get(T.amounts(q), 0), F.lit(0.0)),
+        "allowed_ceiling": F.lit(policy.ceiling),
+        "source_doc": T.first_route(low, config.SOURCE_ROUTES, config.DEFAULT_SOURCE),
+        "transaction_type": kind,
+        "origin_entity": T.origin(q, policy.origin_prefix, policy.default_origin),
+        "destination": T.destination(q),
+        "jurisdiction": F.when(T.contains_any(low, config.CROSS_BORDER), policy.home_jurisdiction).otherwise("Unspecified jurisdiction"),
+        "currency": T.currency(q, policy.currency),
+    }
+    return T.evaluated(df, facts).withColumn("payment_purpose", F.col("transaction_type")).drop("q_", "low_")
 
 
 def scenario(query: Column) -> Column:
@@ -52,8 +51,8 @@ def audit_checks(facts: DataFrame, query: str = "query", policy: Policy = POLICY
 
     ``rules`` names an array column of applicable rules; without it one rule is taken to apply.
     """
-    df = facts.withColumn("scenario", scenario(F.col(query)))
-    df = df.withColumn("max_share", F.coalesce(F.array_max(T.percents(F.col("scenario"))), F.lit(0.0))).withColumn("cumulative", T.money_after(F.col("scenario"), policy.cumulative_anchors))
+    df = T.evaluated(facts, {"scenario": scenario(F.col(query))})
+    df = T.evaluated(df, {"max_share": F.coalesce(F.array_max(T.percents(F.col("scenario"))), F.lit(0.0)), "cumulative": T.money_after(F.col("scenario"), policy.cumulative_anchors)})
     s, value, ceiling = F.col("scenario"), F.col("transaction_value"), F.col("allowed_ceiling")
     has = lambda terms: T.contains_any(s, terms)
     known = F.coalesce(F.col("source_doc"), F.lit("")).isin("", "N/A")
@@ -74,7 +73,7 @@ def audit_checks(facts: DataFrame, query: str = "query", policy: Policy = POLICY
         F.when(F.col("cumulative") != 0, _check("Cumulative Quarterly Exposure", F.concat(T.money(total, unit), F.lit(" including current transaction")), _verdict(total > policy.cumulative_limit, "FAIL", "PASS"), total - policy.cumulative_limit)),
         F.when(crypto, _check("Digital Asset Beneficiary Verification", F.col("destination"), F.lit("REVIEW"))),
     ]
-    return df.withColumn("checks", F.filter(F.array(*checks), lambda c: c.isNotNull()))
+    return T.evaluated(df, {"checks": F.array_compact(F.array(*checks))})
 
 
 def status_of(checks: Column) -> Column:
