@@ -92,14 +92,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", blo
 
     Of equal texts the row with the most code points in the original text stays, then the
     smallest id (null ids come last). Result, one row per input row: the id, keep_id,
-    group_size, kept, text_sha256. Null text counts as empty. Rows that repeat an id and a
+    group_size, kept, text_sha256, n_chars. Null text counts as empty. Rows that repeat an id and a
     text are all reported; each of them is ``kept`` if its id is the kept one and it has as many
     code points. Other columns of the input, whatever their names, do not matter.
     """
     named = document_names(docs.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text}`").alias("t")), "t", block_bytes, fingerprint)
     named = written(named.select(F.col("row_.id_").alias("id_"), "n_chars_", "text_sha256", "level", "name"), "names")
     best = F.min(F.struct((-F.col("n_chars_")).alias("c"), F.col("id_").isNull().alias("z"), F.col("id_").alias("i")))
-    groups = named.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join's sides are plain exchanges and a hot name's rows can be split
+    groups = written(named.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     out = named.join(groups, ["level", "name"])
     kept = F.col("id_").eqNullSafe(F.col("best.i")) & (F.col("n_chars_") == -F.col("best.c"))
-    return out.select(F.col("id_").alias(id_col), F.col("best.i").alias("keep_id"), F.col("group_size"), kept.alias("kept"), "text_sha256")
+    return out.select(F.col("id_").alias(id_col), F.col("best.i").alias("keep_id"), F.col("group_size"), kept.alias("kept"), "text_sha256", F.col("n_chars_").alias("n_chars"))

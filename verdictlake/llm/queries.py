@@ -95,5 +95,5 @@ ORACLE_SQL = {
     "op1_exact_dedup": f"""
         with n as (select doc_id, length(coalesce(text, '')) as chars, {_TEXT_KEY} as t from documents),
         r as (select *, first_value(doc_id) over (partition by t order by chars desc, doc_id) as keep_id, count(*) over (partition by t) as group_size from n)
-        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from r""",
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256, chars as n_chars from r""",
 }
