@@ -12,20 +12,20 @@ The windows of a buffer that stay the least full are emptied into the gaps of th
 
 from __future__ import annotations
 
+import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textops import batches
-from .tokens import Encoder
+from .tokens import encoder as shared_encoder
 
 WINDOW = 2048
 #: Tokens that a task holds before it packs them: 16M are 32 MB.
 BUFFER_TOKENS = 16_000_000
-SCHEMA = "id_ {id_type}, start long, length long, ids binary, id_bytes int, doc_tokens long, sequence_id long, offset long, window_tokens long"
+SCHEMA = "id_ {id_type}, start long, length long, ids binary, id_bytes int, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_tokens long"
 
 
 class CapacityTree:
@@ -105,7 +105,7 @@ def pack(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int,
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 1, vocabulary: str | None = None, buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
-    """One row per piece: id, start, length, ids (little-endian, id_bytes each), doc_tokens, sequence_id, offset, window_tokens.
+    """One row per piece: id, start, length, ids (little-endian, id_bytes each), ids_crc32 (of the ids as unsigned 32-bit integers), doc_tokens, sequence_id, offset, window_tokens.
 
     A document is its ids plus ``end_id``; start counts its ids before the piece, offset those before
     it in its sequence, window_tokens those that the sequence holds in all. Null text counts as empty (one piece, the end id); a null id stays null;
@@ -117,7 +117,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def run(rows):
         from pyspark import TaskContext
 
-        encoder = Encoder(vocabulary)
+        encoder = shared_encoder(vocabulary)
         task = TaskContext.get().partitionId() << 32
         serial, held, tokens = 0, [], 0
         arrow_id = None
@@ -144,14 +144,14 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 part = out[at : at + 4096]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in part], arrow_id), *(pa.array([f(x) for x in part], t) for f, t in (
-                        (lambda x: x[1], pa.int64()), (lambda x: len(x[2]), pa.int64()), (lambda x: x[2].tobytes(), pa.binary()), (lambda x: x[2].itemsize, pa.int32()),
+                        (lambda x: x[1], pa.int64()), (lambda x: len(x[2]), pa.int64()), (lambda x: x[2].tobytes(), pa.binary()), (lambda x: x[2].itemsize, pa.int32()), (lambda x: zlib.crc32(x[2].astype("<u4")), pa.int64()),
                         (lambda x: x[3], pa.int64()), (lambda x: x[4], pa.int64()), (lambda x: x[5], pa.int64()), (lambda x: x[6], pa.int64())))],
-                    ["id_", "start", "length", "ids", "id_bytes", "doc_tokens", "sequence_id", "offset", "window_tokens"],
+                    ["id_", "start", "length", "ids", "id_bytes", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_tokens"],
                 )
 
         for whole in rows:
             arrow_id = whole.schema.field("id_").type
-            for batch in batches(whole, "t_"):
+            for batch in batches(whole, "t_", 1 << 20):
                 for doc, ids in zip(batch.column("id_").to_pylist(), encoder.encode([t or "" for t in batch.column("t_").to_pylist()]), strict=True):
                     ids = np.append(ids, ids.dtype.type(end_id))
                     held.append((doc, ids))
@@ -164,14 +164,3 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     out = source.mapInArrow(run, SCHEMA.format(id_type=id_type.simpleString()))
     return out.withColumnRenamed("id_", id_col)
-
-
-def ids_crc32(ids: str = "ids", width: str = "id_bytes"):
-    """Column: unsigned crc32 of ids as little-endian unsigned 32-bit integers, whatever their stored width."""
-    import zlib
-
-    @F.pandas_udf("long")
-    def crc(raw: pd.Series, width: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.frombuffer(r, f"<u{w}").astype("<u4").tobytes()) for r, w in zip(raw, width, strict=True)], dtype="int64")
-
-    return crc(F.col(ids), F.col(width))

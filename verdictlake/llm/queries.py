@@ -6,7 +6,6 @@ from the operators' own output (texts, spans, files).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,18 +22,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", packing.ids_crc32().alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import zlib
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(zlib.crc32).astype("int64")
-
     manifest = tokenfile.write_tokens(table(spark, sf_dir, "documents"))
-    return tokenfile.read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return tokenfile.read_tokens(spark, manifest, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

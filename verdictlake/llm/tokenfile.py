@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .scratch import filesystem, new_path, written
 from .textops import batches
-from .tokens import Encoder
+from .tokens import encoder as shared_encoder
 
 MAGIC = b"DACTOK01"
 LINE = 512
@@ -123,7 +124,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     def run(batches_in):
         from pyspark import TaskContext
 
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
+        encoder, part = shared_encoder(vocabulary), TaskContext.get().partitionId()
         fs, folder = filesystem(path)
         fs.create_dir(folder, recursive=True)
         held, ids, tokens, serial = [], [], 0, 0
@@ -139,7 +140,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
             return row
 
         for whole in batches_in:
-            for batch in batches(whole, "t"):
+            for batch in batches(whole, "t", 1 << 20):
                 for d, x in zip(batch.column("d").to_pylist(), encoder.encode([t or "" for t in batch.column("t").to_pylist()]), strict=True):
                     held.append(d)
                     ids.append(np.append(x, x.dtype.type(end_id)))
@@ -156,8 +157,12 @@ def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
-def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """One row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit, little-endian)."""
+def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """One row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids.
+
+    ids are unsigned 32-bit little-endian integers and ids_crc32 is their unsigned CRC-32. Without
+    ``with_ids`` they are read and summed but not handed on (null).
+    """
 
     def run(rows):
         for listing in rows:
@@ -169,9 +174,12 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 for at in range(0, len(file.ends), 2048):
                     a, b = begin[at : at + 2048], file.ends[at : at + 2048]
                     flat = file.tokens(int(a[0]), int(b[-1]))
+                    ids = [flat[x:y] for x, y in zip((a - a[0]).tolist(), (b - a[0]).tolist(), strict=True)]
+                    crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
+                    raw = pa.array([x.tobytes() for x in ids], pa.binary()) if with_ids else pa.nulls(len(ids), pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(file.doc_ids[at : at + 2048], pa.int64()), pa.array(a + start), pa.array(b - a), pa.array([flat[x - a[0] : y - a[0]].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids"],
+                        [pa.array(file.doc_ids[at : at + 2048], pa.int64()), pa.array(a + start), pa.array(b - a), crc, raw],
+                        ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
 
-    return manifest.select("path", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return manifest.select("path", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -1,24 +1,27 @@
 """Token ids of the public byte-level vocabulary, by the ``tokenizers`` library.
 
-Text is cut where the library's own pre-tokeniser must cut too (before a single blank
-and around runs of white space); each distinct piece is encoded once and remembered, so
-that frequent words cost a dictionary lookup. Texts with characters whose class differs
-between regular-expression engines, or with the vocabulary's special string, are encoded whole.
+Text is cut at single blanks, where the library's own pre-tokeniser must cut too; each
+distinct piece is encoded once and remembered, so that frequent words cost a dictionary
+lookup. Texts with other white space around blanks, with characters whose class differs between
+regular-expression engines, or with the vocabulary's special string are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces remembered per worker; the rest is encoded anew each time, which bounds the memory.
-REMEMBERED = 600_000
-_PIECES = re.compile(r" ?[^\s]+|\s+(?![^\s])|\s")
-_BLANKS = set(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
-_WHOLE = re.compile("[\x1c-\x1f\x85᠎​﻿]|<\\|endoftext\\|>")
+#: Words remembered per worker; the rest is encoded anew each time, which bounds the memory.
+REMEMBERED = 1_000_000
+#: Where a cut at each blank would differ from the library's: blanks beside other white space.
+_WHOLE = re.compile("  |[\n\t\r\x0b\x0c] | [\n\t\r\x0b\x0c]|[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]|<\\|endoftext\\|>")
+#: Punctuation that may be cut off a word's end. Not the apostrophe, which begins contractions.
+_SUFFIX = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_WHOLE_ASCII = ("  ", "\n ", " \n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|endoftext|>")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -29,12 +32,14 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class _Known(dict):
-    """Pieces to ids; ``extra`` has those of the present call that no longer fit."""
+    """Words to the ids of a blank and the word; a word that is not known is noted and stands for itself."""
 
-    extra: dict[str, bytes] = {}
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        return self.extra[piece]
+    def __missing__(self, word: str) -> str:
+        self.new[word] = b""
+        return word
 
 
 class Encoder:
@@ -57,42 +62,79 @@ class Encoder:
         self.remembered = remembered
         self.tokenizer.model._resize_cache(0)  # every piece is asked for once
         self.known = _Known()
-
-    def _learn(self, pieces: list[str]) -> None:
-        self.known.extra = {}
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            kept = self.known if len(self.known) < self.remembered else self.known.extra
+        self.tails: dict[str, bytes] = {}
+
+    def _learn(self) -> None:
+        """Encodes the words that were noted.
+
+        Where a letter meets ASCII punctuation that ends the word, the pre-tokeniser cuts too: only what stands before it is encoded.
+        """
+        known, new = self.known, self.known.new
+        split, plain = [], {}
+        for word in new:
+            stem = word.rstrip(_SUFFIX)
+            if len(stem) < len(word) and stem and stem[-1] < "\u0250" and stem[-1].isalpha():
+                split.append((word, stem))
+                if stem not in known and stem not in new:
+                    plain[stem] = b""
+            else:
+                plain[word] = b""
+        words = list(plain)
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
             # Words that begin with their own blank cannot touch each other: one call takes them all,
             # and the bytes that each id stands for tell where a word ends.
-            chain = [p for p in part if len(p) > 1 and p[0] == " " and p[1] not in _BLANKS]
-            ids = np.array(self._whole("".join(chain)), self.dtype)
+            ids = np.array(self._whole("".join([" " + w for w in part])), self.dtype)
             ends = np.cumsum(self.widths[ids])
-            stops = np.cumsum([len(p.encode()) for p in chain])
+            stops = np.cumsum([len(w.encode()) + 1 for w in part])
             cuts = np.searchsorted(ends, stops)
-            if not len(chain) or (len(ends) and ends[-1] == stops[-1] and (ends[cuts] == stops).all()):
+            if ends[-1] == stops[-1] and (ends[cuts] == stops).all():
                 raw, size, low = ids.tobytes(), self.dtype.itemsize, 0
-                for piece, high in zip(chain, ((cuts + 1) * size).tolist(), strict=True):
-                    kept[piece] = raw[low:high]
+                for word, high in zip(part, ((cuts + 1) * size).tolist(), strict=True):
+                    plain[word] = raw[low:high]
                     low = high
             else:
-                chain = []
-            if len(chain) < len(part):
-                rest = list(set(part).difference(chain))
-                for piece, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                    kept[piece] = np.array(coded.ids, self.dtype).tobytes()
+                for word, coded in zip(part, self.tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False), strict=True):
+                    plain[word] = np.array(coded.ids, self.dtype).tobytes()
+        new.update(plain)
+        for word, stem in split:
+            tail = word[len(stem) :]
+            if tail not in self.tails:
+                if len(self.tails) > 50_000:
+                    self.tails.clear()
+                self.tails[tail] = np.array(self._whole(tail), self.dtype).tobytes()
+            new[word] = (new[stem] if stem in new else known[stem]) + self.tails[tail]
+        if len(known) < self.remembered:
+            known.update(new)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text, without special tokens."""
-        cut = [None if _WHOLE.search(t) else _PIECES.findall(t) for t in texts]
-        self._learn(list(set().union(*(p for p in cut if p)).difference(self.known)))
-        get, out = self.known.__getitem__, []
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(np.array(self._whole(text), self.dtype))
+        get, new, rows = self.known.__getitem__, self.known.new, []
+        new.clear()
+        for text in texts:
+            if any(x in text for x in _WHOLE_ASCII) if text.isascii() else _WHOLE.search(text):
+                rows.append(text)
+            else:
+                words = text.split(" ")
+                rows.append((words[0], list(map(get, words[1:]))))
+        if new:
+            self._learn()
+        out = []
+        for row in rows:
+            if isinstance(row, str):
+                ids = np.array(self._whole(row), self.dtype)
             else:
-                out.append(np.frombuffer(b"".join(map(get, pieces)), self.dtype))
+                first, parts = row
+                head = np.array(self._whole(first), self.dtype).tobytes()
+                ids = np.frombuffer(head + b"".join([p if type(p) is bytes else new[p] for p in parts]), self.dtype)
+            out.append(ids)
         return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str | None = None) -> Encoder:
+    """The worker process's encoder: tasks that run in it later find the vocabulary loaded and its words known."""
+    return Encoder(path)
