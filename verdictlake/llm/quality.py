@@ -3,7 +3,7 @@
 Two Zstandard dictionaries are built, one from good and one from bad labelled texts. A text is
 compressed in blocks with either and with none; the difference of the two sizes, normalised by
 the plain size, says which kind it resembles, and a logistic calibration on labelled texts that
-built no dictionary turns this into a score. A block stands alone, so that a dictionary counts
+did not build the dictionaries turns this into a score. A block stands alone, so that a dictionary counts
 as much at the end of a long text as at its start. A text's own compressibility and length go
 into the calibration with it.
 """
@@ -54,7 +54,7 @@ def _expand(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x, *(x[:, i] * x[:, j] for i in range(k) for j in range(i, k))])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -76,33 +76,40 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:] or b"."
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """A model from (key, text, label) rows with label 0 or 1.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
+    """A model from (key, text) and (key, label) with label 0 or 1.
 
-    Of each class about ``fit_rows`` rows are taken, by a hash of key and text, and collected: half build
-    the dictionaries, half calibrate. Without both classes the score is the share of label 1.
+    Of each class about ``fit_rows`` labels are taken, by a hash of the key: this bounds what is broadcast to the
+    documents and what texts are collected, whatever the table's size. Two halves of them take
+    turns: dictionaries from one half describe the other, and the calibration learns from both.
+    Without both classes the score is the share of label 1.
     """
-    known = labelled.where("label in (0, 1)")
+    known = labels.where("label in (0, 1) and key is not null").select("key", "label")
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
     if len(counts) < 2:
         return {"constant": counts.get(1, 0) / total if total else 0.5}
-    share = F.when(F.col("label") == 1, min(1.0, fit_rows / counts[1])).otherwise(min(1.0, fit_rows / counts[0]))
-    mark = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30))
-    rows = known.where(mark / float(1 << 30) < share).select(mark.alias("m"), "label", F.coalesce("text", F.lit("")).alias("text")).collect()
+    rate = {k: min(1.0, fit_rows / counts[k]) for k in (0, 1)}
+    mark = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+    chosen = known.withColumn("m", mark).where(F.col("m") / float(1 << 30) < F.when(F.col("label") == 1, rate[1]).otherwise(rate[0]))
+    rows = docs.select("key", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "key").select("m", "label", "text").collect()
     rows = sorted(((r.m, r.label, r.text.encode()) for r in rows), key=lambda r: (r[0], r[1], r[2]))
-    build = {k: [t for n, (_, y, t) in enumerate(rows) if n % 2 == 0 and y == k] for k in (0, 1)}
-    dictionaries = [b"", _dictionary(build[1]), _dictionary(build[0])]
-    compressors = _compressors(dictionaries)
-    held = [r for n, r in enumerate(rows) if n % 2 == 1] or rows
-    x = np.stack([features(t, compressors) for _, _, t in held])
-    y = np.array([k for _, k, _ in held], float)
+    if len({y for _, y, _ in rows}) < 2:
+        return {"constant": sum(y for _, y, _ in rows) / len(rows) if rows else 0.5}
+    halves = [[r for k in (0, 1) for r in [r for r in rows if r[1] == k][h::2]] for h in (0, 1)]
+    x, y, kept = [], [], None
+    for h in (0, 1):
+        dictionaries = [b"", *(_dictionary([t for _, label, t in halves[h] if label == k]) for k in (1, 0))]
+        kept = kept or dictionaries
+        compressors = _compressors(dictionaries)
+        x += [features(t, compressors) for _, _, t in halves[1 - h]]
+        y += [label for _, label, _ in halves[1 - h]]
+    x, y = np.stack(x), np.array(y, float)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = _logistic(_expand((x - mean) / scale), y)
     # classes were sampled at their own rates: the intercept goes back to the true odds
-    rate = {k: min(1.0, fit_rows / counts[k]) for k in (0, 1)}
     w[0] -= np.log(rate[1] / rate[0])
-    return {"dictionaries": dictionaries, "mean": mean, "scale": scale, "w": w, "low": x.min(axis=0), "high": x.max(axis=0)}
+    return {"dictionaries": kept, "mean": mean, "scale": scale, "w": w, "low": x.min(axis=0), "high": x.max(axis=0)}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

@@ -38,8 +38,7 @@ def quality_model(spark: SparkSession, sf_dir: str) -> dict:
     """Learnt from labelled documents whose crc32(doc_id as text) mod 5 is not 0."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null").where(~langid.in_fold("doc_id", 5, 0))
-    learn = documents.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
-    return quality.fit(learn.select(F.col("doc_id").alias("key"), "text", "label"))
+    return quality.fit(documents.withColumnRenamed("doc_id", "key"), labels.select(F.col("doc_id").alias("key"), F.col("quality").alias("label")))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
