@@ -221,13 +221,14 @@ def _case(tree, f: Column) -> Column:
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with two more columns, base_spans and added_spans: arrays of (s, o, e, kind), by start, then kind as listed.
 
-    Offsets count code points, the end is exclusive. Null text counts as empty. The columns that
-    work is done in begin with ``pii_``; a column of ``docs`` that has such a name is kept and must not be one of them.
+    Offsets count code points, the end is exclusive. Null text counts as empty. Other columns stay,
+    whatever their names; only those of the two new names are replaced.
     """
     trees, cuts = fit_trees()
     span = lambda kind: lambda c: F.struct(c["s"].alias("s"), F.lit(KINDS.index(kind)).alias("o"), c["e"].alias("e"), F.lit(kind).alias("kind"))
     t = F.col("pii_text")
-    df = docs.withColumn("pii_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    columns = [c for c in docs.columns if c not in ("base_spans", "added_spans")]
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("pii_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("pii_text"))
     df = df.withColumns({f"pii_{k}": _matches(t, BASE[k], _GUARD[k]) for k in KINDS} | {f"pii_more_{k}": _matches(t, GENERATORS[k], _GENERATOR_GUARD[k]) for k in KINDS})
     base = F.concat(*[F.transform(F.filter(f"pii_{k}", _is_valid(k)), span(k)) for k in KINDS])
     df = df.withColumn("base_spans", F.array_sort(base))
@@ -248,7 +249,7 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     beaten = lambda c: F.exists("pii_scored", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]) & ((b["z"] > c["z"]) | ((b["z"] == c["z"]) & ((b["s"] < c["s"]) | ((b["s"] == c["s"]) & (b["o"] < c["o"]))))))
     plain = F.transform(F.filter("pii_scored", lambda c: ~beaten(c)), lambda c: F.struct(c["s"].alias("s"), c["o"].alias("o"), c["e"].alias("e"), c["kind"].alias("kind")))
     df = df.withColumn("added_spans", F.array_sort(plain))
-    return df.drop("pii_text", "pii_scored", *[f"pii_{k}" for k in KINDS], *[f"pii_more_{k}" for k in KINDS])
+    return df.select("pii_row.*", "base_spans", "added_spans")
 
 
 def spans_text(spans: Column) -> Column:
