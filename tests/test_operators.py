@@ -153,3 +153,38 @@ def test_stream_equals_batch(spark, tmp_path):
     q = ingest.deduplicated(read().union(read())).writeStream.format("memory").queryName("once").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == 40
+
+
+def test_page_regions_keep_most_of_a_page(spark):
+    pages = spark.createDataFrame([("f", p, 100.0) for p in range(5)], "file string, page int, height double")
+    lines = spark.createDataFrame([("f", p, 0.0, 4.0, f"Page {p}") for p in range(5)] + [("f", 0, 95.0, 99.0, "once"), ("f", 1, 95.0, 99.0, "Section 1")] + [("f", p, 92.0, 97.0, "Section 4") for p in range(5)], "file string, page int, y0 double, y1 double, text string")
+    assert {(r.top, r.bottom) for r in chunking.page_regions(lines, pages).collect()} == {(6.0, 100.0)}
+    tall = lines.where("text like 'Page%'").withColumn("y1", F.lit(9.0))
+    assert {(r.top, r.bottom) for r in chunking.page_regions(tall, pages, least_height=0.95).collect()} == {(0.0, 100.0)}
+
+
+def test_row_range(spark):
+    assert [r.id for r in workflow.row_range(spark.range(20), "id", 5, 8).collect()] == [5, 6, 7]
+
+
+def test_scan_files(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    (tmp_path / "b.bin").write_bytes(b"abc")
+    assert {r.document_id for r in tables.scan_files(spark, str(tmp_path)).collect()} == {"doc_ba7816bf8f01cfea"}
+
+
+def test_expiry_and_resume(spark):
+    df = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-01 00:11:00",)], "t string").withColumn("t", F.to_timestamp("t"))
+    assert [r.x for r in df.select(workflow.expired(F.col("t"), F.to_timestamp(F.lit("2024-01-01 00:13:00")), 12).alias("x")).collect()] == [True, False]
+    work, done = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, True), (2, False)], "k int, success boolean")
+    assert [r.k for r in workflow.remaining(work, done, "k").collect()] == [2]
+
+
+def test_messages_are_never_dropped(spark):
+    m = spark.createDataFrame([("1", '{"event_id":"e","event_type":"document.parsed","document_id":"1","retry_count":0}'), ("2", "{broken"), ("3", None), ("4", '{"event_type":"x","document_id":"4"}')], "key string, value string")
+    assert sorted((r.key, r.problem) for r in ingest.decoded(m).collect()) == [("1", None), ("2", "malformed"), ("3", "malformed"), ("4", "unsupported")]
+
+
+def test_citation_state(spark):
+    df = spark.createDataFrame([("a", ["a"], 0), ("b", ["a"], 0), ("b", ["a"], 1), (None, [], 1)], "s string, c array<string>, r int")
+    assert [r.x for r in df.select(rules.citation_state(F.col("s"), F.col("c"), F.col("r")).alias("x")).collect()] == ["complete", "retry", "breaker", "breaker"]

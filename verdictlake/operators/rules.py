@@ -132,3 +132,18 @@ def synchronized(checks: Column, source: Column) -> Column:
 def citation_state(source: Column, context_sources: Column, retries: Column) -> Column:
     """complete if the source is among the context's documents; else retry once, then the breaker trips."""
     return F.when(F.array_contains(context_sources, F.coalesce(source, F.lit("N/A"))), "complete").when(retries >= 1, "breaker").otherwise("retry")
+
+
+def cleaned_facts(facts: DataFrame, query: str = "query", destination: str = "destination", currency: str = "currency") -> DataFrame:
+    """Repairs facts that extraction confuses: a counterparty that is an amount or a currency is read from the text again; currencies are upper-case."""
+    again = T.destination(F.coalesce(F.col(query), F.lit("")))
+    return facts.withColumns({destination: F.when(T.currency_or_amount(F.col(destination)), again).otherwise(F.col(destination)), currency: F.upper(currency)})
+
+
+def reconciled(records: DataFrame, value: str, ceiling: str, status: str, unit: str = "USD") -> DataFrame:
+    """``records`` (amounts as text) with numbers, shown amounts and a status that asks for action where an amount is no number."""
+    number = lambda c: F.replace(F.replace(F.col(c), F.lit("$"), F.lit("")), F.lit(","), F.lit("")).try_cast("double")
+    df = T.evaluated(records, {"value_number": number(value), "ceiling_number": number(ceiling)})
+    known = F.col("value_number").isNotNull() & F.col("ceiling_number").isNotNull()
+    shown = lambda c: T.money(F.col(c), F.lit(unit))
+    return df.withColumns({"reported_status": F.when(known, F.col(status)).otherwise("ACTION_REQUIRED"), "value_shown": shown("value_number"), "ceiling_shown": shown("ceiling_number"), "variance_shown": T.money(F.col("value_number") - F.col("ceiling_number"), F.lit(unit))})

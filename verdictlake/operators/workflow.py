@@ -63,3 +63,25 @@ def fingerprint(*fields: tuple[str, Column]) -> Column:
     """SHA-256 of a JSON object with sorted keys; values are strings."""
     parts = [F.concat(F.lit(f'"{k}":"'), F.replace(F.replace(v.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) for k, v in sorted(fields, key=lambda f: f[0])]
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
+
+
+def merged(old: Column, new: Column) -> Column:
+    """Two maps as one; the new one's entries win."""
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
+def row_range(df: DataFrame, order: str, start: int, end: int) -> DataFrame:
+    """Rows start..end-1 in the given order: a limit, then the rest of it, so that only ``end`` rows per task are sorted."""
+    return df.orderBy(order).offset(start).limit(end - start)
+
+
+def new_assignments(requests: DataFrame, at: Column) -> DataFrame:
+    """Requests to assign a record as open assignments with an id of their content, so that a repeated request is the same assignment."""
+    keyed = F.left(F.sha2(F.concat_ws("|", "record_id", "assigned_by", "assigned_to"), 256), F.lit(16))
+    kind = F.coalesce(F.col("action_type"), F.lit("REQUEST_EVIDENCE")) if "action_type" in requests.columns else F.lit("REQUEST_EVIDENCE")
+    return requests.withColumns({"assignment_id": keyed, "action_type": kind, "status": F.lit("OPEN"), "created_at": at}).dropDuplicates(["assignment_id"])
+
+
+def expired(at: Column, now: Column, minutes: int) -> Column:
+    """``minutes`` have passed since ``at``."""
+    return at + F.make_interval(mins=F.lit(minutes)) < now

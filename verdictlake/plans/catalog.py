@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, grounding, ranking, records, requests
+from . import chunks, grounding, ranking, records, requests, upkeep
 
-_MODULES = (ranking, chunks, requests, grounding, records)
+_MODULES = (ranking, chunks, requests, grounding, records, upkeep)
 
 
 def queries() -> dict:

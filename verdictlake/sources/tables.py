@@ -71,3 +71,9 @@ def without_nulls(metadata: str):
 def tolerant_map(json: str):
     """A JSON object as a map of strings; an empty map if it does not parse."""
     return F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def scan_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Files of a folder as (path, modificationTime, length, content, document_id)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return files.withColumn("document_id", content_id(F.col("content")))

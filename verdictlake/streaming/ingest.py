@@ -64,3 +64,53 @@ def upsert_sink(path: str, key: str = "document_id"):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+#: Wire format of an event.
+WIRE = "event_id string, event_type string, document_id string, content_hash string, source_path string, original_filename string, produced_at timestamp, retry_count int, metadata map<string,string>"
+TOPICS = ("document.ingested", "document.parsed", "embedding.created")
+
+
+def encoded(events: DataFrame) -> DataFrame:
+    """(key, value): events as JSON, keyed by document, so that a document's events keep their order."""
+    return events.select(F.col("document_id").cast("string").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
+
+
+def decoded(messages: DataFrame, schema: str = WIRE, topics: tuple = TOPICS) -> DataFrame:
+    """Events of (key, value), with ``problem``: null, ``malformed`` or ``unsupported``. Nothing is dropped."""
+    e = F.from_json(F.col("value").cast("string"), schema)
+    rows = messages.select("key", "value", e.alias("e"))
+    problem = F.when(F.col("e").isNull() | F.col("e.document_id").isNull(), "malformed").when(~F.coalesce(F.col("e.event_type"), F.lit("")).isin(list(topics)), "unsupported")
+    return rows.select("key", "value", problem.alias("problem"), "e.*")
+
+
+def next_events(events: DataFrame, failed: str = "failed", most: int = MAX_RETRIES) -> DataFrame:
+    """What follows each event: the next stage's event, the same once more with a higher retry count, or a dead letter."""
+    following = F.when(F.col("event_type") == TOPICS[0], TOPICS[1]).when(F.col("event_type") == TOPICS[1], TOPICS[2])
+    route = F.when(F.col(failed) & (F.col("retry_count") < most), F.col("event_type")).when(F.col(failed), "dead_letter").otherwise(F.coalesce(following, F.lit("done")))
+    return events.withColumns({"next": route, "next_retry": F.when(F.col(failed), F.col("retry_count") + 1).otherwise(0)})
+
+
+def kafka_source(spark, servers: str, topics: tuple = TOPICS) -> DataFrame:
+    """Messages from the earliest offset; the stream's checkpoint keeps the offsets. Needs Spark's Kafka connector."""
+    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", "earliest").load()
+
+
+def kafka_sink(events: DataFrame, servers: str, topic: str, checkpoint: str):
+    return encoded(events).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+
+
+def notify(callback, keep: int = 1000):
+    """For ``foreachBatch``: hands a batch's finished documents to ``callback``, ``keep`` at a time through an iterator."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        part = []
+        for row in batch.where("status in ('ready', 'failed')").toLocalIterator():
+            part.append(row.asDict())
+            if len(part) == keep:
+                callback(number, part)
+                part = []
+        if part:
+            callback(number, part)
+
+    return run
