@@ -7,8 +7,8 @@ the same (levels, name) exactly if their normalised texts are equal.
 
 A block's text is shuffled once, after map-side de-duplication (a block that a third of all
 rows share leaves each map task once). Names travel back by a 128-bit fingerprint of the
-block; fingerprints that two distinct blocks share are detected and those blocks are joined
-by their bytes instead, so a collision cannot merge two texts.
+block; whether two distinct blocks share one is checked, in that case SHA-256 is added, and should even
+that not part them the operator raises an error, so a collision cannot merge two texts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ BLOCK_BYTES = 4096
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{BLANKS}]+", "")
 
 
 def fingerprint(block: Column) -> tuple[Column, Column]:
@@ -55,9 +55,18 @@ def document_names(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK
     one, two = fingerprint(F.col("block"))
     distinct = base.select(F.explode("blocks_").alias("block")).select(one.alias("h1"), two.alias("h2"), "block").distinct()
     names = _named(distinct, ["h1", "h2", "block"])
-    names = written(names.select("h1", "h2", "name", F.sha2("block", 256).alias("sum")), "block-names")
-    shared = names.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ambiguous = shared.limit(1).count() > 0
+
+    def shared(keys: list[str]) -> bool:
+        return names.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+
+    plain = names
+    names = written(plain.select("h1", "h2", "name"), "block-names")
+    ambiguous = shared(["h1", "h2"])
+    if ambiguous:  # distinct blocks with the same fingerprint: a third, longer one tells them apart
+        drop(names)
+        names = written(plain.select("h1", "h2", "name", F.sha2("block", 256).alias("sum")), "block-names")
+        if shared(["h1", "h2", "sum"]):
+            raise ValueError("distinct blocks share all fingerprints")
 
     # slim table of rows, each with the fingerprints of its blocks
     halves = F.transform("blocks_", lambda b: F.struct(fingerprint(b)[0].alias("h1"), fingerprint(b)[1].alias("h2"), *([F.sha2(b, 256).alias("sum")] if ambiguous else [])))
