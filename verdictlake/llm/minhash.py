@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, written
+from .scratch import drop, shuffle_partitions, written
 from .textops import batches, mix, shingle_set, utf8, word_hashes
 
 ROWS, BANDS, BITS = 7, 36, 8
@@ -168,6 +168,8 @@ def _across(members: DataFrame, cut: float) -> DataFrame:
                 out += [(c[k], x) if c[k] < x else (x, c[k]) for x in c[at]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
+    # a fixed number of partitions: the rows are few bytes but much work, and would be merged into a few tasks by size
+    dealt = dealt.repartition(shuffle_partitions(members.sparkSession), "key", "i", "j")
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 

@@ -59,6 +59,6 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def rows_per_partition_hint(df: DataFrame) -> int:
-    """Partitions that a shuffle of ``df``'s size should have: the session's setting."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
