@@ -21,8 +21,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    gone = exact_dedup.exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("s"), F.col("n_chars").alias("n")).distinct()
+    marked = docs.withColumns({"sha_": F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256), "chars_": F.coalesce(F.length("text"), F.lit(0)).cast("long")})
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha_") == F.col("s")) & (F.col("chars_") == F.col("n"))
+    return marked.join(gone, same, "left_anti").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

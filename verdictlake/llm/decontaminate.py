@@ -122,21 +122,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     tokens and null or empty texts match nothing; an empty benchmark gives an empty result;
     repeated rows are reported each; other columns are ignored.
     """
-    items = benchmark.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null")
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
     types = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = f"id_ {types[0].simpleString()}, item_ {types[1].simpleString()}, coverage double, n_tiles int, longest_tile int, item_tokens int"
     source = docs.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text}`").alias("t_"))
     out = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
-        seeds = docs.sparkSession.sparkContext.broadcast(Seeds([r.i for r in rows], [r.t for r in rows], min_tile))
+    for seeds in _blocks(benchmark, item_col, item_text, min_tile, block_bytes):
         found = source.mapInArrow(_scan(seeds, threshold), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id_": id_col, "item_": item_col})
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, min_tile: int, block_bytes: int):
+    """Broadcast seeds of each block of the benchmark; there is one block at least."""
+    items = benchmark.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null")
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Seeds([r.i for r in rows], [r.t for r in rows], min_tile))
+
+
 def _scan(seeds, threshold: float):
     def run(rows):
         s = seeds.value
@@ -155,7 +160,22 @@ def _scan(seeds, threshold: float):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` that contain no benchmark item; rows with a null id stay."""
-    hits = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", min_tile: int = MIN_TILE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``docs`` that contain no benchmark item: a filter in the scan, without a shuffle; each row is judged by itself."""
+    out = docs
+    for seeds in _blocks(benchmark, item_col, item_text, min_tile, block_bytes):
+        out = out.mapInArrow(_clean(seeds, text, threshold), docs.schema)
+    return out
+
+
+def _clean(seeds, text: str, threshold: float):
+    def run(rows):
+        s = seeds.value
+        for whole in rows:
+            for batch in batches(whole, text):
+                data, offsets = utf8(batch.column(text))
+                words, begin = word_hashes(data, offsets, NOT_ALNUM)
+                keep = [next(s.matches(words[begin[k] : begin[k + 1]], threshold), None) is None for k in range(batch.num_rows)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
