@@ -31,6 +31,21 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _uneven(text: str) -> bool:
+    """Whether a cut at each blank would differ from the library's; plain searches settle it for Latin-1 texts."""
+    if any(x in text for x in _WHOLE_ASCII):
+        return True
+    if text.isascii():
+        return False
+    if "\x85" in text or "\xa0" in text:
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_WHOLE.search(text))
+    return False
+
+
 class _Known(dict):
     """Words to the ids of a blank and the word; a word that is not known is noted and stands for itself."""
 
@@ -115,7 +130,7 @@ class Encoder:
         get, new, rows = self.known.__getitem__, self.known.new, []
         new.clear()
         for text in texts:
-            if any(x in text for x in _WHOLE_ASCII) if text.isascii() else _WHOLE.search(text):
+            if _uneven(text):
                 rows.append(text)
             else:
                 words = text.split(" ")
