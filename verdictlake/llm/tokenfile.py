@@ -33,17 +33,17 @@ FILE_TOKENS = 32_000_000
 
 def levels_of(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(chunks, bits, ranks) of each level."""
-    out, rest = [], ids.astype(np.uint32)
+    out, rest = [], ids
     while True:
         more = rest > 0xFF
         bits = np.packbits(more, bitorder="little")
         pad = np.zeros(-len(bits) % (LINE // 8), np.uint8)
         lines = np.concatenate([bits, pad]).reshape(-1, LINE // 8)
         ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(lines).sum(axis=1, dtype=np.uint64))]).astype("<u8")
-        out.append(((rest & 0xFF).astype(np.uint8), bits, ranks))
+        out.append((rest.astype(np.uint8), bits, ranks))  # the cast keeps the low byte
         if not more.any():
             return out
-        rest = rest[more] >> np.uint32(8)
+        rest = rest[more] >> rest.dtype.type(8)
 
 
 def to_bytes(doc_ids: list, ends: np.ndarray, ids: np.ndarray) -> bytes:
@@ -93,19 +93,16 @@ class TokenFile:
 
     def tokens(self, a: int, b: int) -> np.ndarray:
         """Ids a..b-1."""
-        chunks, bits, _ = self.levels[0]
-        out = chunks[a:b].astype("<u4")
-        at, low, high, shift, level = np.arange(b - a), a, b, 8, 0
-        while len(at):
-            bits = self.levels[level][1]
-            more = np.unpackbits(bits[low // 8 : (high + 7) // 8], bitorder="little")[low % 8 : low % 8 + high - low].astype(bool)
-            at = at[more]
+        out = self.levels[0][0][a:b].astype("<u4")
+        at, low, high = None, a, b  # at: places in ``out`` of the ids that reach this level; none: all
+        for level, (_, bits, _) in enumerate(self.levels[:-1]):
+            more = np.unpackbits(bits[low // 8 : (high + 7) // 8], bitorder="little")[low % 8 : low % 8 + high - low].view(bool)
+            at = np.flatnonzero(more) if at is None else at[more]
             if not len(at):
                 break
-            low, level = self._rank(level, low), level + 1
+            low = self._rank(level, low)
             high = low + len(at)
-            out[at] |= self.levels[level][0][low:high].astype(np.uint32) << np.uint32(shift)
-            shift += 8
+            out[at] |= self.levels[level + 1][0][low:high].astype(np.uint32) << np.uint32(8 * level + 8)
         return out
 
 
