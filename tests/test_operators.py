@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from verdictlake.operators import chunking, graph, retrieval, rules, workflow
+from verdictlake.plans import ranking
 from verdictlake.sources import tables
 from verdictlake.streaming import ingest
 
@@ -72,6 +73,16 @@ def test_metrics_edges(spark):
     assert (m[2].recall_10, m[2].mrr, m[3].ndcg_10) == (1.0, 0.0, 1.0)
 
 
+def test_gold_is_plain_containment(spark):
+    queries = ["alpha beta gamma delta", "one\ntwo three four five", "x\ty z\tw v", "tail pre fix mid wor", "two  blanks in  here", "short", "a b c", "", None, "ünï çödé wörds hère ok", "漢字のテキスト"]
+    texts = ["alpha beta gamma delta", "(alpha beta gamma delta)", "tab\talpha beta gamma deltas", "so one\ntwo three four five.", "so one two three four five.", "x\ty z\tw v", "retail pre fix mid words", "two  blanks in  here!", "two blanks in here", "shorten", "xa b cx", "“ünï çödé wörds hère ok”", "前漢字のテキスト後", "", None, "one"]
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = {(i, k) for i, a in enumerate(queries) for k, t in enumerate(texts) if a is not None and t is not None and a in t}
+    got = [tuple(r) for r in ranking.containing(q, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_windows_cover_every_token(spark):
     docs = spark.createDataFrame([(n, " ".join(f"w{k}" for k in range(n))) for n in (0, 1, 96, 97, 100, 300)], "doc_id int, text string")
     got = {}

@@ -26,19 +26,27 @@ def vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), v
 
 
-def gold(spark, sf_dir) -> DataFrame:
-    """(query_id, doc_id): documents that contain a passage word for word.
+def containing(q: DataFrame, d: DataFrame) -> DataFrame:
+    """(query_id, doc_id): documents whose text has a query's text word for word.
 
-    Passages meet only documents that have their first two words in a row, a key that splits the corpus finely, not all of them.
+    A query's words other than its first and last are whole words of any text that contains it, so queries meet only documents
+    that have their longest pair of such words, a key that splits the corpus finely. Queries without such a pair meet all documents.
     """
-    q, d = queries_of(spark, sf_dir), docs_of(spark, sf_dir)
-    key = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 2), " ")
-    w = F.split(F.translate("text", "\n", " "), " ")
+    words = lambda c: F.split(F.translate(c, "\n\t\r", "   "), " ")
     # an expression inside a lambda is evaluated for each element: the words are bound as a lambda's argument instead
-    grams_of = lambda x: F.array_distinct(F.zip_with(x, F.slice(x, 2, 1 << 30), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.lit(" "), F.coalesce(b, F.lit("")))))
-    grams = d.select("doc_id", "text", F.explode_outer(F.get(F.transform(F.array(w), grams_of), 0)).alias("k"))
-    asked = R.small(q.withColumn("k", key(F.col("query"))))
-    return grams.join(asked, "k").where(F.contains("text", F.col("query"))).select("query_id", "doc_id").distinct()
+    pairs_of = lambda x: F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+    pairs = lambda w: F.get(F.transform(F.array(w), lambda x: F.array_distinct(pairs_of(x))), 0)
+    asked = q.withColumn("w_", words("query")).withColumn("w_", F.slice("w_", 2, F.greatest(F.size("w_") - 2, F.lit(0))))
+    asked = asked.withColumn("k", F.array_max(F.transform(pairs(F.col("w_")), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]).drop("w_")
+    grams = d.select("doc_id", "text", F.explode(pairs(words("text"))).alias("k"))
+    keyed = grams.join(R.small(asked.where("k is not null")), "k").where(F.contains("text", F.col("query"))).select("query_id", "doc_id")
+    scanned = d.join(R.small(asked.where("k is null")), F.contains(d["text"], F.col("query"))).select("query_id", "doc_id")
+    return keyed.unionByName(scanned).distinct()
+
+
+def gold(spark, sf_dir) -> DataFrame:
+    """(query_id, doc_id): documents that contain a passage word for word."""
+    return containing(queries_of(spark, sf_dir), docs_of(spark, sf_dir))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
