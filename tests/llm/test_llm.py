@@ -255,6 +255,18 @@ def test_tiles_cover_like_brute_force():
         assert abs(len(used_b) - brute_tiles(a, b, 3)) <= 3
 
 
+def test_tiles_leave_no_run_behind():
+    # the run i0..i5 meets a marked tile at its end both times: only its rest i0..i4 is free
+    text, item = [*range(5, 14), 90, *range(6), 91, *range(6)], list(range(20))
+    assert sum(n for _, _, n in decontaminate.tiles(np.array(text, np.uint64) + np.uint64(1), np.array(item, np.uint64) + np.uint64(1))) == 14
+    rng = random.Random(7)
+    for _ in range(200):
+        a = [rng.randint(1, 4) for _ in range(rng.randint(0, 30))]
+        b = [rng.randint(1, 4) for _ in range(rng.randint(0, 24))]
+        found = decontaminate.tiles(np.array(a, np.uint64), np.array(b, np.uint64), 3)
+        assert sum(n for _, _, n in found) == brute_tiles(a, b, 3)
+
+
 def test_decontamination(spark, edge):
     item = " ".join(f"tok{k}" for k in range(40))
     w = item.split()

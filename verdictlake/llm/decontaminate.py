@@ -14,6 +14,7 @@ Nothing of the documents is shuffled.
 from __future__ import annotations
 
 import math
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +60,18 @@ def tiles(text: np.ndarray, item: np.ndarray, min_tile: int = MIN_TILE) -> list[
                     n += 1
                 if n >= size:
                     matches.append((n, p, q))
-        for n, p, q in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_t[p : p + n].all() and free_i[q : q + n].all():
-                free_t[p : p + n] = free_i[q : q + n] = False
-                found.append((p, q, n))
+        # longest first; what is left of a match whose end was taken by a longer one waits for its turn again
+        queue = [(-n, p, q) for n, p, q in matches]
+        heapify(queue)
+        while queue:
+            n, p, q = heappop(queue)
+            free = free_t[p : p - n] & free_i[q : q - n]
+            left = -n if free.all() else int(free.argmin())
+            if left == -n:
+                free_t[p : p + left] = free_i[q : q + left] = False
+                found.append((p, q, left))
+            elif left >= size:
+                heappush(queue, (-left, p, q))
         size = size // 2 if size > 2 * min_tile else min_tile if size > min_tile else 0
     return found
 
