@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import unicodedata
 import zlib
 
 import compare
@@ -283,6 +284,28 @@ def test_decontamination(spark, edge):
     assert decontaminate.contaminated(none_of(edge), bench).count() == 0
 
 
+def test_decontamination_beyond_ascii(spark, monkeypatch):
+    items = {1: "Äpfel über große Öfen künftig schön färben", 2: "l'été déjà passé où naît l'œuvre", 3: "机器学习模型需要大量的训练数据", 4: "ภาษาไทยไม่มีช่องว่าง", 5: "ΟΔΥΣΣΕΥΣ ήλθε από την Τροία πίσω", 6: "plain words of ascii only here"}
+    copies = {
+        1: [items[1].upper(), items[1].replace(" ", "\u00a0"), "„" + items[1].replace(" ", " — ") + "“", unicodedata.normalize("NFD", items[1])],
+        2: [items[2].upper(), items[2].replace("'", "’"), "«" + items[2] + "»"],
+        3: [items[3], "前文。" + items[3] + "，后文", items[3][:7] + "。" + items[3][7:]],
+        4: [items[4], "ก" + items[4]],
+        5: [items[5].lower(), items[5].upper()],
+        6: ["é " + items[6].upper(), "“plain” words…of\u2003ascii–only here"],
+    }
+    rows = [(10 * i + k, t) for i, c in copies.items() for k, t in enumerate(c)] + [(97, "ganz anderer Text über schöne Gärten"), (98, "今天天气很好"), (99, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(10 * i + k, i) for i, c in copies.items() for k in range(len(c))}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [97, 98, 99]
+    column = pa.array([t for _, t in rows] + ["", "字", "字a字", None])
+    one = decontaminate.token_hashes(column)
+    monkeypatch.setattr(decontaminate, "SLICE", 5)
+    two = decontaminate.token_hashes(column)
+    each = [decontaminate.token_hashes(column[k : k + 1])[0] for k in range(len(column))]
+    assert all(np.array_equal(x, y) for x, y in zip(one, two, strict=True)) and [len(x) for x in each] == np.diff(one[1]).tolist() and np.array_equal(np.concatenate(each), one[0])
+
+
 def test_leaks_of_the_tables(spark, texts):
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     tok = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower())

@@ -14,6 +14,8 @@ Nothing of the documents is shuffled.
 from __future__ import annotations
 
 import math
+import unicodedata
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -21,12 +23,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import NOT_ALNUM, _powers, batches, utf8, window_hashes, word_hashes
+from .textops import NOT_ALNUM, _powers, batches, window_hashes, word_hashes
 
 MIN_TILE = 5
 THRESHOLD = 0.5
 #: Text of the benchmark that is sent to the tasks at once.
 BLOCK_BYTES = 4 << 20
+#: Code points that are put into tokens in one go.
+SLICE = 1 << 19
+#: Scripts written without blanks between words (Thai to Myanmar, Khmer, New Tai Lue to Tai Tham, kana, Han): each character is a token.
+_UNSPACED = ((0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x1950, 0x1AB0), (0x3005, 0x3008), (0x3021, 0x3030), (0x3031, 0x3100), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA4D0), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x1B000, 0x1B170), (0x20000, 0x32000))
+_BLANK = 0x20
+
+
+@cache
+def _classes() -> np.ndarray:
+    """Code point -> 0 separator, 1 part of a word (letter, mark or number), 2 token of its own."""
+    table = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        table[c] = unicodedata.category(chr(c))[0] in "LMN"
+    for a, b in _UNSPACED:
+        table[a:b] *= 2
+    return table
+
+
+def _folded(text: str | None) -> str:
+    """Without case, and composed, so that canonically equal texts are equal."""
+    if not text or text.isascii():
+        return (text or "").lower()
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+
+
+def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all tokens of all rows, and where each row's tokens begin; null counts as empty."""
+    rows = [_folded(t) for t in column.to_pylist()]
+    ends = np.cumsum([0] + [len(t) for t in rows])
+    text = "".join(rows)
+    if text.isascii():
+        return word_hashes(np.frombuffer(text.encode(), np.uint8), ends, NOT_ALNUM)
+    parts, offsets, size = [], np.zeros(len(ends), np.int64), 0
+    for at in range(0, len(text), SLICE):
+        codes = np.frombuffer(text[at : at + SLICE].encode("utf-32-le"), np.uint32)
+        kind = _classes()[codes]
+        alone = kind == 2
+        # a blank on either side of a token of its own; the blank before it belongs to the same row
+        place = np.arange(len(codes)) + 2 * np.cumsum(alone) - alone
+        spaced = np.full(len(codes) + 2 * int(alone.sum()), _BLANK, np.uint32)
+        spaced[place] = np.where(kind > 0, codes, np.uint32(_BLANK))
+        bytes_ = np.concatenate([[0], np.cumsum(1 + (spaced >= 0x80) + (spaced >= 0x800) + (spaced >= 0x10000))])
+        own = slice(*np.searchsorted(ends, [at, at + len(codes)]))
+        offsets[own] = size + bytes_[(place - alone)[ends[own] - at]]
+        parts.append(np.frombuffer(spaced.tobytes().decode("utf-32-le").encode(), np.uint8))
+        size += int(bytes_[-1])
+    offsets[ends == len(text)] = size
+    return word_hashes(np.concatenate(parts), offsets, NOT_ALNUM)
 
 
 def rolling(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -80,8 +130,7 @@ class Seeds:
     """Seeds of a block of benchmark items, sorted by hash."""
 
     def __init__(self, ids: list, texts: list, min_tile: int):
-        data, offsets = utf8(pa.array(texts, pa.string()))
-        words, begin = word_hashes(data, offsets, NOT_ALNUM)
+        words, begin = token_hashes(pa.array(texts, pa.string()))
         self.ids, self.min_tile = ids, min_tile
         self.items = [words[begin[k] : begin[k + 1]] for k in range(len(texts))]
         hashes = [window_hashes(w, min_tile) for w in self.items]
@@ -127,7 +176,7 @@ class Seeds:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", min_tile: int = MIN_TILE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per pair of document and benchmark item that it contains: id, item id, coverage, n_tiles, longest_tile, item_tokens.
 
-    Tokens are runs of letters and digits, with A-Z lower-cased. Items of fewer than ``min_tile``
+    Tokens are runs of letters, marks and numbers of Unicode without case, and single characters in scripts without blanks. Items of fewer than ``min_tile``
     tokens and null or empty texts match nothing; an empty benchmark gives an empty result;
     repeated rows are reported each; other columns are ignored.
     """
@@ -156,8 +205,7 @@ def _scan(seeds, threshold: float):
         s = seeds.value
         for whole in rows:
             for batch in batches(whole, "t_"):
-                data, offsets = utf8(batch.column("t_"))
-                words, begin = word_hashes(data, offsets, NOT_ALNUM)
+                words, begin = token_hashes(batch.column("t_"))
                 got = [(k, s.ids[i], cov, len(t), max(n for _, _, n in t), len(s.items[i])) for k in range(batch.num_rows) for i, cov, t in s.matches(words[begin[k] : begin[k + 1]], threshold)]
                 if got:
                     at = pa.array([g[0] for g in got], pa.int64())
@@ -182,8 +230,7 @@ def _clean(seeds, text: str, threshold: float):
         s = seeds.value
         for whole in rows:
             for batch in batches(whole, text):
-                data, offsets = utf8(batch.column(text))
-                words, begin = word_hashes(data, offsets, NOT_ALNUM)
+                words, begin = token_hashes(batch.column(text))
                 keep = [next(s.matches(words[begin[k] : begin[k + 1]], threshold), None) is None for k in range(batch.num_rows)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
