@@ -203,6 +203,23 @@ def test_page_edges(spark):
     assert html_text.extract(none_of(df)).count() == 0
 
 
+def test_every_run_of_a_page_is_kept():
+    one, two, three = (f"Paragraph {k} of the story, which is long enough to be a line of prose." for k in "ABC")
+    p = lambda *t: "".join(f"<p>{x}</p>" for x in t)
+    teaser = f"<aside><article>{p('Another story that only asks to be read, next to this one')}</article></aside>"
+    menu = "<ul>" + "".join(f"<li><a href='/{k}'>Section {k}</a></li>" for k in range(9)) + "</ul>"
+    links = p("".join(f"<a href='/{k}'>A headline of another story, number {k}, as long as prose</a>" for k in range(3)))
+    kept = lambda *t: "\n".join(t)
+    assert html_text.main_text(f"<article>{p(one)}</article><nav>x</nav><article>{p('Short.')}</article><article>{p(two, three)}</article>") == kept(one, "Short.", two, three)
+    assert html_text.main_text(f"<main><article>{p(one)}</article><article>{p(two)}</article></main><main>{p(three)}</main>") == kept(one, two, three)
+    for inset in ("<aside>Side</aside>", "<nav>Menu</nav>", "<div class='related'>More</div>", teaser):
+        assert html_text.main_text(f"<body>{p(one)}{inset}{p(two, three)}</body>") == kept(one, two, three)
+        assert html_text.main_text(f"<article>{p(one)}{inset}{p(two, three)}</article>") == kept(one, two, three)
+    assert html_text.main_text(f"{menu}<nav>x</nav>{p(one, two, three)}<nav>x</nav>{links}<nav>x</nav>{menu}") == kept(one, two, three)
+    assert html_text.main_text(f"<p><a href='/'>Home</p>{p(one)}<nav>x</nav>{p(two, three)}") == kept("Home", one, two, three)
+    assert html_text.main_text(f"<div class='related-layout'><article>{p(one)}</article></div>") == one
+
+
 # quality
 def test_quality_holds_out(spark):
     sf = "/root/testdata/sf0.1"

@@ -2,8 +2,9 @@
 
 Markup is stripped and each block of a page becomes a line. The sums of line lengths over a
 sliding window of ``WINDOW`` lines rise from nothing where a body of text begins (surge) and fall back
-to nothing where it ends (dive); the text kept lies between the surge and the dive that enclose
-most of it. Parts that are no article (menus, page headers, footers, sidebars, notices, adverts,
+to nothing where it ends (dive). The text kept is all that lies in ``article`` or ``main`` elements; on pages without
+them, the run between surge and dive that encloses most text, and every other run that is dense: of long lines, and mostly
+outside links. Parts that are no article (menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) are stripped to empty lines beforehand: whole
 page regions leave a gap as wide as the window, small insets a narrower one, so
 that an inset does not end the text around it. Inside an ``article`` or ``main``
@@ -23,6 +24,8 @@ from .textops import batches
 
 #: Lines in a window of the distribution.
 WINDOW = 3
+#: Mean length of line, each character counted alike, from which a run is text, and the share of it that may be links.
+LINE, LINKED = 40, 1 / 3
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "object", "canvas", "math", "title")}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -59,27 +62,48 @@ def _kind(tag: str, attributes: str, in_body: bool) -> tuple[int, bool]:
     return (1, False) if words & _INSET_WORDS or _HIDDEN.search(attributes.split("class")[0]) else (0, False)
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """Blocks of a page in order as (text, inside article or main); "" stands for a stripped line."""
-    out: list[tuple[str, bool]] = []
+def _closed(page: str, at: int, tag: str) -> bool:
+    """Whether an element whose content goes on at a place ends somewhere."""
+    depth = 1
+    while depth and (m := _TOKEN.search(page, at)):
+        at, name, closing = m.end(), (m[2] or m[5] or "").lower(), bool(m[1] or m[4])
+        if name in _RAW and not closing:
+            at = _RAW[name].search(page, at).end()
+        elif name == tag:
+            depth += -1 if closing else 1
+    return depth == 0
+
+
+def lines(page: str) -> list[tuple[str, bool, int]]:
+    """Blocks of a page in order as (text, inside article or main, characters in links); "" stands for a stripped line."""
+    out: list[tuple[str, bool, int]] = []
     parts: list[str] = []
     body, skip, depth, comments, at, end = 0, "", 0, False, 0, len(page)
+    begin, closed, link, linked = 0, None, False, 0
 
     def close() -> None:
+        nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, body > 0))
+                out.append((text, body > 0, min(linked, len(text))))
             parts.clear()
+        linked = 0
+
+    def add(text: str) -> None:
+        nonlocal linked
+        parts.append(text)
+        if link:
+            linked += len(text.strip())
 
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
             if not skip:
-                parts.append(page[at:])
+                add(page[at:])
             break
         if not skip and m.start() > at:
-            parts.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -91,8 +115,12 @@ def lines(page: str) -> list[tuple[str, bool]]:
             at = _RAW[tag].search(page, at).end()
             continue
         if skip:
-            if tag in ("article", "main") and not closing and not comments and skip != tag:
-                skip = ""  # the region was never closed
+            freed = tag in ("article", "main") and not closing and not comments and skip != tag
+            if freed and (body or skip in _REGION):  # a teaser, unless the region was never closed
+                closed = _closed(page, begin, skip) if closed is None else closed
+                freed = not closed
+            if freed:
+                skip = ""
             else:
                 if tag == skip:
                     depth += -1 if closing else 1
@@ -104,44 +132,52 @@ def lines(page: str) -> list[tuple[str, bool]]:
             if gap:
                 close()
                 if not body:
-                    out.extend([("", False)] * gap)
-                skip, depth, comments = tag, 1, talk
+                    out.extend([("", False, 0)] * gap)
+                skip, depth, comments, begin, closed = tag, 1, talk, at, None
                 continue
+        if tag == "a":
+            link = not closing and "href" in attributes.lower()
         if tag in _INLINE:
             continue
         close()
+        link = link and not closing  # a link that was never closed ends with its block
         if tag in ("article", "main"):
-            out.extend([("", False)] * (WINDOW if body <= 1 else 0))
+            out.extend([("", False, 0)] * (WINDOW if body <= 1 else 0))
             body = max(0, body - 1) if closing else body + 1
     close()
     return out
 
 
-def between_surge_and_dive(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
-    """First and past-the-last line of the run with most text among those that window sums of zero part."""
-    best, at, n = (0, 0, 0), 0, len(lengths)
+def between_surges_and_dives(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """First and past-the-last line of each of the runs that window sums of zero part."""
+    runs, at, n = [], 0, len(lengths)
     while at < n:
         if not lengths[at]:
             at += 1
             continue
-        start, last, total = at, at, 0
+        start = last = at
         while at < n and at - last < window:  # the window that begins after ``last`` is not yet empty
             if lengths[at]:
                 last = at
-                total += lengths[at]
             at += 1
-        if total > best[0]:
-            best = (total, start, last + 1)
-    return best[1], best[2]
+        runs.append((start, last + 1))
+    return runs
+
+
+def _dense(run: list[tuple[str, bool, int]]) -> bool:
+    size = sum(len(t) for t, _, _ in run)
+    return sum(len(t) ** 2 for t, _, _ in run) >= LINE * size and sum(k for _, _, k in run) <= LINKED * size
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks, one per line; empty if there is none."""
     found = lines(page or "")
-    if any(b and t for t, b in found):
-        found = [(t if b else "", b) for t, b in found]
-    start, stop = between_surge_and_dive([len(t) for t, _ in found])
-    return "\n".join(t for t, _ in found[start:stop] if t)
+    if any(b for _, b, _ in found):
+        return "\n".join(t for t, b, _ in found if b)
+    runs = [found[a:b] for a, b in between_surges_and_dives([len(t) for t, _, _ in found])]
+    most = max((sum(len(t) for t, _, _ in r) for r in runs), default=0)
+    largest = next((k for k, r in enumerate(runs) if sum(len(t) for t, _, _ in r) == most), None)
+    return "\n".join(t for k, r in enumerate(runs) if k == largest or _dense(r) for t, _, _ in r if t)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
