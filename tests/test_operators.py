@@ -111,6 +111,14 @@ def test_graph_cycles_end(spark):
     assert sorted((r.node, r.hops) for r in graph.shortest_paths(e, roots).collect()) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
 
 
+def test_paths_of_any_length(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    e = spark.createDataFrame([(k, k + 1) for k in range(19)] + [(19, 3)], "src int, dst int")
+    roots = spark.createDataFrame([(0,)], "root int")
+    assert sorted((r.node, r.hops) for r in graph.shortest_paths(e, roots).collect()) == [(k, k) for k in range(20)]
+    assert graph.shortest_paths(e, roots, 2).count() == 3
+
+
 def test_expand_chunks(spark):
     expanded = spark.createDataFrame([(1, "n", "m", "out", "R")], "query_id int, node string, neighbour string, direction string, relation string")
     chunks = spark.createDataFrame([("m", "p1", "The Ceiling"), ("m", "p2", "none"), ("m", "p3", "a vendor")], "node string, parent_id string, text string")

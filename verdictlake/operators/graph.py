@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,21 +42,23 @@ def constraints(expanded: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("query_id", F.array_join(said, "\n").alias("constraints"))
 
 
-def shortest_paths(edges: DataFrame, roots: DataFrame, depth: int = 16) -> DataFrame:
+def shortest_paths(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(root, node, hops): breadth first along edges, each round one join of the new frontier and one anti-join with what is known.
 
-    Ends when no node is new or after ``depth`` rounds; every fourth round the lineage is cut.
+    Ends when no node is new, or after ``depth`` rounds where a caller asks for near nodes only; every fourth round the lineage is cut.
     """
     e = edges.select("src", "dst").distinct()
     known = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops"))
     frontier = known
-    for hop in range(1, depth + 1):
+    for hop in count(1) if depth is None else range(1, depth + 1):
         new = frontier.join(e, frontier["node"] == e["src"]).select("root", F.col("dst").alias("node")).distinct()
         frontier = new.join(known.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(hop))
         frontier = frontier.checkpoint() if hop % 4 == 0 else frontier.cache()
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+        if hop % 4 == 0:
+            known = known.checkpoint()
     return known
 
 
