@@ -14,8 +14,11 @@ from verdictlake.llm.scratch import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which no language can be told (no letter, or no text)."""
-    found = langid.predict_language(docs.withColumn("text_", F.col("text")), queries.language_model(docs), "text_")
+    """Drops documents of which no language can be told (no letter, or no text), also where there is no language to learn."""
+    model = queries.language_model(docs)
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.predict_language(docs.withColumn("text_", F.col("text")), model, "text_")
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select("row_.*")
 
 

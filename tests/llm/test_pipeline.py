@@ -1,6 +1,7 @@
 """The corpus pipeline stage by stage, each on what its predecessor kept, against brute force."""
 
 import re
+import zlib
 
 import corpus_pipeline
 import test_llm as brute
@@ -35,3 +36,14 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_language_stage_without_languages(spark):
+    rows = [(1, "some text", None), (2, "é", None), (3, "12 .", None), (4, "", None), (5, None, None), (None, "漢字", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language(spark, docs, SF)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, None}
+    # labelled rows outside the learning fold teach nothing either
+    held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 3 == 1)
+    tiny = spark.createDataFrame([(held, "some text", "en")], docs.schema)
+    assert corpus_pipeline.language(spark, tiny, SF).count() == 1
