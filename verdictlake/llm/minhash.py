@@ -6,14 +6,19 @@ similarities are estimated by counting equal fields, corrected for chance agreem
 are confirmed on the full shingle sets. A pair at the threshold of 0.85 meets in no band
 with a chance of 9e-7; the estimate's cut lies five standard errors below the threshold.
 
-No group is ever expanded into all of its pairs:
+No table of pairs grows faster than the number of classes and members:
 1. documents with equal sets collapse into one class;
-2. each member of a band group is compared with the group's smallest class only; confirmed
-   links merge into components, which settles nearly all groups;
-3. groups that still span components are compared in blocks of ``BLOCK`` members with packed
-   signatures inside a task, which emits only pairs of different components that pass the cut.
-   Larger groups become several blocks, and each pair of blocks a group of its own, so no
-   task ever holds more than two blocks of a key.
+2. each band group is led by the member whose groups are largest in total, which in a crowd of
+   copies is the text they were copied from; each class is compared with one lead, the best of
+   those of its groups, and confirmed links merge into components, which settles nearly all groups;
+3. groups that still span components are compared inside tasks. A first pass over packed signatures
+   names the members that may be linked with another component, a second one fetches their texts
+   once per group, confirms on full sets and unites while it compares, so that a task emits fewer
+   links than it has members. Large groups become blocks of ``BLOCK`` members or
+   ``BLOCK_SHINGLES``, and each pair of blocks that can hold a link is a group of its own: members
+   of the group's largest component meet the others only. What a group ships is its largest
+   component once per block of the others, and the others once per block of all; what a task
+   holds is two blocks. Comparisons inside tasks remain quadratic in the unlinked part of a group.
 Components come from distributed label propagation with pointer jumping; nothing about
 documents is collected to the driver.
 """
@@ -21,7 +26,6 @@ documents is collected to the driver.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +35,8 @@ from .textops import batches, mix, shingle_set, utf8, word_hashes
 
 ROWS, BANDS, BITS = 7, 36, 8
 FIELDS = ROWS * BANDS
-#: Members of a block in the blockwise comparison of large groups.
-BLOCK = 150
+#: Members, and shingles in all, of a block in the comparison of groups that still span components.
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 _A = (mix(np.arange(1, FIELDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, FIELDS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -142,35 +146,121 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, per_cent: int, width: int) ->
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, cut: float) -> DataFrame:
-    """Pairs of different components inside groups, found block by block; members: key, m (group size), c, comp, sig."""
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("c", "key"), blocks).cast("int")
-    dealt = members.select("key", "c", "comp", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", "c", "comp", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sigs = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), FIELDS)
-        c, comp, own = (group[k].to_numpy() for k in ("c", "comp", "own"))
-        across, band = group["i"].iloc[0] != group["j"].iloc[0], int(group["key"].iloc[0]) >> 56 & 0xFF
-        bands = sigs.reshape(len(group), BANDS, ROWS)
-        out = []
-        for k in range(len(group) - 1):
-            ok = comp[k + 1 :] != comp[k]
-            if across:
-                ok &= own[k + 1 :] != own[k]
-            at = np.flatnonzero(ok) + k + 1
-            if len(at):
-                same = sigs[at] == sigs[k]
-                at, same = at[near := estimate(same.sum(axis=1)) >= cut], same[near]
-                if len(at) and band:  # pairs that meet in an earlier band are found there
-                    at = at[~(bands[at][:, :band] == bands[k][:band]).all(axis=2).any(axis=1)]
-                out += [(c[k], x) if c[k] < x else (x, c[k]) for x in c[at]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    # a fixed number of partitions: the rows are few bytes but much work, and would be merged into a few tasks by size
-    dealt = dealt.repartition(shuffle_partitions(members.sparkSession), "key", "i", "j")
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (key, c, comp, n, sig) of groups that span components, dealt to pairs of blocks (i, j).
+
+    The group's largest component is dealt into blocks of its own, which meet the other blocks but not each other.
+    """
+    held = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
+    split = lambda m, size: F.ceil(F.greatest(m / F.lit(BLOCK), size / F.lit(BLOCK_SHINGLES))).cast("int")
+    top = F.max(F.struct("m", "size", (-F.col("comp")).alias("c")))
+    sides = held.groupBy("key").agg(top.alias("top"), F.sum("m").alias("m"), F.sum("size").alias("size"))
+    sides = sides.select("key", (-F.col("top.c")).alias("most"), split(F.col("m") - F.col("top.m"), F.col("size") - F.col("top.size")).alias("rest"), split(F.col("top.m"), F.col("top.size")).alias("main"))
+    known = members.join(sides, "key")
+    lot, inside = F.xxhash64("c", "key"), F.col("comp") == F.col("most")
+    known = known.withColumn("own", F.when(inside, F.col("rest") + F.pmod(lot, F.col("main"))).otherwise(F.pmod(lot, F.col("rest"))).cast("int"))
+    last = F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("main")) - 1
+    known = known.select("key", "c", "comp", "n", "sig", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return known.select("key", "c", "comp", "n", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _runs(rows):
+    """Tables of consecutive rows that agree in key, i and j."""
+    held: list[pa.RecordBatch] = []
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(k).to_numpy() for k in ("key", "i", "j")])
+        cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[a].as_py() for k in ("key", "i", "j")):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(group: pa.Table, cut: float, per_cent: int):
+    """(k, places, estimates): members of other components that member k may be linked with, each pair once."""
+    n = group.num_rows
+    comp, own, size = (group.column(k).to_numpy() for k in ("comp", "own", "n"))
+    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(n, FIELDS)
+    bands, band = sigs.reshape(n, BANDS, ROWS), int(group.column("key")[0].as_py()) >> 56 & 0xFF
+    across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    _, number, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    order = np.lexsort((number, counts[number]))  # the largest component comes last and is only met
+    for place in range(n - int(counts.max())):
+        k, rest = order[place], order[place + 1 :]
+        ok = comp[rest] != comp[k]
+        if across:
+            ok &= own[rest] != own[k]
+        ok &= 100 * np.minimum(size[rest], size[k]) >= per_cent * np.maximum(size[rest], size[k])
+        at = rest[ok]
+        if len(at):
+            likeness = estimate((sigs[at] == sigs[k]).sum(axis=1))
+            near = likeness >= cut
+            at, likeness = at[near], likeness[near]
+        if len(at) and band:  # pairs that meet in an earlier band are found there
+            new = ~(bands[at][:, :band] == bands[k][:band]).all(axis=2).any(axis=1)
+            at, likeness = at[new], likeness[new]
+        if len(at):
+            yield int(k), at, likeness
+
+
+def _links_of(group: pa.Table, cut: float, per_cent: int, width: int) -> list[tuple[int, int]]:
+    """Links between components of a group, confirmed on full sets, none that earlier ones make needless."""
+    pairs = [(-e, k, int(x)) for k, at, likeness in _candidates(group, cut, per_cent) for x, e in zip(at, likeness, strict=True)]
+    c, comp, texts = group.column("c").to_pylist(), group.column("comp").to_pylist(), group.column("text")
+    root, sets, out = {x: x for x in comp}, {}, []
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def shingles(k):
+        if k not in sets:
+            one = pa.RecordBatch.from_arrays([pa.array([texts[k].as_py()], pa.string())], ["t"])
+            sets[k] = next(_sets(one, "t", width))
+        return sets[k]
+
+    for _, k, x in sorted(pairs):
+        a, b = top(comp[k]), top(comp[x])
+        if a != b:
+            one, two = shingles(k), shingles(x)
+            common = len(np.intersect1d(one, two, assume_unique=True))
+            if 100 * common >= per_cent * (len(one) + len(two) - common):
+                root[a] = b
+                out.append((min(c[k], c[x]), max(c[k], c[x])))
+    return out
+
+
+def _across(members: DataFrame, docs: DataFrame, cut: float, per_cent: int, width: int) -> DataFrame:
+    """Links (a, b) between components inside groups; members: key, c, comp, n, sig."""
+    parts = shuffle_partitions(members.sparkSession)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        # a fixed number of partitions: the rows are few bytes but much work, and would be merged into a few tasks by size
+        return df.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def name(rows):
+        for group in _runs(rows):
+            found = sorted({int(x) for k, at, _ in _candidates(group, cut, per_cent) for x in (k, *at)})
+            if found:
+                yield from group.take(pa.array(found)).combine_chunks().to_batches()
+
+    def link(rows):
+        for group in _runs(rows):
+            found = _links_of(group, cut, per_cent, width)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    schema = "key long, c long, comp long, n long, sig binary, own int, i int, j int"
+    named = written(dealt(_dealt(members)).mapInArrow(name, schema), "named")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("c"), "text")
+    out = written(dealt(named.join(texts, "c").select(*named.columns, "text")).mapInArrow(link, "a long, b long").distinct(), "links")
+    drop(named)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,22 +305,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # equal sets have equal signatures
     classes = written(sets.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("c"), F.min("sig").alias("sig")), "classes")
     bands = written(_bands(classes), "bands")
-    groups = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lead")).where("m > 1"), "groups")
-    members = written(bands.join(groups, "key").select("key", "m", "lead", "c"), "members")
-    drop(bands)
-
-    stars = members.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
-    links = written(_confirmed(_estimated(stars, classes, cut), source, per_cent, width), "links")
+    groups = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "groups")
+    members = written(bands.join(groups, "key").select("key", "m", "c"), "members")
+    drop(bands, groups)
+
+    weights = written(members.groupBy("c").agg(F.sum("m").alias("w")), "weights")
+    best = F.max(F.struct("w", (-F.col("c")).alias("c")))
+    leads = written(members.join(weights, "c").groupBy("key").agg(best.alias("lead")), "leads")
+    led = members.join(leads, "key").where(F.col("c") != -F.col("lead.c")).groupBy(F.col("c").alias("b")).agg((-F.max("lead")["c"]).alias("a"))
+    links = written(_confirmed(_estimated(led, classes, cut), source, per_cent, width), "links")
     labels = components(links)
-    known = _labelled(members.select("key", "m", "c"), labels)
+    known = _labelled(members.select("key", "c"), labels)
     open_groups = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = written(known.join(open_groups, "key").join(classes.select("c", "sig"), "c").select("key", "m", "c", "comp", "sig"), "open-groups")
-    more = written(_confirmed(written(_across(left, cut), "pairs"), source, per_cent, width), "links")
+    left = known.join(open_groups, "key").join(classes.select("c", F.col("n_shingles").alias("n"), "sig"), "c").select("key", "c", "comp", "n", "sig")
+    left = written(left, "open-groups")
+    more = _across(left, source, cut, per_cent, width)
     labels = components(links.unionByName(more))
 
     named = _labelled(classes.select("k1", "k2", "n_shingles", "c"), labels).select("k1", "k2", "n_shingles", F.col("comp").alias("component_id"))
     known = rows.where("n_shingles > 0 and doc_id is not null").join(named, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = known.unionByName(alone)
-    drop(members, groups, left, links, more)
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    kept = F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    out = written(known.unionByName(alone).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", kept.alias("kept")), "near-duplicates")
+    drop(rows, classes, members, weights, leads, links, left, more, labels)
+    return out
