@@ -1,20 +1,23 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped and each block of a page becomes a line. The sums of line lengths over a
-sliding window of ``WINDOW`` lines rise from nothing where a body of text begins (surge) and fall back
-to nothing where it ends (dive). The text kept is all that lies in ``article`` or ``main`` elements; on pages without
-them, the run between surge and dive that encloses most text, and every other run that is dense: of long lines, and mostly
-outside links. Parts that are no article (menus, page headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) are stripped to empty lines beforehand: whole
-page regions leave a gap as wide as the window, small insets a narrower one, so
-that an inset does not end the text around it. Inside an ``article`` or ``main``
-element, which marks the body itself, insets leave no gap.
+Markup is stripped and each block of a page becomes a line, which weighs as many characters as it has outside links; a block of
+prose (paragraph, heading, quotation) weighs ``PROSE`` at least. The sums of weights over a sliding window of ``WINDOW`` lines rise to
+``SURGE`` where a body of text begins (surge) and fall below it where the body ends (dive). Lines at a run's ends that only its neighbours
+lifted, short ones that are no prose, go with the menu they belong to. Of the runs the heaviest is kept and every other
+one that is dense: of long lines, and mostly outside links.
+
+Parts that say that they are no article (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
+comments) weigh nothing: whole page regions leave a gap as wide as the window, small insets a narrower one, so that an inset does not end the
+text around it. An element is such a part by its tag, or by a class, id or role all of whose words say so; if nothing is left that
+way, only names of comments are believed, and runs with several lines of prose are kept. A page that marks its body with ``article`` or ``main`` has
+its surges and dives there, and all text between them is kept.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +27,9 @@ from .textops import batches
 
 #: Lines in a window of the distribution.
 WINDOW = 3
-#: Mean length of line, each character counted alike, from which a run is text, and the share of it that may be links.
+#: Weight of a window from which it is text, least weight of a line of prose, and weight that a line of no prose needs at a run's end.
+SURGE, PROSE, END = 40, 40, 20
+#: Mean length of line, each character counted alike, from which a run is dense, and the share of it that may be links.
 LINE, LINKED = 40, 1 / 3
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "object", "canvas", "math", "title")}
@@ -34,16 +39,33 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _REGION = {"nav", "footer", "aside", "header", "head", "menu"}
 #: Elements that are insets.
 _INSET = {"form", "button", "select", "dialog", "fieldset", "audio", "video"}
+#: Elements that hold prose, however short.
+_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "figcaption"}
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _REGION_WORDS = set("nav navbar navigation menu footer sidebar breadcrumb breadcrumbs masthead complementary contentinfo banner comments comment disqus related recommended".split())
 _INSET_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login share sharing social widget toolbar pager pagination respond replies".split())
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Words of layout that say nothing of what an element holds.
+_LAYOUT_WORDS = set("area bar block bottom box button buttons card column container content extra fixed form global group header holder inline inner item items left link links list main mobile module outer page panel post posts primary right row secondary section site slot small stories sticky tools top unit wrap wrapper".split())
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_UNSEEN = re.compile(r"""aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _COMMENT_WORDS = {"comments", "comment", "disqus", "respond", "replies"}
 
 
-def _kind(tag: str, attributes: str, in_body: bool) -> tuple[int, bool]:
-    """(gap that the element leaves, or 0 if it stays; whether it holds reader comments)."""
+def _said(attributes: str) -> set[str]:
+    """Words for boilerplate in an element's names, of names without any other word."""
+    out: set[str] = set()
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in _WORDS.findall(name)}
+            if words <= _REGION_WORDS | _INSET_WORDS | _LAYOUT_WORDS:
+                out |= words - _LAYOUT_WORDS
+    return out
+
+
+def _kind(tag: str, attributes: str, in_body: bool, named: bool) -> tuple[int, bool]:
+    """(gap that the element leaves, or 0 if it stays; whether it holds reader comments). ``named``: names other than those of comments are believed."""
     if tag == "header":
         return (0, False) if in_body else (WINDOW, False)
     if tag in _REGION:
@@ -52,41 +74,60 @@ def _kind(tag: str, attributes: str, in_body: bool) -> tuple[int, bool]:
         return 1, False
     if not attributes or tag in ("html", "body", "main"):
         return 0, False
-    words = {w for m in _NAMES.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
+    words = _said(attributes)
+    if not named:
+        words &= _COMMENT_WORDS
     if words & _COMMENT_WORDS:
         return WINDOW, True
     if tag == "article":
         return 0, False
     if words & _REGION_WORDS:
         return WINDOW, False
-    return (1, False) if words & _INSET_WORDS or _HIDDEN.search(attributes.split("class")[0]) else (0, False)
+    return (1, False) if words or _HIDDEN.search(_QUOTED.sub('""', attributes)) or _UNSEEN.search(attributes) else (0, False)
 
 
-def _closed(page: str, at: int, tag: str) -> bool:
-    """Whether an element whose content goes on at a place ends somewhere."""
-    depth = 1
-    while depth and (m := _TOKEN.search(page, at)):
+def _closed(page: str) -> set[int]:
+    """Where the opening tags end whose elements are closed somewhere; a closing tag closes the last open one of its name."""
+    out, opened, at, end = set(), {}, 0, page.rfind(">") + 1
+    while m := _TOKEN.search(page, at, end):
         at, name, closing = m.end(), (m[2] or m[5] or "").lower(), bool(m[1] or m[4])
         if name in _RAW and not closing:
             at = _RAW[name].search(page, at).end()
-        elif name == tag:
-            depth += -1 if closing else 1
-    return depth == 0
+        elif name and not closing:
+            opened.setdefault(name, []).append(at)
+        elif name and opened.get(name):
+            out.add(opened[name].pop())
+    return out
+
+
+class Line(NamedTuple):
+    """A block of a page; without a text, a stripped part."""
+
+    text: str = ""
+    body: bool = False  # in article or main
+    linked: int = 0  # characters in links
+    prose: bool = False
 
+    @property
+    def weight(self) -> int:
+        own = len(self.text) - self.linked
+        return max(own, PROSE) if self.prose and own > self.linked else own
 
-def lines(page: str) -> list[tuple[str, bool, int]]:
-    """Blocks of a page in order as (text, inside article or main, characters in links); "" stands for a stripped line."""
-    out: list[tuple[str, bool, int]] = []
+
+def lines(page: str, named: bool = True) -> list[Line]:
+    """Blocks of a page in order."""
+    out: list[Line] = []
     parts: list[str] = []
-    body, skip, depth, comments, at, end = 0, "", 0, False, 0, len(page)
-    begin, closed, link, linked = 0, None, False, 0
+    # a tag needs a ">", so none begins after the last: that bounds the search for one that is never closed
+    body, skip, depth, comments, at, end, last = 0, "", 0, False, 0, len(page), page.rfind(">") + 1
+    begin, closed, link, linked, prose = 0, None, False, 0, False
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, body > 0, min(linked, len(text))))
+                out.append(Line(text, body > 0, min(linked, len(text)), prose))
             parts.clear()
         linked = 0
 
@@ -97,7 +138,7 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
             linked += len(text.strip())
 
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, last) if at < last else None
         if m is None:
             if not skip:
                 add(page[at:])
@@ -105,6 +146,8 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
         if not skip and m.start() > at:
             add(page[at : m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break  # never closed: all that follows is a comment
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -117,8 +160,8 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
         if skip:
             freed = tag in ("article", "main") and not closing and not comments and skip != tag
             if freed and (body or skip in _REGION):  # a teaser, unless the region was never closed
-                closed = _closed(page, begin, skip) if closed is None else closed
-                freed = not closed
+                closed = _closed(page) if closed is None else closed
+                freed = begin not in closed
             if freed:
                 skip = ""
             else:
@@ -128,12 +171,12 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
                         skip = ""
                 continue
         if not closing and tag not in _VOID and not attributes.endswith("/"):
-            gap, talk = _kind(tag, attributes, body > 0)
+            gap, talk = _kind(tag, attributes, body > 0, named)
             if gap:
                 close()
                 if not body:
-                    out.extend([("", False, 0)] * gap)
-                skip, depth, comments, begin, closed = tag, 1, talk, at, None
+                    out.extend([Line()] * gap)
+                skip, depth, comments, begin = tag, 1, talk, at
                 continue
         if tag == "a":
             link = not closing and "href" in attributes.lower()
@@ -141,47 +184,70 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
             continue
         close()
         link = link and not closing  # a link that was never closed ends with its block
+        if tag not in _VOID:
+            prose = tag in _PROSE and not closing
         if tag in ("article", "main"):
-            out.extend([("", False, 0)] * (WINDOW if body <= 1 else 0))
+            out.extend([Line()] * (WINDOW if body <= 1 else 0))
             body = max(0, body - 1) if closing else body + 1
     close()
     return out
 
 
-def between_surges_and_dives(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """First and past-the-last line of each of the runs that window sums of zero part."""
-    runs, at, n = [], 0, len(lengths)
-    while at < n:
-        if not lengths[at]:
-            at += 1
-            continue
-        start = last = at
-        while at < n and at - last < window:  # the window that begins after ``last`` is not yet empty
-            if lengths[at]:
-                last = at
-            at += 1
-        runs.append((start, last + 1))
+def between_surges_and_dives(weights: list[int | None], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """First and past-the-last line of each run: from where the window's sum reaches ``surge`` (or the highest there is) until no window does.
+
+    A stripped line's weight is None; runs neither begin nor end with one.
+    """
+    n, known = len(weights), [x or 0 for x in weights]
+    sums = [sum(known[max(0, k - window + 1) : k + 1]) for k in range(n)]  # of the window that ends with line k
+    sums += [sum(known[k:]) for k in range(max(0, n - window + 1), n)]  # and of those that reach beyond the last
+    least = min(surge, max(sums, default=0))
+    runs: list[tuple[int, int]] = []
+    for k, total in enumerate(sums):
+        if total >= least > 0:
+            a, b = max(0, k - window + 1), min(k + 1, n)
+            while weights[a] is None:
+                a += 1
+            while weights[b - 1] is None:
+                b -= 1
+            if runs and a <= runs[-1][1]:
+                runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
+            else:
+                runs.append((a, b))
     return runs
 
 
-def _dense(run: list[tuple[str, bool, int]]) -> bool:
-    size = sum(len(t) for t, _, _ in run)
-    return sum(len(t) ** 2 for t, _, _ in run) >= LINE * size and sum(k for _, _, k in run) <= LINKED * size
+def _run(found: list[Line], a: int, b: int) -> list[Line]:
+    """Lines of a run without ends that only their neighbours lifted: short ones that are no prose, and links one after another."""
+    link = lambda k: 0 <= k < len(found) and bool(found[k].text) and found[k].weight == 0
+    fits = [k for k in range(a, b) if found[k].weight >= END or (found[k].prose and link(k) and not link(k - 1) and not link(k + 1))]
+    return [x for x in (found[fits[0] : fits[-1] + 1] if fits else found[a:b]) if x.text]
+
+
+def _dense(run: list[Line]) -> bool:
+    size = sum(len(x.text) for x in run)
+    return sum(len(x.text) ** 2 for x in run) >= LINE * size and sum(x.linked for x in run) <= LINKED * size
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks, one per line; empty if there is none."""
-    found = lines(page or "")
-    if any(b for _, b, _ in found):
-        return "\n".join(t for t, b, _ in found if b)
-    runs = [found[a:b] for a, b in between_surges_and_dives([len(t) for t, _, _ in found])]
-    most = max((sum(len(t) for t, _, _ in r) for r in runs), default=0)
-    largest = next((k for k, r in enumerate(runs) if sum(len(t) for t, _, _ in r) == most), None)
-    return "\n".join(t for k, r in enumerate(runs) if k == largest or _dense(r) for t, _, _ in r if t)
+    for named in (True, False):
+        found = lines(page or "", named)
+        if any(x.body for x in found):
+            return "\n".join(x.text for x in found if x.body)
+        runs = [_run(found, a, b) for a, b in between_surges_and_dives([x.weight if x.text else None for x in found])]
+        if runs and named:
+            most = max(range(len(runs)), key=lambda k: (sum(x.weight for x in runs[k]), -k))
+            return "\n".join(x.text for k, run in enumerate(runs) if k == most or _dense(run) for x in run)
+    return "\n".join(x.text for run in runs if _dense(run) and sum(x.prose for x in run) >= WINDOW for x in run)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Columns of ``pages`` under ``row_`` (without the html), text, n_chars (code points). Null html counts as empty."""
+    """Columns of ``pages`` under ``row_`` (without the html), text, n_chars (code points).
+
+    Null and empty html have an empty text, as has a page without any text outside links. Pages of any length are read whole; repeated rows are extracted
+    one by one; an empty table gives an empty result. Of runs that weigh alike the first is the heaviest.
+    """
     source = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html_col]).alias("row_"), F.col(f"`{html_col}`").alias("h_"))
     schema = f"row_ {source.schema['row_'].dataType.simpleString()}, text string, n_chars long"
 
