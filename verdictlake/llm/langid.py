@@ -10,24 +10,26 @@ Prototypes are centred on their mean and weighted alike, as all languages share
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import drop, written
 from .textops import batches
 
 DIMENSIONS = 1024
 GRAM = 3
 #: Rows per language that the prototypes are learnt from, about; fewer where a language has fewer.
 FIT_ROWS = 3000
-#: Languages that may be learnt.
-MOST_LANGUAGES = 1000
 #: n-gram vectors remembered per worker.
 REMEMBERED = 60_000
 UNKNOWN = "und"
 
 
+@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Code point -> lower-case code point of a letter, or 0 for what is no letter."""
     table = np.zeros(0x110000, np.uint32)
@@ -45,9 +47,8 @@ class Space:
     def __init__(self, dimensions: int = DIMENSIONS, gram: int = GRAM):
         self.dimensions, self.gram = dimensions, gram
         self.letters: dict[int, np.ndarray] = {}
-        self.table: np.ndarray | None = None
-        self.order: np.ndarray = np.zeros(0, np.uint64)
-        self.vectors = np.zeros((0, dimensions), np.int8)
+        self.order, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.vectors = np.empty((REMEMBERED, dimensions), np.int8)  # memory is taken only as rows are written
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -70,23 +71,22 @@ class Space:
         known = at < len(self.order)
         known[known] = self.order[at[known]] == grams[known]
         if known.all():
-            return self.vectors[at]
+            return self.vectors[self.places[at]]
         new = grams[~known]
         vectors = self.bind(new)
-        if len(self.order) + len(new) <= REMEMBERED:
-            merged = np.concatenate([self.order, new])
-            sort = np.argsort(merged)
-            self.order, self.vectors = merged[sort], np.concatenate([self.vectors, vectors])[sort]
-            return self.vectors[np.searchsorted(self.order, grams)]
         out = np.empty((len(grams), self.dimensions), np.int8)
-        out[known], out[~known] = self.vectors[at[known]], vectors
+        out[known], out[~known] = self.vectors[self.places[at[known]]], vectors
+        used = len(self.order)
+        if used + len(new) <= REMEMBERED:
+            self.vectors[used : used + len(new)] = vectors
+            merged, places = np.concatenate([self.order, new]), np.concatenate([self.places, np.arange(used, used + len(new))])
+            sort = np.argsort(merged)
+            self.order, self.places = merged[sort], places[sort]
         return out
 
     def grams(self, text: str) -> np.ndarray:
         """Packed n-grams of letters; a run of other characters is one blank, also before and after the text."""
-        if self.table is None:
-            self.table = _letters()
-        codes = self.table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+        codes = _letters()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
         letter = codes > 0
         if not letter.any():
             return np.zeros(0, np.uint64)
@@ -117,18 +117,18 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
 def fit_prototypes(labelled: DataFrame, fit_rows: int = FIT_ROWS, dimensions: int = DIMENSIONS, gram: int = GRAM) -> tuple[list[str], np.ndarray]:
     """Languages and their unit prototypes, learnt from (key, text, lang) rows with a language.
 
-    Of each language about ``fit_rows`` rows are taken, by a hash of the key and text; this bound
-    and ``MOST_LANGUAGES`` keep what reaches the driver small: one vector per task and language.
+    Of each language about ``fit_rows`` rows are taken, by a hash of the key and text, so that what is read for learning is bounded per
+    language; the driver receives one vector per task and language, and the model is one vector (4 KB) per language.
+    Rows without a language or text teach nothing; repeated rows count as often, but are taken or left together; an empty table gives no language.
     """
     known = labelled.where("lang is not null and text is not null")
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    if not counts:
+    counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n_")), "languages")
+    n = counts.count()
+    if not n:
+        drop(counts)
         return [], np.zeros((0, dimensions), np.float32)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, fit_rows / n)))])
-    part = (F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")]
-    sample = known.where(part).select("text", "lang").repartition(8)
+    part = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30) < F.lit(float(fit_rows)) / F.col("n_")
+    sample = known.join(counts, "lang").where(part).select("text", "lang").repartition(max(8, 2 * n))  # counts are a small table, which the planner broadcasts
 
     def run(rows):
         space, sums = Space(dimensions, gram), {}
@@ -147,8 +147,9 @@ def fit_prototypes(labelled: DataFrame, fit_rows: int = FIT_ROWS, dimensions: in
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<f4").tobytes() for v in sums.values()], pa.binary())], ["lang", "v"])
 
     total: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(run, "lang string, v binary").collect():
+    for r in sorted(sample.mapInArrow(run, "lang string, v binary").collect(), key=lambda r: (r.lang, r.v)):
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.v, "<f4").astype(np.float64)
+    drop(counts)
     langs = sorted(total)
     if not langs:
         return [], np.zeros((0, dimensions), np.float32)
@@ -160,7 +161,9 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text:
     """Columns of ``docs`` under ``row_`` (without the text), lang_pred, score, margin.
 
     score is the cosine with the language's prototype, at least 0; margin is its lead over the
-    next one. Null texts and those without a letter get ``und`` and 0.
+    next one; of equal ones the first in the order of names wins. Null texts and those without a letter get ``und`` and 0, as do all
+    where the model knows no language. Texts of any length are read whole, slice by slice; repeated rows are scored one by one;
+    an empty table gives an empty result.
     """
     langs, prototypes = model
     centre = prototypes.mean(axis=0) if len(langs) > 1 else np.zeros(dimensions, np.float32)
