@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import filesystem, new_path, written
+from .scratch import filesystem, new_path, shuffle_partitions, written
 from .textops import batches
 from .tokens import encoder as shared_encoder
 
 MAGIC = b"DACTOK01"
 LINE = 512
-#: Tokens of a file, about; a task that has more starts another file.
-FILE_TOKENS = 32_000_000
+#: Tokens and documents of a file, about; a task that has more starts another file.
+FILE_TOKENS, FILE_DOCS = 32_000_000, 500_000
+#: Documents and tokens that are read at once.
+READ_DOCS, READ_TOKENS = 2048, 8_000_000
 
 
 def levels_of(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -57,52 +59,65 @@ def to_bytes(doc_ids: list, ends: np.ndarray, ids: np.ndarray) -> bytes:
 
 
 class TokenFile:
-    """Random access to a file: ``token(i)``, ``tokens(a, b)`` and the documents' ids and ends."""
+    """Random access to a file: ``token(i)``, ``tokens(a, b)`` and ``documents(a, b)``.
 
-    def __init__(self, raw: bytes):
-        if raw[: len(MAGIC)] != MAGIC:
+    ``source`` is the file's bytes, or an open file with ``read_at(n, place)``, of which only the ranges that are asked for are read.
+    """
+
+    def __init__(self, source):
+        self._at = source.read_at if hasattr(source, "read_at") else lambda n, place: source[place : place + n]
+        first = bytes(self._at(12, 0))
+        if first[: len(MAGIC)] != MAGIC:
             raise ValueError("not a token file")
-        n = int.from_bytes(raw[8:12], "little")
-        head = json.loads(raw[12 : 12 + n])
-        parts, at = [], 12 + n
-        for size in head["sizes"]:
-            parts.append((at, size))
-            at += size
-        view = lambda k, t: np.frombuffer(raw, t, parts[k][1] // np.dtype(t).itemsize, parts[k][0])
-        self.count = head["tokens"]
-        null = np.unpackbits(view(1, np.uint8), bitorder="little")[: head["docs"]]
-        self.doc_ids = [None if z else int(d) for d, z in zip(view(0, "<i8"), null, strict=True)]
-        self.ends = view(2, "<u8").astype(np.int64)
-        self.levels = [(view(k, np.uint8), view(k + 1, np.uint8), view(k + 2, "<u8")) for k in range(3, len(parts), 3)]
+        n = int.from_bytes(first[8:12], "little")
+        head = json.loads(bytes(self._at(n, 12)))
+        self.starts = (12 + n + np.concatenate([[0], np.cumsum(head["sizes"])])).tolist()
+        self.count, self.docs, self.depth = head["tokens"], head["docs"], (len(head["sizes"]) - 3) // 3
+
+    def _part(self, part: int, kind: str, a: int, b: int) -> np.ndarray:
+        """Items a..b-1 of a part of the file."""
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(self._at((b - a) * size, self.starts[part] + a * size), kind)
+
+    def _bits(self, level: int, a: int, b: int) -> np.ndarray:
+        """Bytes a..b-1 of a level's continuation bits."""
+        return self._part(4 + 3 * level, "u1", a, b)
+
+    def documents(self, a: int, b: int) -> tuple[list, np.ndarray, np.ndarray]:
+        """Ids of documents a..b-1, and the tokens at which each begins and ends."""
+        null = np.unpackbits(self._part(1, "u1", a // 8, (b + 7) // 8), bitorder="little")[a % 8 : a % 8 + b - a]
+        ids = [None if z else d for d, z in zip(self._part(0, "<i8", a, b).tolist(), null.tolist(), strict=True)]
+        ends = self._part(2, "<u8", max(a - 1, 0), b).astype(np.int64)
+        return (ids, ends[:-1], ends[1:]) if a else (ids, np.concatenate([[0], ends[:-1]]), ends)
 
     def _rank(self, level: int, i: int) -> int:
         """Set bits before bit i."""
-        _, bits, ranks = self.levels[level]
         line = i // LINE
-        whole = int(ranks[line]) + int(np.bitwise_count(bits[line * (LINE // 8) : i // 8]).sum())
-        return whole + (int(bits[i // 8]) & (1 << i % 8) - 1).bit_count() if i % 8 else whole
+        bits = self._bits(level, line * (LINE // 8), (i + 7) // 8)
+        before = int(np.bitwise_count(bits[: i // 8 - line * (LINE // 8)]).sum())
+        last = (int(bits[-1]) & (1 << i % 8) - 1).bit_count() if i % 8 else 0
+        return int(self._part(5 + 3 * level, "<u8", line, line + 1)[0]) + before + last
 
     def token(self, i: int) -> int:
         value, shift, level = 0, 0, 0
         while True:
-            chunks, bits, _ = self.levels[level]
-            value |= int(chunks[i]) << shift
-            if not bits[i // 8] >> i % 8 & 1:
+            value |= int(self._part(3 + 3 * level, "u1", i, i + 1)[0]) << shift
+            if not self._bits(level, i // 8, i // 8 + 1)[0] >> i % 8 & 1:
                 return value
             i, level, shift = self._rank(level, i), level + 1, shift + 8
 
     def tokens(self, a: int, b: int) -> np.ndarray:
         """Ids a..b-1."""
-        out = self.levels[0][0][a:b].astype("<u4")
+        out = self._part(3, "u1", a, b).astype("<u4")
         at, low, high = None, a, b  # at: places in ``out`` of the ids that reach this level; none: all
-        for level, (_, bits, _) in enumerate(self.levels[:-1]):
-            more = np.unpackbits(bits[low // 8 : (high + 7) // 8], bitorder="little")[low % 8 : low % 8 + high - low].view(bool)
+        for level in range(self.depth - 1):
+            more = np.unpackbits(self._bits(level, low // 8, (high + 7) // 8), bitorder="little")[low % 8 : low % 8 + high - low].view(bool)
             at = np.flatnonzero(more) if at is None else at[more]
             if not len(at):
                 break
             low = self._rank(level, low)
             high = low + len(at)
-            out[at] |= self.levels[level + 1][0][low:high].astype(np.uint32) << np.uint32(8 * level + 8)
+            out[at] |= self._part(6 + 3 * level, "u1", low, high).astype(np.uint32) << np.uint32(8 * level + 8)
         return out
 
 
@@ -110,13 +125,14 @@ def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     """Writes all documents in ascending order of id and returns the manifest: part, serial, path, docs, tokens, start.
 
     A document is the ids of its whole text plus ``end_id``; null text counts as empty. Null ids come
-    first; rows that repeat an id stand in the order of their texts. A task writes files of about
+    first; rows that repeat an id stand in the order of their texts' hashes. A task writes files of about
     ``file_tokens`` tokens under names of its own, so a task that runs again leaves no half file in the manifest.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t"))
-    ordered = rows.repartitionByRange("d").sortWithinPartitions(F.col("d").asc_nulls_first(), F.xxhash64("t"))
+    # the second key parts the rows of an id that very many rows share
+    ordered = rows.repartitionByRange("d", F.xxhash64("t")).sortWithinPartitions(F.col("d").asc_nulls_first(), F.xxhash64("t"))
 
     def run(batches_in):
         from pyspark import TaskContext
@@ -142,7 +158,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                     held.append(d)
                     ids.append(np.append(x, x.dtype.type(end_id)))
                     tokens += len(ids[-1])
-                if tokens >= file_tokens:
+                if tokens >= file_tokens or len(held) >= FILE_DOCS:
                     yield flush()
                     held, ids, tokens = [], [], 0
         if held:
@@ -158,7 +174,8 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = True)
     """One row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids.
 
     ids are unsigned 32-bit little-endian integers and ids_crc32 is their unsigned CRC-32. Without
-    ``with_ids`` they are read and summed but not handed on (null).
+    ``with_ids`` they are read and summed but not handed on (null). Files are dealt to as many tasks as there
+    are shuffle partitions, one each if there are fewer, and read range by range.
     """
 
     def run(rows):
@@ -166,17 +183,23 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = True)
             for path, start in zip(listing.column("path").to_pylist(), listing.column("start").to_pylist(), strict=True):
                 fs, name = filesystem(path)
                 with fs.open_input_file(name) as f:
-                    file = TokenFile(f.read())
-                begin = np.concatenate([[0], file.ends[:-1]]).astype(np.int64)
-                for at in range(0, len(file.ends), 2048):
-                    a, b = begin[at : at + 2048], file.ends[at : at + 2048]
-                    flat = file.tokens(int(a[0]), int(b[-1]))
-                    ids = [flat[x:y] for x, y in zip((a - a[0]).tolist(), (b - a[0]).tolist(), strict=True)]
-                    crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-                    raw = pa.array([x.tobytes() for x in ids], pa.binary()) if with_ids else pa.nulls(len(ids), pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(file.doc_ids[at : at + 2048], pa.int64()), pa.array(a + start), pa.array(b - a), crc, raw],
-                        ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
-
-    return manifest.select("path", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+                    file = TokenFile(f)
+                    for at in range(0, file.docs, READ_DOCS):
+                        yield from part(file, start, at, min(file.docs, at + READ_DOCS))
+
+    def part(file: TokenFile, start: int, low: int, high: int):
+        doc_ids, begin, end = file.documents(low, high)
+        at = 0
+        while at < len(doc_ids):  # a document that is larger than what is read at once is read alone
+            to = max(at + 1, int(np.searchsorted(end, begin[at] + READ_TOKENS, "right")))
+            a, b = begin[at:to], end[at:to]
+            flat = file.tokens(int(a[0]), int(b[-1]))
+            ids = [flat[x:y] for x, y in zip((a - a[0]).tolist(), (b - a[0]).tolist(), strict=True)]
+            crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
+            raw = pa.array([x.tobytes() for x in ids], pa.binary()) if with_ids else pa.nulls(len(ids), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at:to], pa.int64()), pa.array(a + start), pa.array(b - a), crc, raw], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+            at = to
+
+    tasks = max(1, min(manifest.count(), shuffle_partitions(spark)))
+    listed = manifest.select("path", "start").repartitionByRange(tasks, "start")
+    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
