@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -57,14 +58,14 @@ def exact_brute(rows):
 
 
 def test_exact_edges(edge, docs, texts):
-    assert sorted((tuple(r) for r in exact_dedup.exact_dedup(edge).collect()), key=repr) == exact_brute(TEXTS)
+    assert sorted((tuple(r) for r in exact_dedup.exact_dedup(edge).drop("raw_hash").collect()), key=repr) == exact_brute(TEXTS)
     assert exact_dedup.exact_dedup(none_of(edge)).count() == 0
-    assert sorted((tuple(r) for r in exact_dedup.exact_dedup(docs, block_bytes=64).collect()), key=repr) == exact_brute(texts.items())
+    assert sorted((tuple(r) for r in exact_dedup.exact_dedup(docs, block_bytes=64).drop("raw_hash").collect()), key=repr) == exact_brute(texts.items())
 
 
 def test_exact_with_colliding_fingerprints(edge):
     bad = lambda block: (F.length(block).cast("long") % 2, F.lit(0).cast("long"))
-    assert sorted((tuple(r) for r in exact_dedup.exact_dedup(edge, block_bytes=5000, fingerprint=bad).collect()), key=repr) == exact_brute(TEXTS)
+    assert sorted((tuple(r) for r in exact_dedup.exact_dedup(edge, block_bytes=5000, fingerprint=bad).drop("raw_hash").collect()), key=repr) == exact_brute(TEXTS)
 
 
 def test_exact_oracle(spark):
@@ -149,6 +150,25 @@ def test_packing(edge, docs, texts):
     assert packing.pack_documents(none_of(edge)).count() == 0
 
 
+def test_padding(spark, edge):
+    assert [packing.padded_length(n) for n in (1, 2, 3, 1000, 1024, 1025, 2047, 2048)] == [1, 2, 2048, 2048, 1024, 2048, 2048, 2048]
+    for window, buffer in ((2048, 10**9), (64, 500)):
+        pieces = packing.pack_documents(edge, window=window, buffer_tokens=buffer).cache()
+        parts = collections.defaultdict(dict)
+        for r in pieces.collect():
+            parts[r.sequence_id][r.offset] = (np.frombuffer(r.ids, f"<u{r.id_bytes}"), r.id_bytes)
+        whole = packing.padded_sequences(pieces, 7).collect()
+        assert len(whole) == len(parts) > 0
+        for r in whole:
+            ids = np.concatenate([parts[r.sequence_id][k][0] for k in sorted(parts[r.sequence_id])])
+            got = np.frombuffer(r.ids, f"<u{parts[r.sequence_id][0][1]}")
+            assert r.n_tokens == len(ids) and len(got) == r.padded_tokens == packing.padded_length(len(ids), window)
+            assert (got[: len(ids)] == ids).all() and (got[len(ids) :] == 7).all()
+    # sequences whose tokens number a power of two stay as they are
+    one = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    assert [(r.padded_tokens, len(r.ids)) for r in packing.padded_sequences(packing.pack_documents(one)).collect()] == [(1, 2)]
+
+
 def test_token_files(spark, edge, docs, texts):
     for df, source, size in ((edge, TEXTS, 3000), (docs, list(texts.items()), 10**9)):
         rows = sorted(tokenfile.read_tokens(spark, tokenfile.write_tokens(df, file_tokens=size)).collect(), key=lambda r: r.start)
@@ -166,11 +186,40 @@ def test_random_access():
     rng = np.random.default_rng(1)
     for ids in (rng.integers(0, 1 << 26, 5000), rng.integers(0, 200, 700), np.array([7]), np.array([1 << 31])):
         f = tokenfile.TokenFile(tokenfile.to_bytes([3, None], np.array([1, len(ids)]), ids.astype("<u4")))
-        assert f.doc_ids == [3, None] and [f.token(i) for i in range(len(ids))] == ids.tolist()
+        assert f.documents(0, 2)[0] == [3, None] and [f.token(i) for i in range(len(ids))] == ids.tolist()
         for a, b in ((0, len(ids)), (len(ids) // 3, len(ids) // 2), (len(ids) - 1, len(ids))):
             assert f.tokens(a, b).tolist() == ids[a:b].tolist()
 
 
+def test_token_files_are_read_by_ranges(monkeypatch):
+    """A file with a null id, documents across the blocks that are read at once, and no more bytes read than are asked for."""
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 9, 300)
+    ids, ends, names = rng.integers(0, 1 << 20, lengths.sum()).astype("<u4"), np.cumsum(lengths), [None, *range(299)]
+    raw, asked = tokenfile.to_bytes(names, ends, ids), []
+
+    class Source:
+        def read_at(self, n, place):
+            asked.append(n)
+            return raw[place : place + n]
+
+    f = tokenfile.TokenFile(Source())
+    del asked[:]
+    assert f.token(700) == ids[700] and f.tokens(500, 520).tolist() == ids[500:520].tolist() and sum(asked) < 600
+    for a, b in ((0, 300), (0, 1), (1, 2), (7, 9), (130, 300)):
+        got = f.documents(a, b)
+        assert got[0] == names[a:b] and got[1].tolist() == [0, *ends][a:b] and got[2].tolist() == ends[a:b].tolist()
+
+
+def test_large_documents_are_read_alone(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(tokenfile, "READ_DOCS", 7)
+    monkeypatch.setattr(tokenfile, "READ_TOKENS", 100)
+    monkeypatch.setattr(tokenfile, "FILE_DOCS", 30)
+    rows = tokenfile.read_tokens(spark, tokenfile.write_tokens(docs)).collect()
+    assert {r.doc_id: bytes(r.ids) for r in rows} == {i: ids_of(t, 2).tobytes() for i, t in texts.items()}
+    assert sorted(r.start for r in rows) == [0, *np.cumsum([r.n_tokens for r in sorted(rows, key=lambda r: r.start)])[:-1].tolist()]
+
+
 # pages
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="cookie-notice">We use</div>
 {open}<h2>Head &amp; line</h2><p>Hello<b> wor</b>ld.<script>var x="</p>"</script></p><div class="ad">Buy this now, it is really good and long text too</div><p>More
@@ -220,6 +269,48 @@ def test_every_run_of_a_page_is_kept():
     assert html_text.main_text(f"<div class='related-layout'><article>{p(one)}</article></div>") == one
 
 
+def test_the_distribution_finds_bodies():
+    long = [f"Sentence {k} of the story, which goes on for a while and ends here." for k in range(6)]
+    p, want = "".join(f"<p>{x}</p>" for x in long), "\n".join(long)
+    items = "".join(f"<li>Item {k}</li>" for k in range(8))
+    assert html_text.main_text(f"<ul>{items}</ul>{p}<ul>{items}</ul>") == want  # a menu that nothing names, without links
+    assert html_text.main_text(f"{p}<p>The end.</p>") == want + "\nThe end."
+    assert html_text.main_text("<div>" + "</div><div>".join(long) + f"</div><ul>{items}</ul>") == want
+    for attributes in ("class='post-share-story'", "class='notice-board-history'", "class='widget'", "class='hidden-gems'"):
+        assert html_text.main_text(f"<body><div {attributes}>{p}</div></body>") == want, attributes
+    assert html_text.main_text(f"<article>{p}<p class='notice-board-history'>Why notices hang there.</p></article>") == want + "\nWhy notices hang there."
+    for gone in ("<div class='x' hidden>not seen, though it is as long as any other line</div>", "<div hidden class='x'>not seen at all</div>", "<div class='ad-slot top'>Buy this now, it is really good</div>", "<div class='cookieNotice'>We use them all</div>"):
+        assert html_text.main_text(f"{p}{gone}") == want, gone
+    teasers = "".join(f"<p><a href='/{k}'>Another story, number {k}, that only asks to be read</a></p>" for k in range(5))
+    assert html_text.main_text(f"{p}{teasers}") == want
+    assert html_text.main_text("<nav>a</nav><div class='ad'>Buy this now, it is really good and long text too</div><footer>b</footer>") == ""
+    assert html_text.main_text("<div id='comments'>" + p + "</div>") == ""
+    assert html_text.main_text("<div>" + "word " * 200_000 + "</div>") == ("word " * 200_000).strip()
+
+
+def test_runs_lie_between_surges_and_dives():
+    rng = random.Random(9)
+    for _ in range(300):
+        weights = [rng.choice([None, 0, 5, 15, 50]) for _ in range(rng.randint(0, 14))]
+        runs, known = html_text.between_surges_and_dives(weights), [x or 0 for x in weights]
+        windows = [(a, a + html_text.WINDOW, sum(known[max(a, 0) : max(a + html_text.WINDOW, 0)])) for a in range(1 - html_text.WINDOW, len(known))]
+        least = min(html_text.SURGE, max((w[2] for w in windows), default=0))
+        inside = {k for a, b, total in windows if total >= least > 0 for k in range(max(a, 0), min(b, len(known))) if weights[k] is not None}
+        covered = {k for a, b in runs for k in range(a, b)}
+        assert inside <= covered and all(weights[a] is not None and weights[b - 1] is not None for a, b in runs)
+        assert not {k for k in covered - inside if weights[k] is not None}
+
+
+@pytest.mark.parametrize("part", ['<a "', "<!--", "<p ", "<", "<div class='ad'>", "<script>", "</", "&amp;", "<aside><article>"])
+def test_pages_take_linear_time(part):
+    def seconds(n):
+        start = time.perf_counter()
+        html_text.main_text(part * n)
+        return time.perf_counter() - start
+
+    assert seconds(40_000) < 8 * max(seconds(10_000), 0.02)
+
+
 # quality
 def test_quality_holds_out(spark):
     sf = "/root/testdata/sf0.1"

@@ -8,6 +8,8 @@ a task keeps at most ``buffer_tokens`` tokens and packs and emits them when it h
 
 The windows of a buffer that stay the least full are emptied into the gaps of the others
 (their pieces are cut, which the contract allows), so that a buffer pads less than one window.
+
+A sequence is padded to the window, unless its tokens number a power of two: then it stays as it is.
 """
 
 from __future__ import annotations
@@ -25,7 +27,12 @@ from .tokens import encoder as shared_encoder
 WINDOW = 2048
 #: Tokens that a task holds before it packs them: 16M are 32 MB.
 BUFFER_TOKENS = 16_000_000
-SCHEMA = "id_ {id_type}, start long, length long, ids binary, id_bytes int, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_tokens long"
+SCHEMA = "id_ {id_type}, start long, length long, ids binary, id_bytes int, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_tokens long, padded_tokens long"
+
+
+def padded_length(tokens: int, window: int = WINDOW) -> int:
+    """Length of a sequence once it is padded."""
+    return tokens if tokens & (tokens - 1) == 0 else window
 
 
 class CapacityTree:
@@ -105,10 +112,10 @@ def pack(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int,
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 1, vocabulary: str | None = None, buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
-    """One row per piece: id, start, length, ids (little-endian, id_bytes each), ids_crc32 (of the ids as unsigned 32-bit integers), doc_tokens, sequence_id, offset, window_tokens.
+    """One row per piece: id, start, length, ids (little-endian, id_bytes each), ids_crc32 (of the ids as unsigned 32-bit integers), doc_tokens, sequence_id, offset, window_tokens, padded_tokens.
 
     A document is its ids plus ``end_id``; start counts its ids before the piece, offset those before
-    it in its sequence, window_tokens those that the sequence holds in all. Null text counts as empty (one piece, the end id); a null id stays null;
+    it in its sequence, window_tokens those that the sequence holds in all, padded_tokens its length once padded (see :func:`padded_sequences`). Null text counts as empty (one piece, the end id); a null id stays null;
     repeated rows are packed one by one; other columns are ignored.
     """
     id_type = docs.schema[id_col].dataType
@@ -145,8 +152,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in part], arrow_id), *(pa.array([f(x) for x in part], t) for f, t in (
                         (lambda x: x[1], pa.int64()), (lambda x: len(x[2]), pa.int64()), (lambda x: x[2].tobytes(), pa.binary()), (lambda x: x[2].itemsize, pa.int32()), (lambda x: zlib.crc32(x[2].astype("<u4")), pa.int64()),
-                        (lambda x: x[3], pa.int64()), (lambda x: x[4], pa.int64()), (lambda x: x[5], pa.int64()), (lambda x: x[6], pa.int64())))],
-                    ["id_", "start", "length", "ids", "id_bytes", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_tokens"],
+                        (lambda x: x[3], pa.int64()), (lambda x: x[4], pa.int64()), (lambda x: x[5], pa.int64()), (lambda x: x[6], pa.int64()), (lambda x: padded_length(x[6], window), pa.int64())))],
+                    ["id_", "start", "length", "ids", "id_bytes", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_tokens", "padded_tokens"],
                 )
 
         for whole in rows:
@@ -164,3 +171,15 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     out = source.mapInArrow(run, SCHEMA.format(id_type=id_type.simpleString()))
     return out.withColumnRenamed("id_", id_col)
+
+
+def padded_sequences(pieces: DataFrame, pad_id: int = 0) -> DataFrame:
+    """One row per sequence of :func:`pack_documents`: sequence_id, n_tokens, padded_tokens, ids (little-endian, as wide as the pieces').
+
+    A sequence is the ids of its pieces in order, then ``pad_id`` up to padded_tokens. It holds at most a window, so a group is small.
+    """
+    part = F.struct("offset", F.hex("ids").alias("hex"))
+    one = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("window_tokens").alias("n_tokens"), F.max("padded_tokens").alias("padded_tokens"), F.max("id_bytes").alias("width"))
+    pad = F.when(F.col("width") == 2, pad_id.to_bytes(4, "little")[:2].hex()).otherwise(pad_id.to_bytes(4, "little").hex())
+    whole = F.concat(F.array_join(F.transform("parts", lambda p: p["hex"]), ""), F.repeat(pad, (F.col("padded_tokens") - F.col("n_tokens")).cast("int")))
+    return one.select("sequence_id", "n_tokens", "padded_tokens", F.unhex(whole).alias("ids"))
