@@ -157,8 +157,8 @@ def fit_prototypes(labelled: DataFrame, fit_rows: int = FIT_ROWS, dimensions: in
     return langs, p.astype(np.float32)
 
 
-def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", dimensions: int = DIMENSIONS, gram: int = GRAM) -> DataFrame:
-    """Columns of ``docs`` under ``row_`` (without the text), lang_pred, score, margin.
+def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", dimensions: int = DIMENSIONS, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+    """Columns of ``docs`` under ``row_`` (without the text, unless ``with_text``), lang_pred, score, margin.
 
     score is the cosine with the language's prototype, at least 0; margin is its lead over the
     next one; of equal ones the first in the order of names wins. Null texts and those without a letter get ``und`` and 0, as do all
@@ -170,7 +170,7 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text:
     centred = prototypes - centre
     if len(langs):
         centred = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row_"), F.col(f"`{text}`").alias("t_"))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text or c != text]).alias("row_"), F.col(f"`{text}`").alias("t_"))
     schema = f"row_ {source.schema['row_'].dataType.simpleString()}, lang_pred string, score double, margin double"
 
     def run(rows):
