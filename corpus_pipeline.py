@@ -1,7 +1,8 @@
 """A corpus from raw documents to packed training sequences: the stages in order.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next one's docs. All but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All but the
+last return the columns of documents, whatever others there are beside doc_id, text and lang. For all of them: a null text counts as
+empty, texts of any length are read whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,39 +11,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictlake.llm import decontaminate, exact_dedup, langid, minhash, packing, queries
-from verdictlake.llm.scratch import written
+from verdictlake.llm.scratch import drop, written
+
+#: Documents of which at least so many hundredths of all five-word shingles are shared are near-duplicates.
+NEAR_PER_CENT = 80
+
+
+def _without(docs: DataFrame, gone: DataFrame, keys: dict) -> DataFrame:
+    """Rows of ``docs`` that agree with none of the small table ``gone`` in all keys (name in ``gone`` -> column); nulls are equal.
+
+    The table is read back, so that the planner knows its size: it is broadcast if it is small, and the texts are not moved.
+    """
+    gone = written(gone.select(*keys).distinct(), "dropped")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), *[c.alias(f"{k}_") for k, c in keys.items()])
+    same = [rows[f"{k}_"].eqNullSafe(gone[k]) for k in keys]
+    out = rows.join(gone, same, "left_anti").select("row_.*")
+    out.scratch_tables = [gone]
+    return out
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which no language can be told (no letter, or no text), also where there is no language to learn."""
+    """Drops documents of which no language can be told (no letter, or no text), also where there is no language to learn. Each row is judged by itself."""
     model = queries.language_model(docs)
     if not model[0]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict_language(docs.withColumn("text_", F.col("text")), model, "text_")
+    found = langid.predict_language(docs, model, with_text=True)
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select("row_.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    gone = exact_dedup.exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("s"), F.col("n_chars").alias("n")).distinct()
-    marked = docs.withColumns({"sha_": F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256), "chars_": F.coalesce(F.length("text"), F.lit(0)).cast("long")})
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha_") == F.col("s")) & (F.col("chars_") == F.col("n"))
-    return marked.join(gone, same, "left_anti").select(docs.columns)
+    """One document of each group of equal texts stays. Rows that agree in id and text, null ids too, stay or go together."""
+    found = exact_dedup.exact_dedup(docs)
+    out = _without(docs, found.where("not kept"), {"doc_id": F.col("doc_id"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long"), "raw_hash": F.xxhash64("text")})
+    drop(found)
+    return out
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates stays. Rows that share an id stay or go together; those with a null id or no words stay."""
+    found = minhash.near_duplicates(docs, per_cent=NEAR_PER_CENT)
+    out = _without(docs, found.where("not kept"), {"doc_id": F.col("doc_id")})
+    drop(found)
+    return out
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
+    """Drops documents that contain a benchmark item. Each row is judged by itself."""
     return decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences. Rows that repeat are packed one by one; a null id stays null."""
     return packing.pack_documents(docs)
 
 
@@ -56,5 +75,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = stage(spark, docs, sf_dir)
+        kept = written(made, f"stage-{name}")
+        drop(docs, *getattr(made, "scratch_tables", ()))
+        docs = kept
     return docs
