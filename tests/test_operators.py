@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from verdictlake.operators import chunking, graph, retrieval, rules, workflow
 from verdictlake.plans import ranking
+from verdictlake.plans.policy import POLICY
 from verdictlake.sources import tables
 from verdictlake.streaming import ingest
 
 
 def audit(spark, *queries):
     df = spark.createDataFrame(list(enumerate(queries)), "id int, query string")
-    rows = rules.audit_checks(rules.request_facts(df)).select("id", "checks", rules.status_of(F.col("checks")).alias("s")).orderBy("id").collect()
+    facts = rules.request_facts(df, POLICY)
+    rows = rules.audit_checks(facts, POLICY).select("id", "checks", rules.status_of(F.col("checks")).alias("s")).orderBy("id").collect()
+    assert [r.s for r in rows] == [r.status for r in rules.audit_status(facts, POLICY).orderBy("id").collect()]
     return [(r.s, {c.name: c.result for c in r.checks}) for r in rows]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..config import POLICY, Policy
+from ..config import Policy
 from ..functions import text as T
 
 # Budget of a packed context and lengths of lists.
@@ -16,20 +16,21 @@ MAX_BLOCKS, MAX_CHARS = 14, 18_000
 MAX_EVIDENCE, MAX_PER_CHECK, SNIPPET_CHARS = 8, 3, 600
 
 
-def source_priority(source: Column, query: Column, policy: Policy = POLICY) -> Column:
+def source_priority(source: Column, query: Column, policy: Policy) -> Column:
+    """Points of a source for a request."""
     out = F.lit(0)
-    for name, points, terms in policy.source_priority:
-        hit = source == name
+    for names, points, terms in policy.source_priority:
+        hit = source.isin(list(names))
         out = out + F.when(hit & T.contains_any(query, terms) if terms else hit, points).otherwise(0)
     return out
 
 
-def context_score(blocks: DataFrame, query: str = "query", text: str = "text", source: str = "source", policy: Policy = POLICY) -> DataFrame:
+def context_score(blocks: DataFrame, policy: Policy, query: str = "query", text: str = "text", source: str = "source") -> DataFrame:
     """``blocks`` (a row per query and block) with ``score``; rows that score 0 are left out."""
     q, t = T.normalized(F.col(query)), T.normalized(F.col(text))
     spelled = F.array_distinct(F.flatten(F.transform(T.amounts(q), T.money_terms)))
     hits = lambda terms: F.size(F.filter(terms, lambda x: F.contains(F.col("t_"), x)))
-    pair = lambda p: F.when(T.contains_any(F.col("q_"), p[0]) & T.contains_any(F.col("t_"), p[1]), policy.co_occurrence_points).otherwise(0)
+    pair = lambda p: F.when(T.contains_any(F.col("q_"), p[0]) & T.contains_any(F.col("t_"), p[1]), config.CO_OCCURRENCE_POINTS).otherwise(0)
     df = T.evaluated(blocks, {"q_": q, "t_": t, "terms_": T.query_terms(q), "money_": spelled})
     score = source_priority(F.col(source), F.col("q_"), policy) + 3 * hits("terms_") + 12 * hits("money_") + 10 * T.count_terms(F.col("t_"), config.RULE_TERMS)
     score = reduce(lambda a, p: a + pair(p), policy.co_occurrence, score)
@@ -84,21 +85,36 @@ def select_evidence(scored: DataFrame, request: str, index: str, k: int = MAX_EV
     return kept.withColumn("rank", F.row_number().over(order)).drop("place", "any_direct")
 
 
-def promoted_source(selected: DataFrame, request: str, source: str, known: tuple = POLICY.sources) -> DataFrame:
+def promoted_source(selected: DataFrame, request: str, source: str, known: tuple) -> DataFrame:
     """(request, promoted): the source of the strongest item if that states the rule directly."""
     return selected.where((F.col("rank") == 1) & F.col("direct") & F.col(source).isin(list(known))).select(request, F.col(source).alias("promoted"))
 
 
-def check_evidence(checks: DataFrame, items: DataFrame, request: str, index: str, policy: Policy = POLICY, source: str = "source", snippet: str = "snippet", k: int = MAX_PER_CHECK) -> DataFrame:
-    """(request, check, item, score, rank): the best items of each check by its route. A request's items meet its own checks only."""
-    spark = checks.sparkSession
+def reselected(items: DataFrame, request: str, index: str, terms: Column, ceiling: Column, expected: str, known: tuple, snippet: str = "snippet", source: str = "source", k: int = MAX_EVIDENCE) -> DataFrame:
+    """Evidence selected twice: what the first pass promotes is the primary source of the second, which adds ``primary``."""
+    choose = lambda df, column: select_evidence(evidence_scores(df, terms, ceiling, F.col(column), snippet, source), request, index, k)
+    promoted = promoted_source(choose(items, expected), request, source, known)
+    again = items.join(promoted, request, "left").withColumn("primary", F.coalesce("promoted", expected)).drop("promoted")
+    return choose(again, "primary")
+
+
+def check_evidence(checks: DataFrame, items: DataFrame, request: str, index: str, policy: Policy, source: str = "source", snippet: str = "snippet", place: str | None = None, k: int = MAX_PER_CHECK) -> DataFrame:
+    """(request, check, item, points, rank): the best items of each check by its route; a check that has none gets the request's first item.
+
+    ``place`` names the items' order (their index, if there is no other). The fallback has no points. A check of a request without items has no row.
+    """
+    spark, place = checks.sparkSession, place or index
     routes = F.broadcast(spark.createDataFrame([(n, list(s), list(t)) for n, (s, t) in policy.check_routes.items()], "check string, docs array<string>, route_terms array<string>"))
-    both = checks.select(request, "check").join(routes, "check").join(items, request).where(F.array_contains(F.col("docs"), F.col(source)))
+    asked = checks.select(request, "check").distinct()
+    both = asked.join(routes, "check").join(items, request).where(F.array_contains(F.col("docs"), F.col(source)))
     hits = F.size(F.filter("route_terms", lambda t: F.contains(F.col("s_"), t)))
     direct = F.when(F.array_contains("criteria", "direct_threshold_rule_match"), 20).otherwise(0)
     scored = both.withColumn("s_", T.normalized(F.col(snippet))).withColumn("points", 30 + 8 * hits + direct)
-    w = Window.partitionBy(request, "check").orderBy(F.desc("points"), F.asc(index))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(request, "check", index, "points", "rank")
+    w = Window.partitionBy(request, "check").orderBy(F.desc("points"), F.asc(place), F.asc(index))
+    routed = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(request, "check", index, "points", "rank")
+    first = items.groupBy(request).agg(F.min(F.struct(F.col(place).alias("p"), F.col(index).alias("i")))["i"].alias(index))
+    bare = asked.join(routed.select(request, "check").distinct(), [request, "check"], "left_anti").join(first, request)
+    return routed.unionByName(bare.select(request, "check", index, F.lit(None).cast("int").alias("points"), F.lit(1).alias("rank")))
 
 
 def citations(evidence: DataFrame, request: str, source: str, page: str) -> DataFrame:

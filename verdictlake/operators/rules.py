@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..config import POLICY, Policy
+from ..config import Policy
 from ..functions import text as T
 
 
-def request_facts(requests: DataFrame, query: str = "query", policy: Policy = POLICY) -> DataFrame:
+def request_facts(requests: DataFrame, policy: Policy, query: str = "query") -> DataFrame:
     """``requests`` with the facts that rules need, read from the request's text.
 
     The first number of the text is the transaction value, 0 if there is none; the ceiling is the policy's.
@@ -18,15 +20,15 @@ def request_facts(requests: DataFrame, query: str = "query", policy: Policy = PO
     df = T.evaluated(requests, {"q_": F.coalesce(F.col(query), F.lit(""))})
     df = T.evaluated(df, {"low_": T.normalized(F.col("q_"))})
     q, low = F.col("q_"), F.col("low_")
-    kind = T.first_route(low, config.TYPE_ROUTES, config.DEFAULT_TYPE)
+    abroad = T.contains_any(low, config.JURISDICTION_TERMS)
     facts = {
         "transaction_value": F.coalesce(F.get(T.amounts(q), 0), F.lit(0.0)),
         "allowed_ceiling": F.lit(policy.ceiling),
         "source_doc": T.first_route(low, config.SOURCE_ROUTES, config.DEFAULT_SOURCE),
-        "transaction_type": kind,
-        "origin_entity": T.origin(q, policy.origin_prefix, policy.default_origin),
+        "transaction_type": T.first_route(low, config.TYPE_ROUTES, config.DEFAULT_TYPE),
+        "origin_entity": T.origin(q, policy.group, policy.units),
         "destination": T.destination(q),
-        "jurisdiction": F.when(T.contains_any(low, config.CROSS_BORDER), policy.home_jurisdiction).otherwise("Unspecified jurisdiction"),
+        "jurisdiction": F.when(abroad, f"{policy.country} outbound remittance").otherwise("Unspecified jurisdiction"),
         "currency": T.currency(q, policy.currency),
     }
     return T.evaluated(df, facts).withColumn("payment_purpose", F.col("transaction_type")).drop("q_", "low_")
@@ -38,42 +40,74 @@ def scenario(query: Column) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts]))
 
 
-def _check(name: str, actual: Column, result: Column, variance: Column | None = None) -> Column:
-    return F.struct(F.lit(name).alias("name"), actual.alias("actual"), result.alias("result"), (F.lit(None).cast("double") if variance is None else variance).alias("variance"))
+#: Names of the checks in their order; the last four are made only where the scenario asks for them.
+CHECKS = tuple(config.CHECK_ROUTES)
 
 
 def _verdict(bad: Column, yes: str, no: str) -> Column:
     return F.when(bad, yes).otherwise(no)
 
 
-def audit_checks(facts: DataFrame, query: str = "query", policy: Policy = POLICY, rules: str | None = None) -> DataFrame:
+def _measured(facts: DataFrame, query: str) -> DataFrame:
+    """``facts`` with the scenario and what the checks measure in it."""
+    df = T.evaluated(facts, {"scenario": scenario(F.col(query))})
+    s = F.col("scenario")
+    has = lambda terms: T.contains_any(s, terms)
+    share, total = F.coalesce(F.array_max(T.percents(s)), F.lit(0.0)), T.money_after(s, config.CUMULATIVE_ANCHORS)
+    insider = has(config.INSIDER_TERMS) & has(config.CREDIT_TERMS)
+    marks = {
+        "max_share": share, "cumulative": total, "abroad": has(config.CROSS_BORDER), "gap": has(config.KYC_TERMS), "crypto": has(config.CRYPTO_TERMS), "foreign": has(config.INVESTMENT_TERMS),
+        "lending": has(config.DIRECTOR_TERMS), "insider": insider, "unknown": F.coalesce(F.col("source_doc"), F.lit("")).isin("", "N/A"),
+    }
+    return T.evaluated(df, {"m": F.struct(*[c.alias(k) for k, c in marks.items()])})
+
+
+def _results(policy: Policy, rules: str | None) -> dict[str, Column]:
+    """Result of each check, null where it is not made; reads columns of :func:`_measured`."""
+    m, value = F.col("m"), F.col("transaction_value")
+    wide = (value > policy.investment_value_limit) | (m["max_share"] > policy.investment_ownership_limit)
+    conflict = (m["max_share"] > policy.ownership_limit) & m["insider"]
+    found = (
+        _verdict(value > F.col("allowed_ceiling"), "FAIL", "PASS"),
+        _verdict(m["unknown"], "FAIL", "PASS"),
+        _verdict(F.size(rules) > 0, "PASS", "REVIEW") if rules else F.lit("PASS"),
+        _verdict(m["abroad"], "PASS", "REVIEW"),
+        _verdict(m["gap"] | m["crypto"], "REVIEW", "PASS"),
+        _verdict(m["unknown"], "REVIEW", "PASS"),
+        F.when(m["foreign"], _verdict(wide, "FAIL", "REVIEW")),
+        F.when(m["lending"], _verdict(conflict, "FAIL", "REVIEW")),
+        F.when(m["cumulative"] != 0, _verdict(m["cumulative"] + value > policy.cumulative_limit, "FAIL", "PASS")),
+        F.when(m["crypto"], "REVIEW"),
+    )
+    return dict(zip(CHECKS, found, strict=True))
+
+
+def audit_status(facts: DataFrame, policy: Policy, query: str = "query", rules: str | None = None) -> DataFrame:
+    """``facts`` with ``status``, from the checks' results alone: none of their texts is written."""
+    results = list(_results(policy, rules).values())
+    any_ = lambda r: F.coalesce(reduce(lambda a, b: a | b, [c.eqNullSafe(F.lit(r)) for c in results]), F.lit(False))
+    return _measured(facts, query).withColumn("status", F.when(any_("FAIL"), "NON_COMPLIANT").when(any_("REVIEW"), "ACTION_REQUIRED").otherwise("COMPLIANT")).drop("m", "scenario")
+
+
+def audit_checks(facts: DataFrame, policy: Policy, query: str = "query", rules: str | None = None) -> DataFrame:
     """``facts`` with ``checks``: an array of (name, actual, result, variance), six base checks and up to four that the scenario asks for.
 
     ``rules`` names an array column of applicable rules; without it one rule is taken to apply.
     """
-    df = T.evaluated(facts, {"scenario": scenario(F.col(query))})
-    df = T.evaluated(df, {"max_share": F.coalesce(F.array_max(T.percents(F.col("scenario"))), F.lit(0.0)), "cumulative": T.money_after(F.col("scenario"), policy.cumulative_anchors)})
-    s, value, ceiling = F.col("scenario"), F.col("transaction_value"), F.col("allowed_ceiling")
-    has = lambda terms: T.contains_any(s, terms)
-    known = F.coalesce(F.col("source_doc"), F.lit("")).isin("", "N/A")
-    source = F.when(known, "N/A").otherwise(F.col("source_doc"))
-    total = F.col("cumulative") + value
-    crypto, gap, foreign = has(policy.crypto_terms), has(policy.kyc_terms), has(policy.investment_terms)
-    route = F.concat(F.col("origin_entity"), F.lit(" -> "), F.col("destination"))
-    unit = F.col("currency")
-    checks = [
-        _check("Transactional Exposure", T.money(value, unit), _verdict(value > ceiling, "FAIL", "PASS"), value - ceiling),
-        _check("Primary Rule Source", source, _verdict(known, "FAIL", "PASS")),
-        _check("Rule Applicability", F.concat_ws(" | ", "transaction_type", route, "payment_purpose"), _verdict(F.size(rules) > 0, "PASS", "REVIEW") if rules else F.lit("PASS")),
-        _check("Cross-Border Classification", F.concat_ws(" | ", route, "jurisdiction"), _verdict(has(config.CROSS_BORDER), "PASS", "REVIEW")),
-        _check("KYC / Wire Transfer Evidence", _verdict(gap, "Beneficiary or originator verification requires review", "No explicit evidence gap detected"), _verdict(gap | crypto, "REVIEW", "PASS")),
-        _check("Regulatory Overlay", source, _verdict(known, "REVIEW", "PASS")),
-        F.when(foreign, _check("Foreign Investment Route", F.col("payment_purpose"), _verdict((value > policy.investment_value_limit) | (F.col("max_share") > policy.investment_ownership_limit), "FAIL", "REVIEW"))),
-        F.when(has(policy.director_terms), _check("Director Exposure Risk", F.col("destination"), _verdict((F.col("max_share") > policy.ownership_limit) & has(policy.insider_terms) & has(policy.credit_terms), "FAIL", "REVIEW"))),
-        F.when(F.col("cumulative") != 0, _check("Cumulative Quarterly Exposure", F.concat(T.money(total, unit), F.lit(" including current transaction")), _verdict(total > policy.cumulative_limit, "FAIL", "PASS"), total - policy.cumulative_limit)),
-        F.when(crypto, _check("Digital Asset Beneficiary Verification", F.col("destination"), F.lit("REVIEW"))),
-    ]
-    return T.evaluated(df, {"checks": F.array_compact(F.array(*checks))})
+    df = T.evaluated(_measured(facts, query), {"r": F.struct(*[c.alias(k) for k, c in _results(policy, rules).items()])})
+    m, value, unit = F.col("m"), F.col("transaction_value"), F.col("currency")
+    source = F.when(m["unknown"], "N/A").otherwise(F.col("source_doc"))
+    total, route = m["cumulative"] + value, F.concat(F.col("origin_entity"), F.lit(" -> "), F.col("destination"))
+    actual = dict(zip(CHECKS, (
+        T.money(value, unit), source, F.concat_ws(" | ", "transaction_type", route, "payment_purpose"), F.concat_ws(" | ", route, "jurisdiction"),
+        _verdict(m["gap"], "Beneficiary or originator verification requires review", "No explicit evidence gap detected"), source, F.col("payment_purpose"), F.col("destination"),
+        F.concat(T.money(total, unit), F.lit(" including current transaction")), F.col("destination"),
+    ), strict=True))
+    variance = {"Transactional Exposure": value - F.col("allowed_ceiling"), "Cumulative Quarterly Exposure": total - policy.cumulative_limit}
+    none = F.lit(None).cast("double")
+    rows = [F.struct(F.lit(k).alias("name"), actual[k].alias("actual"), F.col("r")[k].alias("result"), variance.get(k, none).alias("variance")) for k in CHECKS]
+    made = F.array_compact(F.array(*[F.when(F.col("r")[k].isNotNull(), row) for k, row in zip(CHECKS, rows, strict=True)]))
+    return T.evaluated(df, {"checks": made}).drop("m", "r")
 
 
 def status_of(checks: Column) -> Column:

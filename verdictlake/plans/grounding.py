@@ -11,20 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..config import POLICY
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import retrieval as R
 from ..operators import rules
 from . import ranking
+from .policy import POLICY, SOURCES
 
-SOURCES = tuple(f"src{k}" for k in range(20))
+#: Terms and routes that the invented prose of the tables has.
 TABLE_POLICY = replace(
     POLICY,
-    sources=SOURCES,
-    source_priority=(("src0", 35, ()), ("src1", 30, ("that", "with")), ("src2", 30, ("ered", "tion")), ("src3", 18, ("zzz",))),
+    documents={"first": ("src0",), "second": ("src1",), "third": ("src2",), "fourth": ("src3",), "near": ("src4", "src5"), "rest": tuple(f"src{k}" for k in range(6, 20))},
+    priority=(("first", 35, ()), ("second", 30, ("that", "with")), ("third", 30, ("ered", "tion")), ("fourth", 18, ("zzz",))),
     co_occurrence=((("the", "and"), ("license", "token")), (("er",), ("worthless", "555-")), (("qqq",), ("the",))),
-    check_routes={"Exposure": (("src0", "src1", "src2"), ("tion", "the", "license")), "Source": (("src4", "src5"), ("ered", "token")), "Overlay": (tuple(f"src{k}" for k in range(6, 20)), ("555-", "and", "with"))},
+    routes={"Exposure": (("first", "second", "third"), ("tion", "the", "license")), "Source": (("near",), ("ered", "token")), "Overlay": (("rest",), ("555-", "and", "with"))},
 )
 CEILING = 5.0
 
@@ -35,7 +35,7 @@ def blocks(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
 
 
 def _scored(spark, sf_dir):
-    return E.context_score(blocks(spark, sf_dir), policy=TABLE_POLICY)
+    return E.context_score(blocks(spark, sf_dir), TABLE_POLICY)
 
 
 def context_score(spark, sf_dir):
@@ -66,14 +66,35 @@ def evidence_select(spark, sf_dir):
 
 
 def promoted_source(spark, sf_dir):
-    return E.promoted_source(_selected(spark, sf_dir), "query_id", "source", SOURCES)
+    """Orders whose strongest line states the rule directly."""
+    items = _line_evidence(spark, sf_dir)
+    scored = E.evidence_scores(items, F.array(F.lit("goods")), F.col("ceiling"), F.col("expected"))
+    return E.promoted_source(E.select_evidence(scored, "l_orderkey", "l_linenumber"), "l_orderkey", "source", SOURCES)
+
+
+def _line_evidence(spark, sf_dir):
+    """Line items as evidence for their order: a sentence each, some of which state the order's ceiling as a rule."""
+    li, o = ranking.table(spark, sf_dir, "lineitem"), ranking.table(spark, sf_dir, "orders")
+    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("l_suppkey"), F.max("l_returnflag").alias("l_returnflag"))
+    asked = o.select(F.col("o_orderkey").alias("l_orderkey"), ((F.col("o_orderkey") % 3 + 1) * 1000).cast("double").alias("ceiling"), F.concat(F.lit("src"), (F.col("o_custkey") % 20).cast("string")).alias("expected"))
+    amount = F.concat(F.lit("$"), F.format_number((F.col("l_linenumber") % 3 + 1) * 1000, 0))
+    said = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("Remittance for goods is capped at "), amount, F.lit(" as a limit.")))
+    said = said.when(F.col("l_returnflag") == "A", F.concat(F.lit("Goods for "), amount, F.lit(" were sent."))).otherwise("Compliance was not looked at.")
+    return li.join(asked, "l_orderkey").select("l_orderkey", "l_linenumber", F.concat(F.lit("src"), (F.col("l_suppkey") % 20).cast("string")).alias("source"), said.alias("snippet"), "ceiling", "expected")
+
+
+def evidence_reselect(spark, sf_dir):
+    """What the strongest item promotes is the primary source of a second selection."""
+    items = _line_evidence(spark, sf_dir)
+    found = E.reselected(items, "l_orderkey", "l_linenumber", F.array(F.lit("goods")), F.col("ceiling"), "expected", SOURCES)
+    return found.select("l_orderkey", "l_linenumber", "rank", "priority", "primary")
 
 
 def check_evidence(spark, sf_dir):
-    items = _selected(spark, sf_dir).select("query_id", "doc_id", "source", "snippet", "criteria")
+    items = _selected(spark, sf_dir).select("query_id", "doc_id", "source", "snippet", "criteria", F.col("rank").alias("place"))
     names = F.explode(F.array(*[F.lit(n) for n in TABLE_POLICY.check_routes]))
     checks = ranking.queries_of(spark, sf_dir).select("query_id", names.alias("check"))
-    return E.check_evidence(checks, items, "query_id", "doc_id", TABLE_POLICY).withColumnRenamed("check", "check_name")
+    return E.check_evidence(checks, items, "query_id", "doc_id", TABLE_POLICY, place="place").withColumnRenamed("check", "check_name")
 
 
 def _cited(spark, sf_dir):
@@ -103,7 +124,7 @@ def citation_coverage(spark, sf_dir):
     return df.select("query_id", F.size(found).alias("n_cited"), F.round(E.coverage(found, F.coalesce("want", none)), 6).alias("coverage"))
 
 
-QUERIES = {f.__name__: f for f in (context_score, context_pack, evidence_scores, evidence_select, promoted_source, check_evidence, citation_list, citation_validity, citation_coverage)}
+QUERIES = {f.__name__: f for f in (context_score, context_pack, evidence_scores, evidence_select, promoted_source, evidence_reselect, check_evidence, citation_list, citation_validity, citation_coverage)}
 
 
 def _any(column: str, terms) -> str:
@@ -120,8 +141,8 @@ def _hits(column: str, array: str) -> str:
 
 _STOP = ", ".join(f"'{w}'" for w in config.QUERY_STOP_WORDS)
 _TERMS = f"list_filter(list_distinct(regexp_extract_all(q, '[a-z][a-z0-9_-]{{3,}}')), lambda x: x not in ({_STOP}))"
-_PRIORITY = " + ".join(f"case when source = '{s}'" + (f" and {_any('q', t)}" if t else "") + f" then {p} else 0 end" for s, p, t in TABLE_POLICY.source_priority)
-_PAIRS = " + ".join(f"case when {_any('q', a)} and {_any('t', b)} then {TABLE_POLICY.co_occurrence_points} else 0 end" for a, b in TABLE_POLICY.co_occurrence)
+_PRIORITY = " + ".join(f"case when source in {s + ('',)}" + (f" and {_any('q', t)}" if t else "") + f" then {p} else 0 end" for s, p, t in TABLE_POLICY.source_priority)
+_PAIRS = " + ".join(f"case when {_any('q', a)} and {_any('t', b)} then {config.CO_OCCURRENCE_POINTS} else 0 end" for a, b in TABLE_POLICY.co_occurrence)
 _RULE_LIST = "[" + ", ".join(f"'{t}'" for t in config.RULE_TERMS) + "]"
 _BASE = f"""{ranking._BM25}, bl as (select query_id, doc_id, rank as place, lower(trim(b.text)) as q, d.text, lower(trim(d.text)) as t, d.source from bm join benchmark b on b.item_id = query_id join documents d using (doc_id) where rank <= 50)"""
 _SCORED = f"""{_BASE}, cs as (select * from (select *, {_PRIORITY} + 3 * {_hits('t', _TERMS)} + 10 * {_count('t', config.RULE_TERMS)} + {_PAIRS} as score from bl) where score <> 0)"""
@@ -130,6 +151,20 @@ _EVIDENCE = f"""{_BASE}, e0 as (select query_id, doc_id, place, source, lower(tr
     ev as (select *, case when mc and len(mt) > 0 and mr then 80 else 0 end + case when ps then 20 else 0 end + case when mc then 30 else 0 end + case when len(mt) > 0 then 15 else 0 end + case when mr then 10 else 0 end as priority, mc and len(mt) > 0 and mr as direct from e1 where mc or ps or len(mt) > 0 or mr),
     t8 as (select *, bool_or(direct) over (partition by query_id) as anyd from (select *, row_number() over (partition by query_id order by priority desc, place) as pl from ev qualify pl <= 8)),
     sel as (select *, row_number() over (partition by query_id order by cast(direct as int) desc, pl) as rank from t8 where not anyd or direct or ps)"""
+_LINES = """l0 as (select l_orderkey, l_linenumber, max(l_suppkey) as l_suppkey, max(l_returnflag) as l_returnflag from lineitem group by 1, 2), li as (select l_orderkey, l_linenumber, 'src' || (l_suppkey % 20) as source, (l_orderkey % 3 + 1) * 1000 as ceiling, 'src' || (o_custkey % 20) as expected,
+    case l_returnflag when 'R' then 'Remittance for goods is capped at $' || format('{:,}', (l_linenumber % 3 + 1) * 1000) || ' as a limit.' when 'A' then 'Goods for $' || format('{:,}', (l_linenumber % 3 + 1) * 1000) || ' were sent.' else 'Compliance was not looked at.' end as snippet
+    from l0 join orders on o_orderkey = l_orderkey)"""
+
+
+def _line_pass(name: str, expected: str, lines: str = "li") -> str:
+    """One selection: marks of each line, its points, the eight best, then the direct ones and those of the primary source if any is direct."""
+    return f"""{name}0 as (select *, contains(lower(snippet), 'goods') as f, {_any('lower(snippet)', config.RULE_TERMS)} as r, source = {expected} as ps,
+        contains(snippet, format('{{:,}}', cast(ceiling as bigint))) or contains(snippet, cast(ceiling as varchar)) as c from {lines}),
+    {name}1 as (select *, c and f and r as direct, case when c and f and r then 80 else 0 end + case when ps then 20 else 0 end + case when c then 30 else 0 end + case when f then 15 else 0 end + case when r then 10 else 0 end as priority from {name}0),
+    {name}2 as (select *, row_number() over (partition by l_orderkey order by priority desc, l_linenumber) as place from {name}1 where priority > 0 qualify place <= 8),
+    {name} as (select *, row_number() over (partition by l_orderkey order by cast(direct as int) desc, place) as rank from (select *, bool_or(direct) over (partition by l_orderkey) as anyd from {name}2) where not anyd or direct or ps)"""
+
+
 _ROUTES = " union all ".join(f"select '{n}' as check_name, [{', '.join(repr(x) for x in s)}] as docs, [{', '.join(repr(x) for x in t)}] as rt" for n, (s, t) in TABLE_POLICY.check_routes.items())
 ORACLE_SQL = {
     "context_score": f"with {_SCORED} select query_id, doc_id, cast(score as integer) as score from cs",
@@ -141,9 +176,13 @@ ORACLE_SQL = {
         select query_id, doc_id, rank, length(part) as n_chars, md5(part) as part_md5 from p""",
     "evidence_scores": f"""with {_EVIDENCE} select query_id, doc_id, priority, array_to_string(list_filter([case when direct then 'direct_threshold_rule_match' end, case when ps then 'primary_source_match' end, case when mc then 'ceiling_value_match' end, case when len(mt) > 0 then 'transaction_fact_match' end, case when mr then 'rule_language_match' end], lambda x: x is not null), ',') as criteria, array_to_string(mt[1:8], ' ') as matched from ev""",
     "evidence_select": f"with {_EVIDENCE} select query_id, doc_id, rank, priority from sel",
-    "promoted_source": f"with {_EVIDENCE} select query_id, source as promoted from sel where rank = 1 and direct",
-    "check_evidence": f"""with {_EVIDENCE}, ro as ({_ROUTES}), c as (select query_id, check_name, doc_id, 30 + 8 * {_hits('s', 'rt')} + case when direct then 20 else 0 end as points from sel join ro on list_contains(docs, source))
-        select query_id, check_name, doc_id, points, row_number() over (partition by query_id, check_name order by points desc, doc_id) as rank from c qualify rank <= 3""",
+    "promoted_source": f"with {_LINES}, {_line_pass('a', 'expected')} select l_orderkey, source as promoted from a where rank = 1 and direct",
+    "evidence_reselect": f"""with {_LINES}, {_line_pass('a', 'expected')}, p as (select l_orderkey, source as promoted from a where rank = 1 and direct),
+        li2 as (select li.* exclude (expected), coalesce(promoted, expected) as expected from li left join p using (l_orderkey)), {_line_pass('b', 'expected', 'li2')}
+        select l_orderkey, l_linenumber, rank, priority, expected as primary from b""",
+    "check_evidence": f"""with {_EVIDENCE}, ro as ({_ROUTES}), c as (select query_id, check_name, doc_id, rank as place, 30 + 8 * {_hits('s', 'rt')} + case when direct then 20 else 0 end as points from sel join ro on list_contains(docs, source)),
+        k as (select query_id, check_name, doc_id, points, row_number() over (partition by query_id, check_name order by points desc, place) as rank from c qualify rank <= 3)
+        select * from k union all select query_id, check_name, doc_id, null, 1 from sel cross join (select check_name from ro) where rank = 1 and (query_id, check_name) not in (select (query_id, check_name) from k)""",
     "citation_list": f"with {_EVIDENCE} select query_id, array_to_string(list_sort(list_distinct(list(source || ' (Page ' || (doc_id % 7 + 1) || ')'))), '; ') as citations from sel group by query_id",
     "citation_validity": f"with {_BASE}, c as (select query_id, list(distinct source) as docs from bl where place <= 20 group by 1) select item_id as query_id, case when coalesce(list_contains(docs, 'src' || (item_id % 20)), false) then 'complete' when item_id % 2 >= 1 then 'breaker' else 'retry' end as state from benchmark left join c on query_id = item_id",
     "citation_coverage": f"""with {_EVIDENCE}, {ranking._GOLD}, f as (select query_id, list(distinct source) as found from sel group by 1), w as (select query_id, list(distinct source) as want from gold join documents using (doc_id) group by 1)

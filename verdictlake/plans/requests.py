@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..config import POLICY
 from ..functions import text as T
 from ..operators import rules, workflow
 from ..sources.tables import table
+from .policy import POLICY
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +32,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.request_facts(requests(spark, sf_dir))
+    return rules.request_facts(requests(spark, sf_dir), POLICY)
 
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.audit_checks(facts(spark, sf_dir))
+    return rules.audit_checks(facts(spark, sf_dir), POLICY)
 
 
 def request_facts(spark, sf_dir):
@@ -49,7 +49,7 @@ def audit_checks(spark, sf_dir):
 
 
 def audit_status(spark, sf_dir):
-    return audited(spark, sf_dir).select("request_id", rules.status_of(F.col("checks")).alias("status"))
+    return rules.audit_status(facts(spark, sf_dir), POLICY).select("request_id", "status")
 
 
 def status_counts(spark, sf_dir):
@@ -81,7 +81,7 @@ def request_terms(spark, sf_dir):
     q = F.col("query")
     return r.select(
         "request_id", F.array_join(F.array_sort(T.query_terms(q)), " ").alias("query_terms"), F.array_join(F.array_sort(T.split_terms(T.destination(q))), "|").alias("destination_terms"),
-        F.array_join(F.array_sort(T.money_terms(F.get(T.amounts(q), 0))), " ").alias("money_terms"), T.snippet(q, 40).alias("snippet"), F.size(T.percents(q)).alias("n_percents"), T.money_after(F.lower(q), POLICY.cumulative_anchors).alias("cumulative"),
+        F.array_join(F.array_sort(T.money_terms(F.get(T.amounts(q), 0))), " ").alias("money_terms"), T.snippet(q, 40).alias("snippet"), F.size(T.percents(q)).alias("n_percents"), T.money_after(F.lower(q), config.CUMULATIVE_ANCHORS).alias("cumulative"),
     )
 
 
@@ -140,19 +140,18 @@ _FACTS = (
 f0 as (select *, lower(trim(query)) as low, regexp_extract(query, '(?i)\bto\s+(?:an?\s+)?([^.,]+?)(?:\s+violates|\s+for|\s+when|$)', 1) as d0, regexp_extract(query, '(?i)\bfrom\s+(Unit\s+[A-Za-z ]+?)\s+to\b', 1) as o0 from req),
 facts as (select *, coalesce(try_cast(replace(nullif(regexp_extract(query, '{_NUMBER}', 1), ''), ',', '') as double), 0.0) as transaction_value, 1500000.0::double as allowed_ceiling,
     {_route("low", config.SOURCE_ROUTES, config.DEFAULT_SOURCE)} as source_doc, {_route("low", config.TYPE_ROUTES, config.DEFAULT_TYPE)} as transaction_type,
-    case when o0 = '' then 'Home unit' else trim(regexp_replace(o0, '\s+', ' ', 'g')) end as origin_entity,
+    case when o0 = '' and regexp_matches(query, '(?i)\bUnit Global\b') then 'Unit Global' when o0 = '' then 'Unit Home' else trim(regexp_replace(o0, '\s+', ' ', 'g')) end as origin_entity,
     case when trim(d0) = '' then 'Unknown counterparty' else lower(d0[1]) || trim(regexp_replace(d0, '\s+', ' ', 'g'))[2:] end as destination,
-    case when {_like("low", config.CROSS_BORDER)} then 'Home outbound remittance' else 'Unspecified jurisdiction' end as jurisdiction,
+    case when {_like("low", config.JURISDICTION_TERMS)} then 'Home outbound remittance' else 'Unspecified jurisdiction' end as jurisdiction,
     upper(coalesce(nullif(regexp_extract(query, '(?i)\b(USD|INR|EUR|GBP)\b', 1), ''), 'USD')) as currency from f0)"""
 )
-_P = POLICY
 _CHECKS = (
     _FACTS
     + rf""",
 s0 as (select *, transaction_type as payment_purpose, lower(query || ' ' || transaction_type || ' ' || origin_entity || ' ' || destination || ' ' || jurisdiction || ' ' || transaction_type) as s, origin_entity || ' -> ' || destination as route from facts),
 s1 as (select *, coalesce(list_max(list_transform(regexp_extract_all(s, '([0-9]+(?:\.[0-9]+)?)\s*%', 1), lambda x: cast(x as double))), 0) as max_share,
-    coalesce(try_cast(replace(coalesce({", ".join(f"nullif(regexp_extract(s, '{a}[^$0-9]{{0,80}}\\$?\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), '')" for a in _P.cumulative_anchors)}), ',', '') as double), 0) as cumulative,
-    {_like("s", _P.crypto_terms)} as crypto, {_like("s", _P.kyc_terms)} as gap from s0),
+    coalesce(try_cast(replace(coalesce({", ".join(f"nullif(regexp_extract(s, '{a}[^$0-9]{{0,80}}\\$?\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), '')" for a in config.CUMULATIVE_ANCHORS)}), ',', '') as double), 0) as cumulative,
+    {_like("s", config.CRYPTO_TERMS)} as crypto, {_like("s", config.KYC_TERMS)} as gap from s0),
 checks as (
     select request_id, 1 as n, 'Transactional Exposure' as check_name, '$' || format('{{:,.2f}}', transaction_value) || ' ' || currency as actual, case when transaction_value > allowed_ceiling then 'FAIL' else 'PASS' end as result, transaction_value - allowed_ceiling as variance from s1
     union all select request_id, 2, 'Primary Rule Source', source_doc, 'PASS', null from s1
@@ -160,8 +159,8 @@ checks as (
     union all select request_id, 4, 'Cross-Border Classification', route || ' | ' || jurisdiction, case when {_like("s", config.CROSS_BORDER)} then 'PASS' else 'REVIEW' end, null from s1
     union all select request_id, 5, 'KYC / Wire Transfer Evidence', case when gap then 'Beneficiary or originator verification requires review' else 'No explicit evidence gap detected' end, case when gap or crypto then 'REVIEW' else 'PASS' end, null from s1
     union all select request_id, 6, 'Regulatory Overlay', source_doc, 'PASS', null from s1
-    union all select request_id, 7, 'Foreign Investment Route', payment_purpose, case when transaction_value > 10000000 or max_share > 40 then 'FAIL' else 'REVIEW' end, null from s1 where {_like("s", _P.investment_terms)}
-    union all select request_id, 8, 'Director Exposure Risk', destination, case when max_share > 2.5 and {_like("s", _P.insider_terms)} and {_like("s", _P.credit_terms)} then 'FAIL' else 'REVIEW' end, null from s1 where {_like("s", _P.director_terms)}
+    union all select request_id, 7, 'Foreign Investment Route', payment_purpose, case when transaction_value > 10000000 or max_share > 40 then 'FAIL' else 'REVIEW' end, null from s1 where {_like("s", config.INVESTMENT_TERMS)}
+    union all select request_id, 8, 'Director Exposure Risk', destination, case when max_share > 2.5 and {_like("s", config.INSIDER_TERMS)} and {_like("s", config.CREDIT_TERMS)} then 'FAIL' else 'REVIEW' end, null from s1 where {_like("s", config.DIRECTOR_TERMS)}
     union all select request_id, 9, 'Cumulative Quarterly Exposure', '$' || format('{{:,.2f}}', cumulative + transaction_value) || ' ' || currency || ' including current transaction', case when cumulative + transaction_value > 5000000 then 'FAIL' else 'PASS' end, cumulative + transaction_value - 5000000 from s1 where cumulative <> 0
     union all select request_id, 10, 'Digital Asset Beneficiary Verification', destination, 'REVIEW', null from s1 where crypto),
 status as (select request_id, case when bool_or(result = 'FAIL') then 'NON_COMPLIANT' when bool_or(result = 'REVIEW') then 'ACTION_REQUIRED' else 'COMPLIANT' end as status from checks group by request_id),
@@ -189,7 +188,7 @@ ORACLE_SQL = {
         array_to_string(list_sort(list_distinct(list_concat([lower(destination)], list_filter(regexp_split_to_array(dn, '\s+'), lambda x: length(x) >= 4)))), '|') as destination_terms,
         case when v > 0 then array_to_string(list_sort(list_distinct([cast(cast(floor(v) as bigint) as varchar), format('{{:,}}', cast(floor(v) as bigint)), format('{{:,.0f}}', v), format('{{:,.2f}}', v)])), ' ') else '' end as money_terms,
         case when length(query) > 40 then query[1:37] || '...' else query end as snippet, cast(len(regexp_extract_all(query, '([0-9]+(?:\.[0-9]+)?)\s*%', 1)) as integer) as n_percents,
-        coalesce(try_cast(replace(coalesce({", ".join(f"nullif(regexp_extract(low, '{a}[^$0-9]{{0,80}}\\$?\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), '')" for a in _P.cumulative_anchors)}), ',', '') as double), 0) as cumulative from a""",
+        coalesce(try_cast(replace(coalesce({", ".join(f"nullif(regexp_extract(low, '{a}[^$0-9]{{0,80}}\\$?\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), '')" for a in config.CUMULATIVE_ANCHORS)}), ',', '') as double), 0) as cumulative from a""",
     "ceiling_variance": "with c as (select c_mktsegment, round(avg(c_acctbal) * 100, 0) as ceiling from customer group by 1) select o_orderkey, ceiling, round(o_totalprice - ceiling, 2) as variance, case when o_totalprice > ceiling then 'FAIL' else 'PASS' end as result from orders join customer on o_custkey = c_custkey join c using (c_mktsegment)",
     "cumulative_exposure": "with t as (select o_orderkey, o_custkey, date_trunc('quarter', o_orderdate) as q, round(cast(sum(cast(round(o_totalprice * 100) as bigint)) over (partition by o_custkey, date_trunc('quarter', o_orderdate) order by o_orderdate, o_orderkey rows unbounded preceding) as double) / 100, 2) as running_total from orders) select o_orderkey, o_custkey, strftime(q, '%Y-%m-%d') as quarter, running_total, case when running_total > 800000 then 'FAIL' else 'PASS' end as result from t",
     "ownership_limit": "select l_orderkey, max(greatest(round(l_discount * 100), round(l_tax * 100)))::double as max_share, count(*) as n_lines, case when max(greatest(round(l_discount * 100), round(l_tax * 100))) > 2.5 then 'FAIL' else 'PASS' end as result from lineitem group by l_orderkey",
