@@ -1,4 +1,4 @@
-"""Ranking: BM25, dense similarity, reciprocal-rank fusion, lexical re-ranking.
+"""Ranking: BM25, dense similarity, reciprocal-rank fusion, lexical re-ranking, parents of ranked children.
 
 Ranked lists are DataFrames (query_id, doc_id, rank, score). Scores are rounded to six digits
 before ranking, with the document's id as tie-break, so that ranks do not depend on the order of sums.
@@ -6,17 +6,17 @@ before ranking, with the document's id as tie-break, so that ranks do not depend
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .index import DIGITS, Index, overlap_terms
 
-# BM25 parameters and the constant of reciprocal-rank fusion.
-K1, B, EPSILON = 1.5, 0.75, 0.25
+# Fixed value: the constant of reciprocal-rank fusion.
 RRF_K = 60
-DIGITS = 6
 #: A query set whose terms number at most this is broadcast; a larger one is joined by a shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -33,132 +33,142 @@ def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, dl) from (doc_id, text). One row per document and term.
+def bm25(queries: DataFrame, docs: DataFrame | Index, k: int | None = 10) -> DataFrame:
+    """Best documents for each (query_id, query); a term that a query repeats counts as often. Scores of 0 are left out.
 
-    The outer generator keeps the optimiser from tokenising a second time for a filter on the array's size.
+    ``docs`` is an index, or (doc_id, text), of which one is built for this search.
     """
-    tokens = docs.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w"))
-    return tokens.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term is not null").groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    index = docs if isinstance(docs, Index) else Index.build(docs)
+    return ranked(index.bm25(queries, k), k)
 
 
-def _vocabulary(docs: DataFrame) -> DataFrame:
-    """(term, df, n0, dl0): document frequencies; n0 and dl0 count each document and its length under its first term, or under null."""
-    t = T.evaluated(docs, {"w": T.words(F.coalesce("text", F.lit("")))})
-    t = t.select(F.size("w").alias("dl"), F.posexplode_outer(F.array_distinct("w")).alias("pos", "term"))
-    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if(first).alias("n0"), F.sum(F.when(first, F.col("dl")).otherwise(0)).alias("dl0"))
+def lexical_overlap(queries: DataFrame, docs: DataFrame | Index, k: int | None = 10) -> DataFrame:
+    """Documents by the share of a query's distinct terms that they contain; an index is one of ``overlap_terms``."""
+    index = docs if isinstance(docs, Index) else Index.build(docs, overlap_terms)
+    return ranked(index.overlap(queries, k), k)
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row: n documents, avgdl."""
-    return _vocabulary(docs).agg(F.sum("n0").alias("n"), (F.sum("dl0") / F.sum("n0")).alias("avgdl"))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def term_stats(docs: DataFrame) -> DataFrame:
-    """(term, df, idf) over the whole corpus; negative idf becomes EPSILON times the mean idf of all terms.
+def cosine(a: Column, b: Column) -> Column:
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
-    The corpus is tokenised once: its size is summed from the vocabulary, and Spark reuses the exchange.
-    """
-    v = _vocabulary(docs)
-    raw = v.where("term is not null").join(F.broadcast(v.agg(F.sum("n0").alias("n"))))
-    raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
+def euclidean(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2))), F.lit(0.0), lambda s, x: s + x))
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 10) -> DataFrame:
-    """Best documents for each (query_id, query); a term that a query repeats counts as often. Scores of 0 are left out.
 
-    Postings of asked terms are dealt by document once; counting terms and summing scores both
-    happen there, so that pairs of query and document are never shuffled before the top ``k``.
-    """
-    asked = queries.select("query_id", F.explode(T.words(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    n_terms = asked.select("term").distinct().limit(BROADCAST_TERMS + 1).count()
-    fits = F.broadcast if n_terms <= BROADCAST_TERMS else lambda df: df  # statistics of asked terms are as many as these
-    wanted = fits(asked.select("term").distinct())
-    stats = term_stats(docs).join(wanted, "term", "left_semi")
-    tokens = T.evaluated(docs.select("doc_id", "text"), {"w": T.words(F.coalesce("text", F.lit("")))})
-    hits = tokens.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term is not null").join(wanted, "term", "left_semi")
-    hits = hits.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = hits.join(F.broadcast(corpus_stats(docs))).join(fits(stats), "term").select("doc_id", "term", (F.col("idf") * weight).alias("w"))
-    scores = weighted.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("score"))
-    return ranked(scores.where("score > 0"), k)
+#: Queries in a block of the exhaustive search: of 64 dimensions they are 2 MB, which travel to every task.
+QUERY_BLOCK = 4096
+#: Dimensions of hashed vectors.
+DIMENSIONS = 64
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def hashed_vectors(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(doc_id, embedding) of (doc_id, text): words counted by a hash of their first and last letter and length; zeros without words.
 
+    An embedder that needs no model and is the same everywhere; any other that gives (doc_id, embedding) takes its place.
+    """
+    words = docs.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w"))
+    id_type = words.schema["doc_id"].dataType.simpleString()
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
+        for batch in batches:
+            lists = batch.column("w")
+            place = np.fromiter(((31 * ord(w[0]) + 7 * ord(w[-1]) + len(w)) % dimensions for w in lists.flatten().to_pylist()), np.int64)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            counts = np.bincount(row * dimensions + place, minlength=batch.num_rows * dimensions).astype(np.float64)
+            whole = pa.FixedSizeListArray.from_arrays(pa.array(counts), dimensions).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), whole], ["doc_id", "embedding"])
 
-def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2))), F.lit(0.0), lambda s, x: s + x))
+    return words.mapInArrow(run, f"doc_id {id_type}, embedding array<double>")
 
 
-#: Queries in a block of the exhaustive search.
-QUERY_BLOCK = 256
+def upsert_vectors(known: DataFrame, docs: DataFrame, embed=hashed_vectors) -> DataFrame:
+    """``known`` (doc_id, embedding) and the vectors of those of ``docs`` that it has not: only new texts are embedded."""
+    return known.unionByName(embed(docs.join(known.select("doc_id"), "doc_id", "left_anti")))
 
 
-def dense(queries: DataFrame, docs: DataFrame, metric: str = "cosine", k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
-    """Nearest rows of (doc_id, embedding) for each (query_id, embedding), exhaustively; a row is not its own neighbour.
+def dense(queries: DataFrame, docs: DataFrame, metric: str = "cosine", k: int = 10, block: int = QUERY_BLOCK, same: bool = True) -> DataFrame:
+    """Nearest rows of (doc_id, embedding) for each (query_id, embedding), exhaustively. With ``same``, both are ids of the same things: a row is not its own neighbour.
 
     The stated queries are dealt into blocks that go to every task; a task compares its rows with a block
     in one matrix product and emits its own best ``k`` per query, so what is shuffled is k rows per query
-    and task. Scores are similarities: the negated distance for ``l2``.
+    and task. Scores are similarities: the negated distance for ``l2``. Vectors that are null or empty are nobody's neighbour and have none.
     """
-    import math
-
-    n = queries.count()
+    asked = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
+    blocks = max(1, math.ceil(asked.count() / block))
+    types = {f.name: f.dataType.simpleString() for f in (*queries.schema, *docs.schema)}
+    schema = f"query_id {types['query_id']}, doc_id {types['doc_id']}, score double"
     out = []
-    ordered = queries.select("query_id", "embedding").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, math.ceil(n / block)))))
-    for b in range(max(1, math.ceil(n / block))):
-        asked = ordered.where(F.col("block") == b).orderBy("query_id").collect()
-        out.append(docs.select("doc_id", "embedding").mapInArrow(_best_of_task([r.query_id for r in asked], [r.embedding for r in asked], metric, k), "query_id long, doc_id long, score double"))
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
+        out.append(docs.select("doc_id", "embedding").where(F.size("embedding") > 0).mapInArrow(_best_of_task([r.query_id for r in rows], [r.embedding for r in rows], metric, k, same), schema))
     return ranked(reduce(DataFrame.unionByName, out), k)
 
 
-def _best_of_task(ids, vectors, metric: str, k: int):
+def _best_of_task(ids: list, vectors: list, metric: str, k: int, same: bool):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         if not ids:
             return
-        q = np.asarray(vectors, np.float64)
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for batch in batches:
-            rows = [(d, v) for d, v in zip(batch.column("doc_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True) if v]
-            if not rows:
-                continue
-            d = np.array([r[0] for r in rows])
-            x = np.asarray([r[1] for r in rows], np.float64)
-            if metric == "l2":
-                s = -np.sqrt(np.maximum(((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T), 0))
-            else:
-                s = q @ x.T
-                if metric == "cosine":
-                    s /= np.sqrt((q**2).sum(1)[:, None] * (x**2).sum(1)) + 1e-300
-            s = np.round(s, DIGITS)
-            for i, own in enumerate(ids):
-                order = np.lexsort((d, -s[i]))[: k + 1]
-                best[i] = sorted(best[i] + [(-float(s[i, j]), int(d[j])) for j in order if d[j] != own])[:k]
-        rows = [(ids[i], doc, -score) for i in range(len(ids)) for score, doc in best[i]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "doc_id", "score"])
+        q, own = np.asarray(vectors, np.float64), np.array(ids)
+        scores, found = np.full((len(ids), 0), 0.0), None
+        for whole in batches:
+            for batch in (whole.slice(at, 8192) for at in range(0, whole.num_rows, 8192)):
+                d = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(d), -1)
+                if metric == "l2":
+                    s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T, 0))
+                else:
+                    s = q @ x.T
+                    if metric == "cosine":
+                        s /= np.sqrt((q**2).sum(1)[:, None] * (x**2).sum(1)) + 1e-300
+                s = np.round(s, DIGITS)
+                if same:
+                    s[own[:, None] == d] = -np.inf
+                places = np.broadcast_to(d, s.shape)
+                scores, found = np.hstack([scores, s]), places if found is None else np.hstack([found, places])
+                best = np.lexsort((found, -scores), axis=1)[:, :k]
+                scores, found = np.take_along_axis(scores, best, axis=1), np.take_along_axis(found, best, axis=1)
+        if found is not None:
+            i, j = np.nonzero(np.isfinite(scores))
+            yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(i)), pa.array(found[i, j]), pa.array(scores[i, j])], ["query_id", "doc_id", "score"])
 
     return run
 
 
-def lexical_overlap(queries: DataFrame, docs: DataFrame, k: int | None = 10) -> DataFrame:
-    """Documents by the share of a query's distinct terms that they contain."""
-    asked = queries.select("query_id", T.terms(F.coalesce("query", F.lit(""))).alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    wanted = small(asked.select("term").distinct())
-    has = docs.select("doc_id", F.explode_outer(T.terms(F.coalesce("text", F.lit("")))).alias("term")).where("term is not null").join(wanted, "term", "left_semi")
-    scores = has.join(small(asked), "term").groupBy("query_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("overlap"))
-    return ranked(scores.select("query_id", "doc_id", F.round(F.col("overlap") / F.col("n"), DIGITS).alias("score")), k)
+def parents_of(ranked_children: DataFrame, children: DataFrame, parents: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, parent_id, rank, child_id, source): the parent of each ranked child, once, where its best child stands.
+
+    ``children`` is (child_id, parent_id), ``parents`` (parent_id, source). Children that nobody knows are dropped; a parent that is not
+    among ``parents`` is kept with an empty source.
+    """
+    found = ranked_children.withColumnRenamed("doc_id", "child_id").join(children.select("child_id", "parent_id"), "child_id")
+    first = found.groupBy("query_id", "parent_id").agg(F.min(F.struct("rank", "child_id")).alias("best"))
+    order = Window.partitionBy("query_id").orderBy("best.rank", "best.child_id")
+    out = first.withColumn("rank", F.row_number().over(order))
+    out = out if k is None else out.where(F.col("rank") <= k)
+    known = parents.groupBy("parent_id").agg(F.min("source").alias("source"))
+    return out.join(known, "parent_id", "left").select("query_id", "parent_id", "rank", F.col("best.child_id").alias("child_id"), F.coalesce("source", F.lit("")).alias("source"))
+
+
+def resolved(results: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
+    """``results`` (with child_id, id, text, parent_id, any of them null) with ``key``: what one list calls by an id and another by its text is the same.
+
+    The child's id, else the id, else the id of the child with the same text, else the first child of the parent, else null.
+    """
+    by_text = children.groupBy("text").agg(F.min("child_id").alias("of_text")).withColumnRenamed("text", "text_")
+    by_parent = children.join(parents.select("parent_id").distinct(), "parent_id", "left_semi").groupBy("parent_id").agg(F.min("child_id").alias("of_parent")).withColumnRenamed("parent_id", "parent_")
+    out = results.join(by_text, F.col("text") == F.col("text_"), "left").join(by_parent, F.col("parent_id") == F.col("parent_"), "left")
+    return out.withColumn("key", F.coalesce("child_id", "id", "of_text", "of_parent")).drop("text_", "of_text", "parent_", "of_parent")
 
 
 def rrf(*lists: DataFrame, k: int = RRF_K, top: int | None = 10) -> DataFrame:
@@ -171,7 +181,8 @@ def rrf(*lists: DataFrame, k: int = RRF_K, top: int | None = 10) -> DataFrame:
 def lexical_rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, top: int | None = 10) -> DataFrame:
     """Candidates again, by coverage of the query's terms, then overlap, then their old rank."""
     asked = queries.select("query_id", T.terms(F.coalesce("query", F.lit(""))).alias("qt"))
-    texts = docs.select("doc_id", T.terms(F.coalesce("text", F.lit(""))).alias("dt"))
+    wanted = small(candidates.select("doc_id").distinct())
+    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", T.terms(F.coalesce("text", F.lit(""))).alias("dt"))
     both = candidates.select("query_id", "doc_id", F.col("rank").alias("old_rank")).join(asked, "query_id").join(texts, "doc_id")
     overlap = F.size(F.array_intersect("qt", "dt"))
     scored = both.select("query_id", "doc_id", "old_rank", overlap.alias("overlap"), F.round(overlap / F.greatest(F.size("qt"), F.lit(1)), DIGITS).alias("score"))

@@ -31,7 +31,7 @@ CEILING = 5.0
 
 def blocks(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     q, d = ranking.queries_of(spark, sf_dir), ranking.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return R.bm25(q, d, k).select("query_id", "doc_id", F.col("rank").alias("place")).join(q, "query_id").join(d, "doc_id")
+    return R.bm25(q, ranking.words_index(spark, sf_dir), k).select("query_id", "doc_id", F.col("rank").alias("place")).join(q, "query_id").join(d, "doc_id")
 
 
 def _scored(spark, sf_dir):
