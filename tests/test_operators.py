@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from verdictlake.operators import chunking, graph, retrieval, rules, workflow
+from verdictlake.functions import text as T
+from verdictlake.operators import chunking, evidence, graph, index, retrieval, rules, workflow
 from verdictlake.plans import ranking
 from verdictlake.plans.policy import POLICY
 from verdictlake.sources import tables
@@ -129,6 +130,145 @@ def test_expand_chunks(spark):
     assert [r.parent_id for r in graph.expand_chunks(expanded, chunks, context).collect()] == ["p1"]
 
 
+def test_paths_along_a_long_chain(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(30)], "src int, dst int")
+    roots = spark.createDataFrame([(0,), (25,)], "root int")
+    want = sorted([(0, k, k) for k in range(31)] + [(25, k, k - 25) for k in range(25, 31)])
+    assert sorted((r.root, r.node, r.hops) for r in graph.shortest_paths(e, roots).collect()) == want
+
+
+def test_graph_file(spark, tmp_path):
+    import json
+
+    path = tmp_path / "g.json"
+    path.write_text(json.dumps({"nodes": [{"id": "a", "kind": "x"}, {"id": "b"}], "links": [{"source": "a", "target": "b", "relation": "R", "limit": "5"}]}))
+    nodes, edges = graph.read_graph(spark, str(path))
+    assert {(r.id, tuple(r.attrs.items())) for r in nodes.collect()} == {("a", (("kind", "x"),)), ("b", ())}
+    assert [(r.src, r.dst, r.relation, r.attrs) for r in edges.collect()] == [("a", "b", "R", {"limit": "5"})]
+    for _ in range(2):
+        graph.write_graph(nodes, edges, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "nodes")).count() == 2 and spark.read.json(str(tmp_path / "out" / "links")).count() == 1
+
+
+def test_index_agrees_with_brute_force(spark, monkeypatch):
+    """Shards, blocks of terms and blocks of queries, with ties, repeated words, empty texts and words that nobody has."""
+    rng = random.Random(3)
+    monkeypatch.setattr(index, "BLOCK_QUERIES", 3)
+    texts = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))) for k in range(60)] + [(60, None)]
+    asked = [(k, " ".join(rng.choice("abcdefghz") for _ in range(rng.randint(0, 5)))) for k in range(8)]
+    docs, q = spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(asked, "query_id int, query string")
+    words = {k: (t or "").split() for k, t in texts}
+    n, avgdl = len(words), sum(map(len, words.values())) / len(words)
+    df = {w: sum(w in x for x in words.values()) for w in "abcdefgh"}
+    raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    idf = {w: v if v >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, v in raw.items()}
+    want = []
+    for i, t in asked:
+        scores = {k: round(sum(idf[w] * x.count(w) * 2.5 / (x.count(w) + 1.5 * (0.25 + 0.75 * len(x) / avgdl)) for w in t.split() if w in x), 6) for k, x in words.items()}
+        best = sorted((-s, k) for k, s in scores.items() if s > 0)[:4]
+        want += [(i, k, place + 1) for place, (_, k) in enumerate(best)]
+    for shard_docs in (7, 1000):
+        built = index.Index.build(docs, shard_docs=shard_docs)
+        assert sorted((r.query_id, r.doc_id, r.rank) for r in retrieval.bm25(q, built, 4).collect()) == sorted(want)
+    assert retrieval.bm25(q.where("1 = 0"), docs).count() == 0 and retrieval.bm25(q, docs.where("1 = 0")).count() == 0
+
+
+def test_index_follows_its_table(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    read = lambda: spark.read.parquet(path)
+    spark.createDataFrame([(1, "a b")], "doc_id int, text string").write.parquet(path)
+    one = index.kept(spark, path, "t", read)
+    assert index.kept(spark, path, "t", read) is one and one.n == 1
+    spark.createDataFrame([(2, "c")], "doc_id int, text string").write.mode("append").parquet(path)
+    assert index.kept(spark, path, "t", read).n == 2
+
+
+def test_vectors_are_added_once(spark):
+    docs = spark.createDataFrame([(1, "a bb"), (2, None), (3, "Ab")], "doc_id int, text string")
+    some = retrieval.hashed_vectors(docs.where("doc_id < 3"))
+    got = {r.doc_id: r.embedding for r in retrieval.upsert_vectors(some, docs).collect()}
+    assert set(got) == {1, 2, 3} and sum(got[1]) == 2 and sum(got[2]) == 0 and got[3][(31 * 97 + 7 * 98 + 2) % 64] == 1
+
+
+def test_parents_of_children(spark):
+    top = spark.createDataFrame([(1, "a:0", 1), (1, "b:0", 2), (1, "a:1", 3), (1, "gone", 4), (2, "c:0", 1)], "query_id int, doc_id string, rank int")
+    children = spark.createDataFrame([("a:0", "a"), ("a:1", "a"), ("b:0", "b"), ("c:0", "c")], "child_id string, parent_id string")
+    parents = spark.createDataFrame([("a", "x"), ("b", "y")], "parent_id string, source string")
+    got = sorted((r.query_id, r.rank, r.parent_id, r.child_id, r.source) for r in retrieval.parents_of(top, children, parents).collect())
+    assert got == [(1, 1, "a", "a:0", "x"), (1, 2, "b", "b:0", "y"), (2, 1, "c", "c:0", "")]
+
+
+def test_golden_statuses(spark):
+    """Sixteen requests in own words, one per regression vector of the survey; on twelve the rules alone give what is expected."""
+    said = [
+        ("Remit $1,800,000 USD to an overseas vendor for licensing.", "NON_COMPLIANT", True), ("Remit $400,000 USD overseas to a vendor.", "COMPLIANT", True), ("Wire $750,000 to a newly onboarded overseas beneficiary.", "ACTION_REQUIRED", True),
+        ("Advance $250,000 to an overseas vendor whose director owns a 3.1% promoter stake.", "NON_COMPLIANT", True), ("Pay $12,500,000 for 45% of the equity of a foreign company.", "NON_COMPLIANT", True), ("Pay $150,000 to an offshore cloud provider.", "COMPLIANT", True),
+        ("Pay $850,000 overseas; cumulative quarterly remittances have already reached $4,600,000 usd.", "NON_COMPLIANT", True), ("Move $900,000 overseas to an anonymous crypto wallet.", "ACTION_REQUIRED", True), ("Remit $1,490,000 USD to a foreign vendor.", "COMPLIANT", True),
+        ("Remit $1,510,000 USD to a foreign vendor.", "NON_COMPLIANT", True), ("Wire overseas without any originator details.", "COMPLIANT", False), ("Which limit of 2.5 percent holds for a promoter?", "ACTION_REQUIRED", False),
+        ("May 45 per cent of the equity be held from overseas?", "ACTION_REQUIRED", False), ("Is a notice needed within the country?", "ACTION_REQUIRED", False), ("Quarterly payments of $4,600,000 usd were made overseas before another one of $850,000.", "NON_COMPLIANT", True),
+        ("May a digital wallet be paid without kyc from offshore?", "ACTION_REQUIRED", True),
+    ]
+    got = [s for s, _ in audit(spark, *(q for q, _, _ in said))]
+    assert got == [s for _, s, _ in said] and sum(ok for _, _, ok in said) == 12
+
+
+def test_accuracy_by_the_last_record(spark):
+    golden = spark.createDataFrame([(1, " q one ", "A", 5.0, 9.0, "s"), (2, "q two", "A", 0.0, 9.0, None), (3, "q three", "A", 1.0, 1.0, "s")], "id int, query string, status string, value double, ceiling double, source string")
+    seed = spark.createDataFrame([("q one", "B", 5.0, 9.0, "s", 1), ("q one ", "A", 5.005, 8.0, "t", 2), ("q two", "A", 7.0, 9.0, None, 1)], "query string, status string, value double, ceiling double, source string, at int")
+    got = {r.id: (r.matched, r.status_ok, r.value_ok, r.ceiling_ok, r.source_ok) for r in rules.accuracy(golden, seed).collect()}
+    assert got == {1: (True, True, True, False, False), 2: (True, True, True, True, True), 3: (False, None, None, None, None)}
+
+
+def test_checks_without_evidence_get_the_first_item(spark):
+    items = spark.createDataFrame([(1, 7, 2, "src0", "no such word", []), (1, 8, 1, "src9", "nothing", [])], "r int, i int, place int, source string, snippet string, criteria array<string>")
+    checks = spark.createDataFrame([(1, "Transactional Exposure"), (1, "Foreign Investment Route"), (1, "Unknown"), (2, "Unknown")], "r int, check string")
+    got = {(r.r, r.check, r.i, r["rank"]) for r in evidence.check_evidence(checks, items, "r", "i", POLICY, place="place").collect()}
+    assert got == {(1, "Transactional Exposure", 7, 1), (1, "Foreign Investment Route", 8, 1), (1, "Unknown", 8, 1)}
+
+
+def test_origin_and_footer(spark):
+    df = spark.createDataFrame([("pay from Unit North  East to x",), ("the Unit Global pays",), ("someone pays",)], "q string")
+    assert [r.x for r in df.select(T.origin(F.col("q"), "Unit", ("Unit Global", "Unit Home")).alias("x")).collect()] == ["Unit North East", "Unit Global", "Unit Home"]
+    foot = spark.createDataFrame([("Website: www.fema.rbi.org.in   E-mail: x",), ("Website : www.fema.rbi.org.in email : fedcofid@rbi.org.in 12",), ("Page 3",)], "q string")
+    assert [r.x for r in foot.select(T.line_signature(F.col("q")).alias("x")).collect()] == ["website: www.fema.rbi.org.in e-mail: x", "<rbi-contact-footer>", "page #"]
+
+
+def test_summary_and_views(spark, tmp_path):
+    m = spark.createDataFrame([("bm25", 0.5, None), ("dense", 0.25, 1)], "pipeline string, recall double, n int")
+    for _ in range(2):
+        tables.write_summary(m, str(tmp_path), "Retrieval")
+    lines = [r.value for r in spark.read.text(str(tmp_path / "markdown")).collect()]
+    assert lines == ["# Retrieval", "", "| pipeline | recall | n |", "| :--- | :--- | :--- |", "| bm25 | 0.5 |  |", "| dense | 0.25 | 1 |"]
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    tables.register(spark, "/root/testdata/sf0.001", ["region"])
+    assert spark.sql("select count(*) as n from region").first().n == 5
+
+
+def test_tables_evolve(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1,)], "id int").write.parquet(path)
+    spark.createDataFrame([(2, "x")], "id int, note string").write.mode("append").parquet(path)
+    rows = tables.read_evolved(spark, path, {"note": F.lit("none"), "state": F.lit("open")}).collect()
+    assert sorted((r.id, r.note, r.state) for r in rows) == [(1, "none", "open"), (2, "x", "open")]
+
+
+def test_ready_ids(spark):
+    s = spark.createDataFrame([("a", "ready"), ("b", "ready"), ("c", "parsing")], "document_id string, status string")
+    ids = spark.createDataFrame([("a",), ("c",)], "document_id string")
+    assert {r.document_id for r in tables.ready(s).collect()} == {"a", "b"} and [r.document_id for r in tables.ready(s, ids).collect()] == ["a"]
+
+
+def test_batches_and_notices(spark, tmp_path):
+    path = str(tmp_path / "status")
+    sink, seen = ingest.upsert_sink(path), []
+    df = spark.createDataFrame([("a", "ready"), ("b", "parsing"), ("c", "failed")], "document_id string, status string")
+    for _ in range(2):
+        sink(df, 0)
+    assert spark.read.parquet(path).count() == 3
+    ingest.notify(lambda number, rows: seen.append((number, sorted(r["document_id"] for r in rows))), keep=1)(df, 4)
+    assert sorted(seen) == [(4, ["a"]), (4, ["c"])]
+
+
 def test_transitions(spark):
     df = spark.createDataFrame([(True, False, "RESOLVED"), (True, False, "CLOSED"), (False, True, "CLOSED"), (False, False, "CLOSED")], "a boolean, b boolean, new string")
     got = [r.x for r in df.select(workflow.transition(F.col("a"), F.col("b"), F.lit("OPEN"), F.col("new")).alias("x")).collect()]

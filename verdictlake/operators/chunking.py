@@ -80,6 +80,15 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text: str = "text", headin
     return filled.groupBy(id_col, "section", "line").agg(F.min("line_no").alias("line_no")).select(id_col, "line_no", "line", "section")
 
 
+def table_records(found: DataFrame, doc: str, order: str, rows: str) -> DataFrame:
+    """(doc, order, table_index, content_type, text) of the valid ones among found tables; the index runs through a document, and a table that is found twice counts once."""
+    clean = T.evaluated(found.select(doc, order, rows), {"cells_": T.clean_cells(F.col(rows))})
+    kept = T.evaluated(clean.where(T.valid_table(F.col("cells_"))), {"text": T.table_text(F.col("cells_"))})
+    first = kept.groupBy(doc, "text").agg(F.min(order).alias(order))
+    number = F.row_number().over(Window.partitionBy(doc).orderBy(order, "text"))
+    return first.select(doc, order, number.alias("table_index"), F.lit("table").alias("content_type"), "text")
+
+
 def group_lines(words: DataFrame, page: str, tolerance: float = 3.0) -> DataFrame:
     """(page, line, n_words, content) from words (page, top, x, word): a word joins the line while its top is near that of the line's first word."""
     row = F.struct(F.col("top"), F.col("x"), F.col("word"))

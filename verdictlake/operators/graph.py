@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import GATE_SIGNATURES
 from ..functions import text as T
+from ..sources.shared import drop, written
 
 
 def expand(seeds: DataFrame, edges: DataFrame, excluded: tuple = ()) -> DataFrame:
@@ -42,24 +44,49 @@ def constraints(expanded: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("query_id", F.array_join(said, "\n").alias("constraints"))
 
 
+#: Written frontiers that are read one by one before they become one table.
+FRONTIERS = 8
+
+
 def shortest_paths(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(root, node, hops): breadth first along edges, each round one join of the new frontier and one anti-join with what is known.
 
-    Ends when no node is new, or after ``depth`` rounds where a caller asks for near nodes only; every fourth round the lineage is cut.
+    Every frontier is written and read back, and every ``FRONTIERS`` of them are merged, so that no round's plan grows with the rounds before it.
+    Ends when no node is new, or after ``depth`` rounds where a caller asks for near nodes only.
     """
-    e = edges.select("src", "dst").distinct()
-    known = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops"))
-    frontier = known
+    e = written(edges.select("src", "dst").distinct(), "edges")
+    frontier = written(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")), "frontier")
+    known = [frontier]
     for hop in count(1) if depth is None else range(1, depth + 1):
         new = frontier.join(e, frontier["node"] == e["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = new.join(known.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        frontier = frontier.checkpoint() if hop % 4 == 0 else frontier.cache()
+        for part in known:
+            new = new.join(part.select("root", "node"), ["root", "node"], "left_anti")
+        frontier = written(new.withColumn("hops", F.lit(hop)), "frontier")
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier)
-        if hop % 4 == 0:
-            known = known.checkpoint()
-    return known
+        known.append(frontier)
+        if len(known) > FRONTIERS:
+            whole = written(reduce(DataFrame.unionByName, known), "known")
+            drop(*known[:-1])  # the last one is still the frontier
+            known = [whole]
+    drop(e)
+    return reduce(DataFrame.unionByName, known)
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, attrs) and edges (src, dst, relation, attrs) of a node-link JSON file; attributes are maps of strings."""
+    text = spark.read.text(path, wholetext=True)
+    listed = lambda key: text.select(F.explode(F.from_json(F.get_json_object("value", f"$.{key}"), "array<map<string,string>>")).alias("m"))
+    rest = lambda *own: F.map_filter("m", lambda k, v: ~k.isin(list(own)))
+    nodes = listed("nodes").select(F.col("m")["id"].alias("id"), rest("id").alias("attrs"))
+    edges = listed("links").select(F.col("m")["source"].alias("src"), F.col("m")["target"].alias("dst"), F.col("m")["relation"].alias("relation"), rest("source", "target", "relation").alias("attrs"))
+    return nodes, edges
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes and edges as JSON lines in two folders, which hold a graph of any size; the same graph again changes nothing."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/links")
 
 
 def node_kind(node: str, transaction: str, policies: tuple, warnings: tuple):

@@ -14,6 +14,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..sources import shared
@@ -103,11 +104,11 @@ class Index:
             wanted = self.spark.createDataFrame([(t, i, idf[t] if weighted else 1.0) for t, i in at.items()], "term string, t int, idf double")
             hits = self.postings.join(F.broadcast(wanted), "term").select("shard", "t", "idf", "docs", "tfs", "dls")  # as many terms as a block has pairs at most
             dealt = hits.repartition(shared.shuffle_partitions(self.spark), "shard").sortWithinPartitions("shard")
-            out.append(dealt.mapInArrow(_scorer(ids, pairs, self.avgdl if weighted else None, k), schema))
+            out.append(dealt.mapInArrow(_scorer(ids, to_arrow_type(queries.schema["query_id"].dataType), pairs, self.avgdl if weighted else None, k), schema))
         return reduce(DataFrame.unionByName, out)
 
 
-def _scorer(ids: list, pairs: list, avgdl: float | None, k: int | None):
+def _scorer(ids: list, id_type: pa.DataType, pairs: list, avgdl: float | None, k: int | None):
     """Scores of a block of queries for the documents of each shard, from posting rows that are sorted by shard."""
 
     def run(batches):
@@ -143,7 +144,7 @@ def _scorer(ids: list, pairs: list, avgdl: float | None, k: int | None):
             best = np.argsort(-scores, axis=1, kind="stable")[:, : len(docs) if k is None else k]
             top = np.take_along_axis(scores, best, axis=1)
             q, j = np.nonzero(top > 0)
-            return pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), pa.array(docs).take(pa.array(best[q, j])), pa.array(top[q, j])], ["query_id", "doc_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(q)), pa.array(docs, lists.type.value_type).take(pa.array(best[q, j])), pa.array(top[q, j])], ["query_id", "doc_id", "score"])
 
         held, shard = [], None
         for batch in batches:

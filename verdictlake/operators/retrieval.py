@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from .index import DIGITS, Index, overlap_terms
@@ -108,11 +109,11 @@ def dense(queries: DataFrame, docs: DataFrame, metric: str = "cosine", k: int =
     out = []
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
-        out.append(docs.select("doc_id", "embedding").where(F.size("embedding") > 0).mapInArrow(_best_of_task([r.query_id for r in rows], [r.embedding for r in rows], metric, k, same), schema))
+        out.append(docs.select("doc_id", "embedding").where(F.size("embedding") > 0).mapInArrow(_best_of_task([r.query_id for r in rows], to_arrow_type(queries.schema["query_id"].dataType), [r.embedding for r in rows], metric, k, same), schema))
     return ranked(reduce(DataFrame.unionByName, out), k)
 
 
-def _best_of_task(ids: list, vectors: list, metric: str, k: int, same: bool):
+def _best_of_task(ids: list, id_type, vectors: list, metric: str, k: int, same: bool):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -120,10 +121,10 @@ def _best_of_task(ids: list, vectors: list, metric: str, k: int, same: bool):
         if not ids:
             return
         q, own = np.asarray(vectors, np.float64), np.array(ids)
-        scores, found = np.full((len(ids), 0), 0.0), None
+        scores, found, doc_type = np.full((len(ids), 0), 0.0), None, None
         for whole in batches:
             for batch in (whole.slice(at, 8192) for at in range(0, whole.num_rows, 8192)):
-                d = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                doc_type, d = batch.column("doc_id").type, batch.column("doc_id").to_numpy(zero_copy_only=False)
                 x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(d), -1)
                 if metric == "l2":
                     s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T, 0))
@@ -140,7 +141,7 @@ def _best_of_task(ids: list, vectors: list, metric: str, k: int, same: bool):
                 scores, found = np.take_along_axis(scores, best, axis=1), np.take_along_axis(found, best, axis=1)
         if found is not None:
             i, j = np.nonzero(np.isfinite(scores))
-            yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(i)), pa.array(found[i, j]), pa.array(scores[i, j])], ["query_id", "doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(i)), pa.array(found[i, j], doc_type), pa.array(scores[i, j])], ["query_id", "doc_id", "score"])
 
     return run
 

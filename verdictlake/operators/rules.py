@@ -129,6 +129,13 @@ def findings(checks: Column) -> Column:
     return F.when(F.size(bad) == 0, F.array(F.lit("No deterministic deficiency was identified."))).otherwise(said)
 
 
+def filtered_findings(said: Column, has_direct: Column) -> Column:
+    """Findings without those that miss evidence for the primary source, where an item states the rule directly."""
+    text = lambda f: T.normalized(f)
+    moot = lambda f: F.contains(text(f), F.lit("primary rule source")) & (F.contains(text(f), F.lit("lack of evidence")) | F.contains(text(f), F.lit("human review is needed")))
+    return F.when(has_direct, F.filter(said, lambda f: ~moot(f))).otherwise(said)
+
+
 def recommended_action(checks: Column, has_evidence: Column) -> Column:
     any_ = lambda r: F.exists(checks, lambda c: c["result"] == r)
     return F.when(any_("FAIL"), "BLOCK").when(any_("REVIEW") | ~has_evidence, "REQUEST_MORE_EVIDENCE").otherwise("APPROVE")
@@ -181,3 +188,16 @@ def reconciled(records: DataFrame, value: str, ceiling: str, status: str, unit:
     known = F.col("value_number").isNotNull() & F.col("ceiling_number").isNotNull()
     shown = lambda c: T.money(F.col(c), F.lit(unit))
     return df.withColumns({"reported_status": F.when(known, F.col(status)).otherwise("ACTION_REQUIRED"), "value_shown": shown("value_number"), "ceiling_shown": shown("ceiling_number"), "variance_shown": T.money(F.col("value_number") - F.col("ceiling_number"), F.lit(unit))})
+
+
+def accuracy(golden: DataFrame, records: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Golden cases (id, query, status, value, ceiling, source) against records (query, status, value, ceiling, source, at) of the same trimmed text.
+
+    Of records with the same text the last counts. One row per case: id, matched, and whether status, value, ceiling and source agree (null where
+    no record matches). An expected value of 0 agrees with any.
+    """
+    last = records.withColumn("text_", F.trim("query")).groupBy("text_").agg(F.max_by(F.struct("status", "value", "ceiling", "source"), "at").alias("r"))
+    both = golden.withColumn("text_", F.trim("query")).join(last, "text_", "left")
+    r, near = F.col("r"), lambda a, b: F.abs(a - b) <= tolerance
+    same = {"status_ok": F.col("status") == r["status"], "value_ok": (F.col("value") == 0) | near(F.col("value"), r["value"]), "ceiling_ok": near(F.col("ceiling"), r["ceiling"]), "source_ok": F.col("source").eqNullSafe(r["source"])}
+    return both.select("id", r.isNotNull().alias("matched"), *[F.when(r.isNotNull(), F.coalesce(c, F.lit(False))).alias(k) for k, c in same.items()])

@@ -48,6 +48,25 @@ def transition(actor_is_assignee: Column, actor_is_assigner: Column, old: Column
     return F.when((old != "CLOSED") & allowed, new)
 
 
+def transitioned(assignments: DataFrame, is_assignee: Column, is_assigner: Column, new: Column, at: Column) -> DataFrame:
+    """``assignments`` (with status) after requests to change them: status, resolved_at (when it was resolved or closed; null if refused) and refused."""
+    after = transition(is_assignee, is_assigner, F.col("status"), new)
+    df = assignments.withColumn("after_", after)
+    return df.withColumns({"resolved_at": F.when(F.col("after_").isin("RESOLVED", "CLOSED"), at), "refused": F.col("after_").isNull(), "status": F.coalesce("after_", "status")}).drop("after_")
+
+
+def with_record(assignments: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """``assignments`` with ``record``: the record that each is about, null if there is none."""
+    one = records.select(F.col(key), F.struct(*[c for c in records.columns if c != key]).alias("record"))
+    return assignments.join(one, key, "left")
+
+
+def user_by_email(asked: DataFrame, users: DataFrame) -> DataFrame:
+    """``asked`` (email) with the active user of that address, without regard to case and blanks around it; addresses of nobody and of inactive users are dropped."""
+    known = users.where("is_active").withColumn("email_", F.lower(F.trim("email"))).drop("email")
+    return asked.withColumn("email_", F.lower(F.trim("email"))).join(known, "email_").drop("email_")
+
+
 def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Work whose key has not been done: resuming after a break."""
     return work.join(done.where("success"), key, "left_anti")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, grounding, ranking, records, requests, upkeep
+from . import chunks, grounding, ranking, records, requests, review, upkeep
 
-_MODULES = (ranking, chunks, requests, grounding, records, upkeep)
+_MODULES = (ranking, chunks, requests, grounding, records, review, upkeep)
 
 
 def queries() -> dict:

@@ -42,16 +42,17 @@ def analysts(spark, sf_dir):
 
 
 def inbox(spark, sf_dir):
-    """Open assignments of each active user with the record that they are about."""
+    """Open assignments of each active user with the record that they are about, latest first."""
     a = workflow.visible_to(assignments(spark, sf_dir), users(spark, sf_dir), "assigned_to", ("l2_analyst", "admin", "l1_analyst")).where("state = 'OPEN'")
-    return a.join(records(spark, sf_dir).select("record_id", "value"), "record_id").select("assigned_to", "record_id", "l_linenumber", "value")
+    w = Window.partitionBy("assigned_to").orderBy(F.desc("created_at"), "record_id", "l_linenumber")
+    return a.join(records(spark, sf_dir).select("record_id", "value"), "record_id").select("assigned_to", "record_id", "l_linenumber", "value", F.row_number().over(w).alias("place"))
 
 
 def outbox(spark, sf_dir):
-    """What second-line users assigned, latest first, three of each."""
+    """What second-line users assigned, latest first."""
     a = workflow.visible_to(assignments(spark, sf_dir), users(spark, sf_dir), "assigned_by", ("l2_analyst",))
     w = Window.partitionBy("assigned_by").orderBy(F.desc("created_at"), "record_id", "l_linenumber")
-    return a.withColumn("place", F.row_number().over(w)).where("place <= 3").select("assigned_by", "record_id", "l_linenumber", "place")
+    return a.select("assigned_by", "record_id", "l_linenumber", F.row_number().over(w).alias("place"))
 
 
 def assignment_transition(spark, sf_dir):
@@ -113,13 +114,19 @@ def normalize_records(spark, sf_dir):
     return r.select("record_id", status.alias("status"), F.round(F.col("value") - ceiling, 2).alias("delta"), T.money(ceiling, F.lit("USD")).alias("ceiling"), F.coalesce(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("created_at"))
 
 
+#: Least mean of a metric that passes.
+LEAST_MEAN = {"quality": 0.80, "clean": 0.75}
+
+
 def judge_summary(spark, sf_dir):
-    """Scores per metric over successes only, with a band."""
+    """Scores and latency per metric over successes only, with a band by the metric's own least mean."""
     lb = table(spark, sf_dir, "labels")
     m = F.create_map(F.lit("quality"), F.col("quality"), F.lit("clean"), 1 - F.col("toxic"))
-    rows = lb.select("doc_id", F.explode(m).alias("metric", "score")).withColumn("ok", F.col("doc_id") % 5 != 0)
+    rows = lb.select("doc_id", F.explode(m).alias("metric", "score")).withColumns({"ok": F.col("doc_id") % 5 != 0, "latency": F.col("doc_id") % 97})
     mean = F.round(F.avg(F.when(F.col("ok"), F.col("score"))), 6)
-    return rows.groupBy("metric").agg(F.count_if("ok").alias("n_success"), mean.alias("mean"), F.when(mean >= 0.8, "PASS").otherwise("REVIEW").alias("band"))
+    least = F.create_map(*[F.lit(x) for kv in LEAST_MEAN.items() for x in kv])[F.col("metric")]
+    latency = F.round(F.avg(F.when(F.col("ok"), F.col("latency"))), 6)
+    return rows.groupBy("metric").agg(F.count_if("ok").alias("n_success"), mean.alias("mean"), latency.alias("mean_latency")).withColumn("band", F.when(F.col("mean") >= least, "PASS").otherwise("REVIEW"))
 
 
 def latency_p95(spark, sf_dir):
@@ -158,7 +165,7 @@ def _seeds(spark, sf_dir):
 
 
 def graph_expand(spark, sf_dir):
-    e = edges(spark, sf_dir).where("relation <> 'SERVES'")
+    e = edges(spark, sf_dir)
     return graph.expand(_seeds(spark, sf_dir), e, ("NATION_3",)).groupBy("query_id", "direction", "relation").agg(F.count(F.lit(1)).alias("n"), F.max("neighbour").alias("last_neighbour"))
 
 
@@ -197,8 +204,8 @@ _EDGES = """e as (select r_name as src, n_name as dst, 'HOLDS' as relation, cast
 ORACLE_SQL = {
     "history": "select o_custkey as user_id, o_orderkey as record_id, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as place from orders qualify place <= 5",
     "analysts": f"with {_USERS} select user_id, full_name from u where role = 'l2_analyst' and is_active",
-    "inbox": f"with {_USERS}, {_ASSIGN} select assigned_to, record_id, l_linenumber, o_totalprice as value from a join orders on o_orderkey = record_id where state = 'OPEN' and assigned_to in (select user_id from u where is_active)",
-    "outbox": f"with {_USERS}, {_ASSIGN} select assigned_by, record_id, l_linenumber, row_number() over (partition by assigned_by order by created_at desc, record_id, l_linenumber) as place from a where assigned_by in (select user_id from u where is_active and role = 'l2_analyst') qualify place <= 3",
+    "inbox": f"with {_USERS}, {_ASSIGN} select assigned_to, record_id, l_linenumber, o_totalprice as value, row_number() over (partition by assigned_to order by created_at desc, record_id, l_linenumber) as place from a join orders on o_orderkey = record_id where state = 'OPEN' and assigned_to in (select user_id from u where is_active)",
+    "outbox": f"with {_USERS}, {_ASSIGN} select assigned_by, record_id, l_linenumber, row_number() over (partition by assigned_by order by created_at desc, record_id, l_linenumber) as place from a where assigned_by in (select user_id from u where is_active and role = 'l2_analyst')",
     "assignment_transition": f"""with {_ASSIGN}, x as (select *, case l_linenumber % 3 when 0 then assigned_to when 1 then assigned_by else -1 end as actor, case when flag = 'R' then 'RESOLVED' else 'CLOSED' end as want from a)
         select record_id, l_linenumber, case when state <> 'CLOSED' and ((actor = assigned_to and want = 'RESOLVED') or (actor = assigned_by and want = 'CLOSED')) then want else 'REFUSED' end as outcome from x""",
     "upsert_latest": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
@@ -212,16 +219,17 @@ ORACLE_SQL = {
     "normalize_records": """select o_orderkey as record_id, case o_orderstatus when 'F' then 'NON_COMPLIANT' when 'P' then 'ACTION_REQUIRED' else 'COMPLIANT' end as status, case when o_orderpriority <> '5-LOW' then round(o_totalprice - 250000.0, 2) end as delta,
         case when o_orderpriority <> '5-LOW' then '$250,000.00 USD' else 'UNRESOLVED USD' end as ceiling, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as created_at from orders""",
     "judge_summary": """with m as (select doc_id, 'quality' as metric, quality as score from labels union all select doc_id, 'clean', 1 - toxic from labels)
-        select metric, count(*) filter (doc_id % 5 <> 0) as n_success, round(avg(score) filter (doc_id % 5 <> 0), 6) as mean, case when round(avg(score) filter (doc_id % 5 <> 0), 6) >= 0.8 then 'PASS' else 'REVIEW' end as band from m group by metric""",
+        select metric, count(*) filter (doc_id % 5 <> 0) as n_success, round(avg(score) filter (doc_id % 5 <> 0), 6) as mean, round(avg(doc_id % 97) filter (doc_id % 5 <> 0), 6) as mean_latency,
+        case when round(avg(score) filter (doc_id % 5 <> 0), 6) >= case metric when 'quality' then 0.80 else 0.75 end then 'PASS' else 'REVIEW' end as band from m group by metric""",
     "latency_p95": "select event_type, quantile_disc(value, 0.95) as p95, count(*) as n from events group by event_type",
     "ingest_status": """select user_id as document_id, arg_max(case event_type when 'signup' then 'received' when 'view' then 'parsing' when 'click' then 'indexing' when 'purchase' then 'ready' when 'error' then 'failed' else 'quarantined' end, event_id) as status, max(event_id) as event_id, count(*) as n_events from events group by user_id""",
     "retry_dlq": "select user_id as document_id, event_id, row_number() over (partition by user_id order by event_id) as attempt, case when row_number() over (partition by user_id order by event_id) <= 3 then 'retry' else 'dead_letter' end as outcome from events where event_type = 'error'",
     "event_windows": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as start, event_type, count(*) as n, cast(sum(cast(event_type = 'error' as int)) as bigint) as n_failed from events group by all",
-    "graph_expand": f"""with {_EDGES}, s as (select s_suppkey as query_id, n_name as node from supplier join nation on s_nationkey = n_nationkey), k as (select * from e where relation <> 'SERVES' and src <> 'NATION_3' and dst <> 'NATION_3'),
+    "graph_expand": f"""with {_EDGES}, s as (select s_suppkey as query_id, n_name as node from supplier join nation on s_nationkey = n_nationkey), k as (select * from e where src <> 'NATION_3' and dst <> 'NATION_3'),
         x as (select query_id, 'out' as direction, relation, dst as neighbour from s join k on node = src union all select query_id, 'in', relation, src from s join k on node = dst) select query_id, direction, relation, count(*) as n, max(neighbour) as last_neighbour from x group by all""",
     "lineage_text": f"""with {_EDGES}, h as (select r_regionkey as query_id, e.*, row_number() over (partition by r_regionkey order by dst) as i from e join region on r_name = src where relation = 'HOLDS')
         select query_id, string_agg('- ' || src || ' --(' || relation || ')--> ' || dst, chr(10) order by dst) as lineage, string_agg(i || ') ' || src || '->' || dst || ' [code: ' || code || ']', chr(10) order by i) as constraints from h group by query_id""",
-    "shortest_paths": f"""with recursive {_EDGES}, p as (select r_name as root, r_name as node, 0 as hops from region union select root, dst, hops + 1 from p join e on node = src where hops < 16) select root, node, min(hops) as hops from p group by root, node""",
+    "shortest_paths": f"""with recursive {_EDGES}, p as (select r_name as root, r_name as node, 0 as hops from region union select root, dst, hops + 1 from p join e on node = src where hops < 64) select root, node, min(hops) as hops from p group by root, node""",
     "topology": f"""with {_EDGES}, f as (select n_name as node from supplier join nation on s_nationkey = n_nationkey union select r_name from region), k as (select *, lambda_kind.* from e, (select 1) lambda_kind)
         select src, dst, relation, case when src = 'ASIA' then 'TRANSACTION' when src = 'NATION_0' then 'WARNING' when src in ('EUROPE', 'AFRICA') then 'POLICY' else 'CORPORATE_ENTITY' end as src_kind,
         case when dst = 'ASIA' then 'TRANSACTION' when dst = 'NATION_0' then 'WARNING' when dst in ('EUROPE', 'AFRICA') then 'POLICY' else 'CORPORATE_ENTITY' end as dst_kind from e where src in (select node from f) and dst in (select node from f)""",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_id
+from . import shared
 
 METADATA = "source_document string, page_number int, section_inferred string, content_type string"
 RECORD = "source_document string, page_number int, section_inferred string, content_type string, raw_content string, table_index int"
@@ -34,15 +36,55 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def replace_documents(new: DataFrame, path: str, key: str = "document_id") -> None:
-    """Appends by document: partitions of documents that occur in ``new`` are replaced, others stay."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+#: Folders that a table of documents is dealt to.
+BUCKETS = 64
 
 
-def ready(statuses: DataFrame, ids: list | None = None) -> DataFrame:
-    """Documents that are ready; ``ids`` restricts them, none or an empty list does not."""
+def replace_documents(new: DataFrame, path: str, key: str = "document_id", buckets: int = BUCKETS) -> None:
+    """Appends by document: rows of documents that occur in ``new`` are replaced, others stay.
+
+    Documents are dealt to folders by a hash; only folders that a new document falls in are read and written again.
+    """
+    spark = new.sparkSession
+    fresh = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException:  # nothing was written yet
+        old = None
+    if old is not None:
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
+        kept = old.where(F.col("bucket").isin(touched)).join(fresh.select(key).distinct(), key, "left_anti")
+        fresh = shared.written(kept.unionByName(fresh, allowMissingColumns=True), "documents")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    shared.drop(fresh)
+
+
+def register(spark: SparkSession, folder: str, names: list[str]) -> None:
+    """Parquet tables of a folder as views, for SQL."""
+    for name in names:
+        table(spark, folder, name).createOrReplaceTempView(name)
+
+
+def read_evolved(spark: SparkSession, path: str, defaults: dict) -> DataFrame:
+    """A table whose files may lack columns that were added later: these have their defaults."""
+    df = spark.read.option("mergeSchema", "true").parquet(path)
+    return df.withColumns({k: F.coalesce(F.col(k), v) if k in df.columns else v for k, v in defaults.items()})
+
+
+def write_summary(metrics: DataFrame, path: str, title: str = "Summary") -> None:
+    """A small table of metrics as JSON lines and as a markdown table, in two folders; again changes nothing."""
+    rows = metrics.coalesce(1)
+    rows.write.mode("overwrite").json(f"{path}/json")
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = metrics.sparkSession.createDataFrame([(0, f"# {title}"), (1, ""), (2, "| " + " | ".join(metrics.columns) + " |"), (3, "| " + " | ".join([":---"] * len(metrics.columns)) + " |")], "n int, value string")
+    body = rows.select(F.lit(4).alias("n"), line([F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in metrics.columns]).alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("n", "value").select("value").write.mode("overwrite").text(f"{path}/markdown")
+
+
+def ready(statuses: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Documents that are ready; a table of ids (document_id) restricts them, none does not."""
     out = statuses.where("status = 'ready'")
-    return out.where(F.col("document_id").isin(ids)) if ids else out
+    return out if ids is None else out.join(ids.select("document_id"), "document_id", "left_semi")
 
 
 def union_sources(seeded: DataFrame, uploaded: DataFrame | None, include_seeded: bool = True, include_uploaded: bool = False) -> DataFrame:

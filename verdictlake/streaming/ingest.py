@@ -91,6 +91,26 @@ def next_events(events: DataFrame, failed: str = "failed", most: int = MAX_RETRI
     return events.withColumns({"next": route, "next_retry": F.when(F.col(failed), F.col("retry_count") + 1).otherwise(0)})
 
 
+def dead_letters(events: DataFrame, error: str = "error", trace: str = "traceback", failed: str = "failed", most: int = MAX_RETRIES) -> DataFrame:
+    """(key, value) of events that failed and may not be tried again: the whole event with its error and trace, as JSON keyed by document."""
+    last = events.where(F.col(failed) & (F.col("retry_count") >= most))
+    whole = F.struct(*[F.col(c) for c in events.columns if c not in (error, trace, failed)])
+    return last.select(F.col("document_id").cast("string").alias("key"), F.to_json(F.struct(whole.alias("event"), F.col(error).alias("error"), F.col(trace).alias("traceback"))).alias("value"))
+
+
+def updated(statuses: DataFrame, changes: DataFrame, at: str = "at") -> DataFrame:
+    """(document_id, state, updated_at): open maps of states after partial changes (document_id, change, at), applied in order of time.
+
+    A change names only the keys that it sets; others stay. A document without a state begins with its first change.
+    """
+    rows = changes.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(at, F.map_entries("change").alias("change")))).alias("c"))  # maps have no order, their entries have
+    both = statuses.select("document_id", "state", F.col("updated_at").alias("old_at")).join(rows, "document_id", "full")
+    empty = F.create_map().cast("map<string,string>")
+    merge = lambda a, b: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+    state = F.aggregate(F.coalesce("c", F.array().cast(both.schema["c"].dataType)), F.coalesce("state", empty), lambda s, x: merge(s, F.map_from_entries(x["change"])))
+    return both.select("document_id", state.alias("state"), F.coalesce(F.element_at("c", -1)[at], F.col("old_at")).alias("updated_at"))
+
+
 def kafka_source(spark, servers: str, topics: tuple = TOPICS) -> DataFrame:
     """Messages from the earliest offset; the stream's checkpoint keeps the offsets. Needs Spark's Kafka connector."""
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", "earliest").load()
