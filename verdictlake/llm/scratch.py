@@ -1,53 +1,12 @@
-"""Shared scratch space: tables and files that outlive the executor that wrote them."""
+"""Shared scratch space of the corpus operators, and files of their own formats in it."""
 
 from __future__ import annotations
 
 import os
-import posixpath
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.shared import drop, new_path, shared_dir, shuffle_partitions, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that is unset and all executors are threads of this process, as in tests, a folder of this machine is taken and
-    named there; a cluster without a shared folder is an error, as executors would write where the driver cannot read.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        base = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, short lineage, safe from lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables made by :func:`written` that nothing reads any more."""
-    for table in tables:
-        path = getattr(table, "scratch_path", None)
-        if path:
-            spark = table.sparkSession
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+__all__ = ["drop", "filesystem", "new_path", "shared_dir", "shuffle_partitions", "written"]
 
 
 def filesystem(path: str):
@@ -60,8 +19,3 @@ def filesystem(path: str):
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
