@@ -170,12 +170,16 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text:
     centred = prototypes - centre
     if len(langs):
         centred = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text or c != text]).alias("row_"), F.col(f"`{text}`").alias("t_"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text or c != text]).alias("row_")
+    source = docs.select(row) if with_text else docs.select(row, F.col(f"`{text}`").alias("t_"))  # the text travels once
+    place = docs.columns.index(text)
     schema = f"row_ {source.schema['row_'].dataType.simpleString()}, lang_pred string, score double, margin double"
 
     def run(rows):
         space = Space(dimensions, gram)
         for whole in rows:
+            if with_text:
+                whole = pa.RecordBatch.from_arrays([whole.column("row_"), whole.column("row_").flatten()[place]], ["row_", "t_"])
             for batch in batches(whole, "t_"):
                 pred, score, margin = [], [], []
                 for t in batch.column("t_").to_pylist():
