@@ -15,17 +15,19 @@ from verdictlake.llm.scratch import drop, written
 
 #: Documents of which at least so many hundredths of all five-word shingles are shared are near-duplicates.
 NEAR_PER_CENT = 80
+#: Keys of dropped rows that are broadcast, at most: some 10 MB. More are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def _without(docs: DataFrame, gone: DataFrame, keys: dict) -> DataFrame:
-    """Rows of ``docs`` that agree with none of the small table ``gone`` in all keys (name in ``gone`` -> column); nulls are equal.
+    """Rows of ``docs`` that agree with none of the table ``gone`` in all keys (name in ``gone`` -> column); nulls are equal.
 
-    The table is read back, so that the planner knows its size: it is broadcast if it is small, and the texts are not moved.
+    Its distinct keys are written and counted: few are broadcast, and the texts are not moved.
     """
     gone = written(gone.select(*keys).distinct(), "dropped")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), *[c.alias(f"{k}_") for k, c in keys.items()])
     same = [rows[f"{k}_"].eqNullSafe(gone[k]) for k in keys]
-    out = rows.join(gone, same, "left_anti").select("row_.*")
+    out = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti").select("row_.*")
     out.scratch_tables = [gone]
     return out
 
