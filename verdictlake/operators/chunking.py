@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,19 +22,40 @@ def child_windows(parents: DataFrame, id_col: str = "doc_id", text: str = "text"
     return w.select(id_col, "window", "start", F.size(part).alias("n_tokens"), F.array_join(part, "").alias("chunk"))
 
 
+def _numbered(state_of) -> Column:
+    """A function of two arrays of one row each, item by item: numbers that rise by one where ``state_of`` begins anew. Linear in the items."""
+    @F.pandas_udf("array<int>")
+    def number(first: pd.Series, second: pd.Series) -> pd.Series:
+        out = []
+        for one, two in zip(first, second, strict=True):
+            begins, groups, group = state_of(), [], 0
+            for x, y in zip(one, two, strict=True):
+                group += begins(x, y)
+                groups.append(group)
+            out.append(groups)
+        return pd.Series(out)
+
+    return number
+
+
 def pack_groups(sizes: Column, breaks: Column, limit: int = PARENT_TOKENS) -> Column:
     """Group number of each item of two arrays: an item joins the open group if their sizes stay within ``limit`` and it does not break.
 
-    An item that is larger than the limit is a group of its own. The fold keeps the state of one document only.
+    An item that is larger than the limit is a group of its own. What is kept is the state of one document only.
     """
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out"))
 
-    def step(state: Column, item: Column) -> Column:
-        new = item["b"] | (state["used"] + item["s"] > limit)
-        group = state["group"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, item["s"]).otherwise(state["used"] + item["s"]).alias("used"), group.alias("group"), F.array_append(state["out"], group).alias("out"))
+    def state_of():
+        used = 0
+
+        def begins(size, breaks_):
+            nonlocal used
+            new = bool(breaks_) or used + size > limit
+            used = size if new else used + size
+            return int(new)
 
-    return F.aggregate(F.arrays_zip(sizes.alias("s"), breaks.alias("b")), start, step, lambda s: s["out"])
+        return begins
+
+    return _numbered(state_of)(sizes, breaks)
 
 
 def parent_pack(items: DataFrame, doc: str, order: str, text: str, section: str, limit: int = PARENT_TOKENS) -> DataFrame:
@@ -93,14 +115,21 @@ def group_lines(words: DataFrame, page: str, tolerance: float = 3.0) -> DataFram
     """(page, line, n_words, content) from words (page, top, x, word): a word joins the line while its top is near that of the line's first word."""
     row = F.struct(F.col("top"), F.col("x"), F.col("word"))
     pages = words.groupBy(page).agg(F.array_sort(F.collect_list(row)).alias("w"))
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, w: Column) -> Column:
-        new = s["top"].isNull() | (F.abs(w["top"] - s["top"]) > tolerance)
-        line = s["line"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, w["top"].cast("double")).otherwise(s["top"]).alias("top"), line.alias("line"), F.array_append(s["out"], line).alias("out"))
+    def state_of():
+        top = None
+
+        def begins(at, _):
+            nonlocal top
+            if top is not None and abs(at - top) <= tolerance:
+                return 0
+            top = at
+            return 1
+
+        return begins
 
-    flat = pages.select(page, F.explode(F.arrays_zip(F.aggregate("w", start, step, lambda s: s["out"]).alias("line"), F.col("w").alias("w"))).alias("z"))
+    tops = F.transform("w", lambda w: w["top"].cast("double"))
+    flat = pages.select(page, F.explode(F.arrays_zip(_numbered(state_of)(tops, tops).alias("line"), F.col("w").alias("w"))).alias("z"))
     lined = flat.groupBy(page, F.col("z.line").alias("line")).agg(F.count(F.lit(1)).alias("n_words"), F.array_sort(F.collect_list(F.struct(F.col("z.w.x").alias("x"), F.col("z.w.word").alias("t")))).alias("ws"))
     return lined.select(page, "line", "n_words", F.array_join(F.transform("ws", lambda r: r["t"]), " ").alias("content"))
 

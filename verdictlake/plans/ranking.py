@@ -79,8 +79,10 @@ def containing(q: DataFrame, d: DataFrame) -> DataFrame:
     pairs = lambda w: F.get(F.transform(F.array(w), lambda x: F.array_distinct(pairs_of(x))), 0)
     asked = q.withColumn("w_", words("query")).withColumn("w_", F.slice("w_", 2, F.greatest(F.size("w_") - 2, F.lit(0))))
     asked = asked.withColumn("k", F.array_max(F.transform(pairs(F.col("w_")), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]).drop("w_")
-    grams = d.select("doc_id", "text", F.explode(pairs(words("text"))).alias("k"))
-    keyed = grams.join(R.small(asked.where("k is not null")), "k").where(F.contains("text", F.col("query"))).select("query_id", "doc_id")
+    grams = d.select("doc_id", F.explode(pairs(words("text"))).alias("k"))
+    met = shared.written(grams.join(R.small(asked.where("k is not null").select("query_id", "k")), "k").select("query_id", "doc_id").distinct(), "candidates")
+    # texts are fetched for candidates only
+    keyed = d.join(R.small(met), "doc_id").join(R.small(q), "query_id").where(F.contains("text", F.col("query"))).select("query_id", "doc_id")
     scanned = d.join(R.small(asked.where("k is null")), F.contains(d["text"], F.col("query"))).select("query_id", "doc_id")
     return keyed.unionByName(scanned).distinct()
 
