@@ -89,19 +89,23 @@ class Index:
         words = T.evaluated(queries.select("query_id", "query"), {"w": self.tokens(F.col("query"))})
         asked = words.select("query_id", F.size(F.array_distinct("w")).alias("n"), F.explode_outer("w").alias("term")).where("term is not null").groupBy("query_id", "n", "term").agg(F.count(F.lit(1)).alias("qtf"))
         asked = asked.join(self.terms.select("term", "idf"), "term")
-        size = asked.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("query_id").alias("queries")).first()
-        blocks = max(1, math.ceil(size.pairs / BLOCK_PAIRS), math.ceil(size.queries / BLOCK_QUERIES))
+        few = asked.limit(BLOCK_PAIRS + 1).collect()
+        if len(few) <= BLOCK_PAIRS and len({r.query_id for r in few}) <= BLOCK_QUERIES:
+            parts = [few]
+        else:
+            size = asked.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("query_id").alias("queries")).first()
+            blocks = max(2, math.ceil(size.pairs / BLOCK_PAIRS), math.ceil(size.queries / BLOCK_QUERIES))
+            parts = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() for b in range(blocks))
         types = {f.name: f.dataType.simpleString() for f in queries.schema}
         schema = f"query_id {types['query_id']}, doc_id {self.id_type}, score double"
         out = []
-        for b in range(blocks):
-            rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        for rows in parts:
             ids = sorted({r.query_id for r in rows})
             terms = sorted({r.term for r in rows})
             at, place = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(ids)}
             pairs = sorted((at[r.term], place[r.query_id], float(r.qtf) if weighted else 1 / r.n) for r in rows)
             idf = {r.term: r.idf for r in rows}
-            wanted = self.spark.createDataFrame([(t, i, idf[t] if weighted else 1.0) for t, i in at.items()], "term string, t int, idf double")
+            wanted = self.spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "t": pa.array(range(len(terms)), pa.int32()), "idf": pa.array([idf[t] if weighted else 1.0 for t in terms], pa.float64())}))
             hits = self.postings.join(F.broadcast(wanted), "term").select("shard", "t", "idf", "docs", "tfs", "dls")  # as many terms as a block has pairs at most
             dealt = hits.repartition(shared.shuffle_partitions(self.spark), "shard").sortWithinPartitions("shard")
             out.append(dealt.mapInArrow(_scorer(ids, to_arrow_type(queries.schema["query_id"].dataType), pairs, self.avgdl if weighted else None, k), schema))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..sources.shared import shuffle_partitions
 from .index import DIGITS, Index, overlap_terms
 
 # Fixed value: the constant of reciprocal-rank fusion.
@@ -185,6 +186,7 @@ def lexical_rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, t
     wanted = small(candidates.select("doc_id").distinct())
     texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", T.terms(F.coalesce("text", F.lit(""))).alias("dt"))
     both = candidates.select("query_id", "doc_id", F.col("rank").alias("old_rank")).join(asked, "query_id").join(texts, "doc_id")
+    both = both.repartition(shuffle_partitions(docs.sparkSession), "query_id")  # few bytes but much work: a fixed number of partitions is not merged by size
     overlap = F.size(F.array_intersect("qt", "dt"))
     scored = both.select("query_id", "doc_id", "old_rank", overlap.alias("overlap"), F.round(overlap / F.greatest(F.size("qt"), F.lit(1)), DIGITS).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("overlap"), F.asc("old_rank"), F.asc("doc_id"))

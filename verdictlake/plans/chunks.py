@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, workflow
 from ..sources import tables
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 def child_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.child_windows(table(spark, sf_dir, "documents"))
+    c = chunking.child_windows(spread(spark, sf_dir, "documents"))
     return c.select("doc_id", "window", "start", "n_tokens", F.md5("chunk").alias("chunk_md5"))
 
 
@@ -31,7 +31,7 @@ def _short(line):
 
 
 def section_segments(spark, sf_dir):
-    s = chunking.sections(table(spark, sf_dir, "documents"), heading=_short)
+    s = chunking.sections(spread(spark, sf_dir, "documents"), heading=_short)
     return s.select("doc_id", "line_no", F.md5("line").alias("line_md5"), "section")
 
 
@@ -79,7 +79,7 @@ def source_mode_union(spark, sf_dir):
 
 def token_stats(spark, sf_dir):
     """Tokenisers side by side: Unicode words, terms, tokens that keep their blanks, query terms."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(spark, sf_dir, "documents")
     t = F.col("text")
     return d.select("doc_id", F.size(T.words(t)).alias("n_words"), F.size(T.terms(t)).alias("n_terms"), F.size(T.space_tokens(t)).alias("n_tokens"), F.size(T.query_terms(t)).alias("n_query_terms"), F.length(F.array_join(T.space_tokens(t), "")).alias("n_chars"))
 

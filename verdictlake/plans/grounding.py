@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import retrieval as R
 from ..operators import rules
+from ..sources.shared import shuffle_partitions
 from . import ranking
 from .policy import POLICY, SOURCES
 
@@ -31,7 +32,8 @@ CEILING = 5.0
 
 def blocks(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     q, d = ranking.queries_of(spark, sf_dir), ranking.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return R.bm25(q, ranking.words_index(spark, sf_dir), k).select("query_id", "doc_id", F.col("rank").alias("place")).join(q, "query_id").join(d, "doc_id")
+    top = R.bm25(q, ranking.words_index(spark, sf_dir), k).select("query_id", "doc_id", F.col("rank").alias("place")).join(q, "query_id").join(d, "doc_id")
+    return top.repartition(shuffle_partitions(spark), "query_id")  # few bytes but much work: a fixed number of partitions is not merged by size
 
 
 def _scored(spark, sf_dir):

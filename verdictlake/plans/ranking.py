@@ -11,7 +11,7 @@ from ..operators import chunking
 from ..operators import index as I
 from ..operators import retrieval as R
 from ..sources import shared
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 _W = r"[\p{L}\p{N}_]+"
 
@@ -21,7 +21,7 @@ def queries_of(spark, sf_dir) -> DataFrame:
 
 
 def docs_of(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def words_index(spark, sf_dir) -> I.Index:

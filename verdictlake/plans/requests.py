@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as T
 from ..operators import rules, workflow
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .policy import POLICY
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, user_id, created_at, query): a request in words for every order."""
-    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    orders, customer, nation = spread(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     n = F.broadcast(nation.select("n_nationkey", F.initcap(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("place")))
     df = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     value = F.concat(F.lit("$"), F.format_number(F.round(F.col("o_totalprice") * 10).cast("long"), 0))

@@ -49,13 +49,20 @@ def drop(*tables: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def _files(spark: SparkSession, path: str) -> list:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return list(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop))
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of the files of a folder."""
+    return sum(f.getLen() for f in _files(spark, path))
+
+
 def version(spark: SparkSession, path: str) -> str:
     """What tells one state of a file or folder from another: number, bytes and last change of its files."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    summary, files = [0, 0, 0], hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
-    for f in files:
-        summary = [summary[0] + 1, summary[1] + f.getLen(), max(summary[2], f.getModificationTime())]
-    return "-".join(map(str, summary))
+    files = _files(spark, path)
+    return f"{len(files)}-{sum(f.getLen() for f in files)}-{max((f.getModificationTime() for f in files), default=0)}"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

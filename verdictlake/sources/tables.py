@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of at most so many bytes is dealt out before work that costs far more per row than moving the row.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for costly work per row. A small one may be a single row group, and so a single task: its rows are dealt over all cores. A large one is split as it is."""
+    df = table(spark, sf_dir, name)
+    return df.repartition(spark.sparkContext.defaultParallelism) if shared.size(spark, f"{sf_dir}/{name}.parquet") <= SPREAD_BYTES else df
+
+
 def read_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
     """Records of a JSON file that holds one array. Content that is a table stays JSON text; see ``split_content``."""
     return spark.read.schema(schema).json(path, multiLine=True)
