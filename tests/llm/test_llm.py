@@ -68,8 +68,9 @@ def test_exact_with_colliding_fingerprints(edge):
     assert sorted((tuple(r) for r in exact_dedup.exact_dedup(edge, block_bytes=5000, fingerprint=bad).drop("raw_hash").collect()), key=repr) == exact_brute(TEXTS)
 
 
-def test_exact_oracle(spark):
-    assert compare.difference(spark, SF, queries.op1_exact_dedup, queries.ORACLE_SQL["op1_exact_dedup"]) == ""
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_corpus_oracle(spark, name):
+    assert compare.difference(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name]) == ""
 
 
 # tokens

@@ -88,4 +88,19 @@ ORACLE_SQL = {
         with n as (select doc_id, length(coalesce(text, '')) as chars, {_TEXT_KEY} as t from documents),
         r as (select *, first_value(doc_id) over (partition by t order by chars desc, doc_id) as keep_id, count(*) over (partition by t) as group_size from n)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256, chars as n_chars from r""",
+    # the tables' pages mark their articles, so that a plain pattern finds what the distribution has to find
+    "op4_html_text": r"""with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) as h from pages),
+    b as (select page_id, url, list_filter(list_transform(regexp_split_to_array(h, '</?(?:p|h1|br)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') as t from a)
+    select page_id, url, array_to_string(t, chr(10)) as text, length(array_to_string(t, chr(10))) as n_chars from b""",
+    "op8_warc": """with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+    d as (select *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, cast(i // 8 * 10 + 1 as bigint), 10) as bigint) >> cast(35 - 5 * (i % 8) as integer)) & 31 as bigint) + 1, 1)), '') as payload_digest from p)
+    select page_id, payload_bytes, payload_digest, case when page_id = max(page_id) over (partition by h) then 'response' else 'revisit' end as record_type, case when page_id <> max(page_id) over (partition by h) then max(page_id) over (partition by h) end as refers_to from d""",
+    "op10_minhash": r"""with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+    s as materialized (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end as s from w),
+    h as materialized (select doc_id, n, hash(x) as h from (select doc_id, len(s) as n, unnest(s) as x from s)),
+    met as (select a.doc_id as a, b.doc_id as b, a.n as x, b.n as y, count(*) as common from h a join h b on a.h = b.h and a.doc_id < b.doc_id and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n group by all),
+    half as materialized (select a, b from met where 100 * common >= 85 * (x + y - common)),
+    links as materialized (select a, b from half union all select b, a from half),
+    reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a)
+    select doc_id, cast(len(s) as bigint) as n_shingles, c as component_id, doc_id = c as kept from s join (select a as doc_id, min(b) as c from reach group by 1) using (doc_id)""",
 }
