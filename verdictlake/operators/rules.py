@@ -22,7 +22,7 @@ def request_facts(requests: DataFrame, policy: Policy, query: str = "query") ->
     q, low = F.col("q_"), F.col("low_")
     abroad = T.contains_any(low, config.JURISDICTION_TERMS)
     facts = {
-        "transaction_value": F.coalesce(F.get(T.amounts(q), 0), F.lit(0.0)),
+        "transaction_value": F.coalesce(T.first_amount(q), F.lit(0.0)),
         "allowed_ceiling": F.lit(policy.ceiling),
         "source_doc": T.first_route(low, config.SOURCE_ROUTES, config.DEFAULT_SOURCE),
         "transaction_type": T.first_route(low, config.TYPE_ROUTES, config.DEFAULT_TYPE),
@@ -53,7 +53,8 @@ def _measured(facts: DataFrame, query: str) -> DataFrame:
     df = T.evaluated(facts, {"scenario": scenario(F.col(query))})
     s = F.col("scenario")
     has = lambda terms: T.contains_any(s, terms)
-    share, total = F.coalesce(F.array_max(T.percents(s)), F.lit(0.0)), T.money_after(s, config.CUMULATIVE_ANCHORS)
+    share = F.when(F.contains(s, F.lit("%")), F.coalesce(F.array_max(T.percents(s)), F.lit(0.0))).otherwise(0.0)
+    total = F.when(has(config.CUMULATIVE_ANCHORS), T.money_after(s, config.CUMULATIVE_ANCHORS)).otherwise(0.0)
     insider = has(config.INSIDER_TERMS) & has(config.CREDIT_TERMS)
     marks = {
         "max_share": share, "cumulative": total, "abroad": has(config.CROSS_BORDER), "gap": has(config.KYC_TERMS), "crypto": has(config.CRYPTO_TERMS), "foreign": has(config.INVESTMENT_TERMS),
