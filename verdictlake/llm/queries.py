@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, langid, minhash, packing, pii, quality, tokenfile, warc
+from . import decontaminate, exact_dedup, html_text, langid, merkle, minhash, packing, pii, quality, tokenfile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +80,37 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_token_files, op4_html_text, op5_quality, op6_decontamination, op7_pii, op8_warc, op9_language, op10_minhash)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents; where 5 divides the id's checksum, the text is found in lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": merkle.lower_ascii(F.col("text"))}, where=tampered)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_token_files, op4_html_text, op5_quality, op6_decontamination, op7_pii, op8_warc, op9_language, op10_minhash, op11_merkle)}
+
+
+
+def _merkle_oracle(levels: int = 5, tops: int = 3) -> str:
+    """Every level of the trees as a common table: up to 16 ** levels rows of a source and 16 ** tops sources."""
+    enc = lambda c: f"case when {c} is null then '-' else octet_length(encode({c}::varchar)) || ':' || {c} end"
+    leaf = lambda text: "sha256(concat(" + ", ".join(map(enc, ("doc_id", "source", "lang", "n_chars", text))) + "))"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bit = "case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(range(length(doc_id::varchar)), lambda i: ascii((doc_id::varchar)[i + 1])::bigint)), lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda c, k: {bit})), 4294967295)"
+
+    def climb(n: str, t: str, k: int) -> str:
+        side = ("array_to_string(hs[1:t.pos % 16], '')", "array_to_string(hs[t.pos % 16 + 2:], '')")
+        return f"""
+        r{n}{k} as materialized (select g, pos // 16 as run, list(h order by pos) as hs, any_value(c) > 1 as many from (select *, count(*) over (partition by g) as c from {n}{k}) group by all),
+        {n}{k + 1} as materialized (select g, run as pos, case when many then sha256(array_to_string(hs, '')) else hs[1] end as h from r{n}{k}),
+        {t}{k + 1} as materialized (select t.* exclude (pos, acc, sib), t.pos // 16 as pos, case when many then sha256({side[0]} || acc || {side[1]}) else acc end as acc, case when many then sib || {side[0]} || {side[1]} else sib end as sib from {t}{k} t join r{n}{k} r on r.g = t.g and r.run = t.pos // 16)"""
+
+    return f"""with d as materialized (select doc_id, coalesce('=' || source, '') as g, {leaf("text")} as h, case when {crc} % 5 = 0 then {leaf(low)} else {leaf("text")} end as found from documents),
+    o as materialized (select *, row_number() over (partition by g order by doc_id nulls first, h) - 1 as pos from d), n0 as (select g, pos, h from o), t0 as (select doc_id, h as leaf, g, pos, found as acc, '' as sib from o),
+    {",".join(climb("n", "t", k) for k in range(levels))}, u as materialized (select g as name, h, row_number() over (order by g) - 1 as pos from n{levels}), m0 as (select '' as g, pos, h from u),
+    v0 as (select t.doc_id, t.leaf, u.h as subroot, '' as g, u.pos, t.acc, t.sib from t{levels} t join u on u.name = t.g), {",".join(climb("m", "v", k) for k in range(tops))}
+    select doc_id, leaf, subroot, m.h as root, sha256(sib) as proof_sha256, acc as folded_root, acc = m.h as verified from v{tops}, (select h from m{tops}) m"""
+
 
 _TEXT_KEY = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 ORACLE_SQL = {
@@ -92,6 +122,7 @@ ORACLE_SQL = {
     "op4_html_text": r"""with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) as h from pages),
     b as (select page_id, url, list_filter(list_transform(regexp_split_to_array(h, '</?(?:p|h1|br)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') as t from a)
     select page_id, url, array_to_string(t, chr(10)) as text, length(array_to_string(t, chr(10))) as n_chars from b""",
+    "op11_merkle": _merkle_oracle(),
     "op8_warc": """with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
     d as (select *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, cast(i // 8 * 10 + 1 as bigint), 10) as bigint) >> cast(35 - 5 * (i % 8) as integer)) & 31 as bigint) + 1, 1)), '') as payload_digest from p)
     select page_id, payload_bytes, payload_digest, case when page_id = max(page_id) over (partition by h) then 'response' else 'revisit' end as record_type, case when page_id <> max(page_id) over (partition by h) then max(page_id) over (partition by h) end as refers_to from d""",
