@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, langid, merkle, minhash, packing, pii, quality, tokenfile, warc
+from . import decontaminate, exact_dedup, html_text, langid, merkle, minhash, packing, pii, quality, suffix, tokenfile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +86,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": merkle.lower_ascii(F.col("text"))}, where=tampered)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_token_files, op4_html_text, op5_quality, op6_decontamination, op7_pii, op8_warc, op9_language, op10_minhash, op11_merkle)}
+def op13_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_token_files, op4_html_text, op5_quality, op6_decontamination, op7_pii, op8_warc, op9_language, op10_minhash, op11_merkle, op13_suffix)}
 
 
 
