@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, langid, merkle, minhash, packing, pii, quality, suffix, tokenfile, warc
+from . import decontaminate, exact_dedup, html_text, langid, merkle, minhash, negatives, packing, pii, quality, suffix, tokenfile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,11 +86,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": merkle.lower_ascii(F.col("text"))}, where=tampered)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def op13_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_token_files, op4_html_text, op5_quality, op6_decontamination, op7_pii, op8_warc, op9_language, op10_minhash, op11_merkle, op13_suffix)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_token_files, op4_html_text, op5_quality, op6_decontamination, op7_pii, op8_warc, op9_language, op10_minhash, op11_merkle, op12_hard_negatives, op13_suffix)}
 
 
 
@@ -127,6 +132,12 @@ ORACLE_SQL = {
     b as (select page_id, url, list_filter(list_transform(regexp_split_to_array(h, '</?(?:p|h1|br)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') as t from a)
     select page_id, url, array_to_string(t, chr(10)) as text, length(array_to_string(t, chr(10))) as n_chars from b""",
     "op11_merkle": _merkle_oracle(),
+    "op12_hard_negatives": """with v as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+        where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as materialized (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_inner_product(a.e, b.e)::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+    p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+    select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id)::integer as rank, id as negative_id, positive_score, score as negative_score
+    from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score qualify rank <= 3""",
     "op8_warc": """with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
     d as (select *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, cast(i // 8 * 10 + 1 as bigint), 10) as bigint) >> cast(35 - 5 * (i % 8) as integer)) & 31 as bigint) + 1, 1)), '') as payload_digest from p)
     select page_id, payload_bytes, payload_digest, case when page_id = max(page_id) over (partition by h) then 'response' else 'revisit' end as record_type, case when page_id <> max(page_id) over (partition by h) then max(page_id) over (partition by h) end as refers_to from d""",
