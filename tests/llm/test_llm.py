@@ -289,6 +289,34 @@ def test_the_distribution_finds_bodies():
     assert html_text.main_text("<div>" + "word " * 200_000 + "</div>") == ("word " * 200_000).strip()
 
 
+def test_marks_are_weights():
+    long = [f"Sentence {k} of the story, which goes on for a while and ends here." for k in range(6)]
+    p, want = "".join(f"<p>{x}</p>" for x in long), "\n".join(long)
+    menu = "<ul>" + "".join(f"<li><a href='/{k}'>Section {k}</a></li>" for k in range(5)) + "</ul>"
+    talk = "<p>Nice article, thanks a lot for writing it, I liked it very much!</p>" * 2
+    assert html_text.main_text(f"<article class='teaser'><p>Another story that asks to be read</p></article><div id='story'>{p}</div>") == want
+    assert html_text.main_text(f"<article><p>Another story that asks to be read</p></article><div id='story'>{p}</div>").endswith(want)
+    for body in ("article", "main"):
+        assert html_text.main_text(f"<{body}>{menu}{p}<div>Sign up to our newsletter</div>{p}{menu}</{body}>") == want + "\n" + want
+        assert html_text.main_text(f"<{body}>{p}<div class='user-comments'>{talk}</div></{body}>") == want
+        assert html_text.main_text(f"<{body}>{p}<div class='discussion'>{talk}</div></{body}>").startswith(want)  # a section of the text may be called so
+    assert html_text.main_text(f"<div>{p}</div><div class='discussion'>{talk}</div>") == want
+    assert html_text.main_text(f"<div>By law we tell you here that all of this is without warranty.</div><div id='story'>{p}</div>") == want
+    assert html_text.main_text(f"<div>{p}</div><div>{p}</div>") == want + "\n" + want
+    assert html_text.main_text(f"<div>{p}</div>" * 3 + "<div>Made by us</div>") == "\n".join([want] * 3)
+
+
+def test_pages_without_marks(spark):
+    """With all tags and names that say what a part is made neutral, no line of an article is lost, and menus, adverts and footers go."""
+    lost = menus = gained = n = 0
+    for page in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(?:article|nav|aside|header|footer|form)\b[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", page.html))
+        want, got = html_text.main_text(page.html).split("\n"), html_text.main_text(plain).split("\n")
+        links = {" ".join(html.unescape(x).split()) for x in re.findall(r"<li><a[^>]*>(.*?)</a>", page.html)} - set(want)
+        n, lost, menus, gained = n + 1, lost + len(set(want) - set(got)), menus + len(links & set(got)), gained + bool(set(got) - set(want))
+    assert lost == menus == 0 and gained <= 0.02 * n, (lost, menus, gained, n)
+
+
 def test_runs_lie_between_surges_and_dives():
     rng = random.Random(9)
     for _ in range(300):
@@ -448,6 +476,15 @@ def test_base_spans(spark, edge, texts):
     assert pii.find_spans(none_of(edge)).count() == 0 and pii.find_spans(edge).count() == len(TEXTS)
 
 
+def test_every_octet(spark):
+    """Parts up to 255 count, with and without zeros before them."""
+    rows = [(k * 4 + z, f"ip {'0' * z}{k}.0.00.{k} x") for k in range(301) for z in range(4)]
+    got = {r.doc_id: len(r.base_spans) for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i // 4 <= 255) for i, _ in rows}
+    some = spark.createDataFrame([(1, "host 10.0.0.1 and 127.0.0.1 and 192.168.0.1 and 0.0.0.0 ok, 1.2.3.0256 not")], "doc_id long, text string")
+    assert len(pii.find_spans(some).first().base_spans) == 4
+
+
 def test_added_spans(spark):
     rows = [(1, "mail bob [at] host [dot] com now"), (2, "Tel. (555) 123-4567"), (3, "order 555-222-1111"), (4, "date 2024-01-02 version 10.20.30"), (5, "look at that. Then"), (6, "card 4111.1111.1111.1111"), (7, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -9,8 +9,12 @@ one that is dense: of long lines, and mostly outside links.
 Parts that say that they are no article (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments) weigh nothing: whole page regions leave a gap as wide as the window, small insets a narrower one, so that an inset does not end the
 text around it. An element is such a part by its tag, or by a class, id or role all of whose words say so; if nothing is left that
-way, only names of comments are believed, and runs with several lines of prose are kept. A page that marks its body with ``article`` or ``main`` has
-its surges and dives there, and all text between them is kept.
+way, only names of comments are believed, and runs with several lines of prose are kept.
+
+``article`` and ``main`` are weights: what stands in them reaches a surge by itself and what does not weighs nothing, if as much text is marked so as any run
+beside it holds; a page whose marked text is a teaser next to a longer story is read as if nothing were marked. Without marks a run is held
+against the page's boxes: lines at its ends that stand outside the box with most of its text, alone and neither prose nor long beside it, are
+no part of it. Rows of nothing but links (menus) and calls to sign up or to accept cookies are left out inside of runs too.
 """
 
 from __future__ import annotations
@@ -39,11 +43,14 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _REGION = {"nav", "footer", "aside", "header", "head", "menu"}
 #: Elements that are insets.
 _INSET = {"form", "button", "select", "dialog", "fieldset", "audio", "video"}
+#: Elements that hold blocks, and how many open ones a closing tag may close.
+_BOX = {"div", "section", "article", "main", "body", "ul", "ol", "dl", "table", "tbody", "tr", "td", "center", "figure", "details"}
+BOXES = 50
 #: Elements that hold prose, however short.
 _PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "figcaption"}
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_REGION_WORDS = set("nav navbar navigation menu footer sidebar breadcrumb breadcrumbs masthead complementary contentinfo banner comments comment disqus related recommended".split())
+_REGION_WORDS = set("nav navbar navigation menu footer sidebar breadcrumb breadcrumbs masthead complementary contentinfo banner comments comment disqus related recommended teaser teasers".split())
 _INSET_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login share sharing social widget toolbar pager pagination respond replies".split())
 #: Words of layout that say nothing of what an element holds.
 _LAYOUT_WORDS = set("area bar block bottom box button buttons card column container content extra fixed form global group header holder inline inner item items left link links list main mobile module outer page panel post posts primary right row secondary section site slot small stories sticky tools top unit wrap wrapper".split())
@@ -51,6 +58,15 @@ _QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
 _UNSEEN = re.compile(r"""aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _COMMENT_WORDS = {"comments", "comment", "disqus", "respond", "replies"}
+#: Words beside them in names of comment sections, names of comments outside of marked text, and names that an ``article`` is believed.
+_TALK_WORDS = set("user users reader readers visitor visitors guest guests thread threads discussion view views feed form new latest all count".split())
+_TALK = {"discussion", "discussions"}
+_TEASER_WORDS = set("teaser teasers related recommended promo promotion sponsored advert advertisement ad".split())
+#: A short line that is a notice, whatever element holds it.
+_NOTICE = re.compile(r"(?:sign up (?:to|for) .*newsletter|subscribe to .*newsletter|(?:we|this site|this website) uses? cookies|accept (?:all )?cookies)\b.{0,20}$", re.I)
+NOTICE = 80
+#: Share of a run's weight from which a box holds the body, and share of the body that lines beside it need.
+BOX, BESIDE = 0.6, 0.25
 
 
 def _said(attributes: str) -> set[str]:
@@ -59,6 +75,10 @@ def _said(attributes: str) -> set[str]:
     for m in _NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
             words = {w.lower() for w in _WORDS.findall(name)}
+            if words & _COMMENT_WORDS and words <= _REGION_WORDS | _INSET_WORDS | _LAYOUT_WORDS | _TALK_WORDS:
+                out |= words & _COMMENT_WORDS
+            if words & _TALK and words <= _LAYOUT_WORDS | _TALK_WORDS | _TALK:
+                out |= words & _TALK
             if words <= _REGION_WORDS | _INSET_WORDS | _LAYOUT_WORDS:
                 out |= words - _LAYOUT_WORDS
     return out
@@ -77,10 +97,11 @@ def _kind(tag: str, attributes: str, in_body: bool, named: bool) -> tuple[int, b
     words = _said(attributes)
     if not named:
         words &= _COMMENT_WORDS
-    if words & _COMMENT_WORDS:
+    if words & _COMMENT_WORDS or (words & _TALK and not in_body):
         return WINDOW, True
+    words -= _TALK
     if tag == "article":
-        return 0, False
+        return (WINDOW if words & _TEASER_WORDS else 0), False
     if words & _REGION_WORDS:
         return WINDOW, False
     return (1, False) if words or _HIDDEN.search(_QUOTED.sub('""', attributes)) or _UNSEEN.search(attributes) else (0, False)
@@ -107,6 +128,7 @@ class Line(NamedTuple):
     body: bool = False  # in article or main
     linked: int = 0  # characters in links
     prose: bool = False
+    box: int = 0  # innermost element that holds blocks, in order of opening
 
     @property
     def weight(self) -> int:
@@ -114,9 +136,10 @@ class Line(NamedTuple):
         return max(own, PROSE) if self.prose and own > self.linked else own
 
 
-def lines(page: str, named: bool = True) -> list[Line]:
-    """Blocks of a page in order."""
+def lines(page: str, named: bool = True) -> tuple[list[Line], list[int]]:
+    """Blocks of a page in order, and the parent of each box."""
     out: list[Line] = []
+    boxes, parent = [("", 0)], [0]
     parts: list[str] = []
     # a tag needs a ">", so none begins after the last: that bounds the search for one that is never closed
     body, skip, depth, comments, at, end, last = 0, "", 0, False, 0, len(page), page.rfind(">") + 1
@@ -127,7 +150,7 @@ def lines(page: str, named: bool = True) -> list[Line]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Line(text, body > 0, min(linked, len(text)), prose))
+                out.append(Line(text, body > 0, min(linked, len(text)), prose, boxes[-1][1]))
             parts.clear()
         linked = 0
 
@@ -183,6 +206,13 @@ def lines(page: str, named: bool = True) -> list[Line]:
         if tag in _INLINE:
             continue
         close()
+        if tag in _BOX:
+            if not closing:
+                parent.append(boxes[-1][1])
+                boxes.append((tag, len(parent) - 1))
+            elif any(t == tag for t, _ in boxes[-BOXES:]):
+                while boxes.pop()[0] != tag:
+                    pass
         link = link and not closing  # a link that was never closed ends with its block
         if tag not in _VOID:
             prose = tag in _PROSE and not closing
@@ -190,7 +220,7 @@ def lines(page: str, named: bool = True) -> list[Line]:
             out.extend([Line()] * (WINDOW if body <= 1 else 0))
             body = max(0, body - 1) if closing else body + 1
     close()
-    return out
+    return out, parent
 
 
 def between_surges_and_dives(weights: list[int | None], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -229,17 +259,62 @@ def _dense(run: list[Line]) -> bool:
     return sum(len(x.text) ** 2 for x in run) >= LINE * size and sum(x.linked for x in run) <= LINKED * size
 
 
+def _main_box(run: list[Line], parent: list[int]) -> tuple[int, int]:
+    """First and last box of the innermost element that holds ``BOX`` of a run's weight (of its prose, if it has any): boxes are numbered in order of opening, so those inside one follow it."""
+    weight, last = [0] * len(parent), list(range(len(parent)))
+    prose = any(x.prose for x in run)
+    for x in run:
+        weight[x.box] += x.weight if x.prose or not prose else 0
+    for k in range(len(parent) - 1, 0, -1):
+        weight[parent[k]] += weight[k]
+        last[parent[k]] = max(last[parent[k]], last[k])
+    here = 0
+    for k in range(1, len(parent)):  # a heavy child of the current box, then of that, as they open
+        if parent[k] == here and weight[k] >= BOX * weight[0] > 0:
+            here = k
+    return here, last[here]
+
+
+def _in_box(run: list[Line], parent: list[int]) -> list[Line]:
+    """A run without what stands at its ends outside its main box: a line alone, that is no prose or short beside the body."""
+    first, last = _main_box(run, parent)
+    inside = [first <= x.box <= last for x in run]
+    if not any(inside):
+        return run
+    a, b = inside.index(True), len(run) - inside[::-1].index(True)
+    size = sum(x.weight for x in run[a:b])
+    prose = any(x.prose for x in run[a:b])
+
+    def stays(part: list[Line]) -> bool:
+        return sum(x.weight for x in part) >= BESIDE * size if not prose else len(part) > 1 and sum(x.prose for x in part) > 1 or any(x.prose and x.weight >= BESIDE * size for x in part)
+
+    return [x for part, kept in ((run[:a], stays(run[:a])), (run[a:b], True), (run[b:], stays(run[b:]))) if kept for x in part]
+
+
+def _clean(run: list[Line]) -> list[str]:
+    """Texts of a run without rows of nothing but links and without notices."""
+    only = [not x.prose and 10 * x.linked >= 9 * len(x.text) for x in run] + [False]
+    menu = [link and (only[k + 1] or (k > 0 and only[k - 1])) for k, link in enumerate(only[:-1])]
+    return [x.text for x, m in zip(run, menu) if not m and not (len(x.text) < NOTICE and _NOTICE.match(x.text))]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks, one per line; empty if there is none."""
     for named in (True, False):
-        found = lines(page or "", named)
-        if any(x.body for x in found):
-            return "\n".join(x.text for x in found if x.body)
-        runs = [_run(found, a, b) for a, b in between_surges_and_dives([x.weight if x.text else None for x in found])]
+        found, parent = lines(page or "", named)
+        weigh = lambda x: x.weight if x.text else None
+        beside = [weigh(x) if not x.body else None for x in found]
+        marked = sum(x.weight for x in found if x.body)
+        if any(x.body for x in found) and marked >= max((sum(w or 0 for w in beside[a:b]) for a, b in between_surges_and_dives(beside)), default=0):
+            weights = [(max(x.weight, SURGE) if x.linked < len(x.text) or x.prose else 0) if x.body and x.text else None for x in found]
+            kept = [x for a, b in between_surges_and_dives(weights) for x in found[a:b] if x.body and x.text]
+            return "\n".join(_clean(kept or [x for x in found if x.body]))
+        runs = [_run(found, a, b) for a, b in between_surges_and_dives([weigh(x) for x in found])]
         if runs and named:
             most = max(range(len(runs)), key=lambda k: (sum(x.weight for x in runs[k]), -k))
-            return "\n".join(x.text for k, run in enumerate(runs) if k == most or _dense(run) for x in run)
-    return "\n".join(x.text for run in runs if _dense(run) and sum(x.prose for x in run) >= WINDOW for x in run)
+            alone = lambda run: len(run) == 1 and not run[0].prose and any(x.prose for x in runs[most])
+            return "\n".join(t for k, run in enumerate(runs) if k == most or (_dense(run) and not alone(run)) for t in _clean(_in_box(run, parent)))
+    return "\n".join(t for run in runs if _dense(run) and sum(x.prose for x in run) >= WINDOW for t in _clean(run))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -127,8 +127,8 @@ ORACLE_SQL = {
         with n as (select doc_id, length(coalesce(text, '')) as chars, {_TEXT_KEY} as t from documents),
         r as (select *, first_value(doc_id) over (partition by t order by chars desc, doc_id) as keep_id, count(*) over (partition by t) as group_size from n)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256, chars as n_chars from r""",
-    # the tables' pages mark their articles, so that a plain pattern finds what the distribution has to find
-    "op4_html_text": r"""with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) as h from pages),
+    # the other way round: what the tables' pages have besides an article is taken away by patterns, and what is left is the article
+    "op4_html_text": r"""with a as (select page_id, url, regexp_replace(coalesce(html, ''), '(?s)<!DOCTYPE[^>]*>|<head>.*?</head>|<!--.*?-->|<nav>.*?</nav>|<aside>.*?</aside>|<form>.*?</form>|<div class="ad">.*?</div>|<footer>.*?</footer>|</?(?:html|body|article)[^>]*>', '', 'g') as h from pages),
     b as (select page_id, url, list_filter(list_transform(regexp_split_to_array(h, '</?(?:p|h1|br)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') as t from a)
     select page_id, url, array_to_string(t, chr(10)) as text, length(array_to_string(t, chr(10))) as n_chars from b""",
     "op11_merkle": _merkle_oracle(),
