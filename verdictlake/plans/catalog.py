@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, grounding, ranking, records, requests, review, upkeep
+from . import chunks, grounding, ranking, records, requests, review, upkeep, vectors
 
-_MODULES = (ranking, chunks, requests, grounding, records, review, upkeep)
+_MODULES = (ranking, chunks, requests, grounding, records, review, upkeep, vectors)
 
 
 def queries() -> dict:

@@ -171,16 +171,16 @@ def pipeline_compare(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, lexical_topk, child_to_parent, dense_topk, dense_text_topk, id_resolution, rrf_three_way, hybrid_rrf, lexical_rerank, retrieval_metrics, gap_report, pipeline_compare)}
 
 _BM25 = rf"""
-tok as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_W}') as w from documents),
-st as (select count(*) as n, avg(len(w)) as avgdl from tok),
+tok as materialized (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_W}') as w from documents),
+st as materialized (select count(*) as n, avg(len(w)) as avgdl from tok),
 dfs as (select term, count(*) as df from (select unnest(list_distinct(w)) as term from tok) group by term),
 raw as materialized (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as r from dfs, st),
 mean as materialized (select avg(r) as m from raw),
 idf as materialized (select term, df, case when r < 0 then 0.25 * m else r end as idf from raw, mean),
-qt as (select item_id as query_id, term, count(*) as qtf from (select item_id, unnest(regexp_extract_all(lower(text), '{_W}')) as term from benchmark) group by all),
-tf as (select doc_id, dl, term, count(*) as tf from (select doc_id, len(w) as dl, unnest(w) as term from tok) where term in (select term from qt) group by all),
+qt as materialized (select item_id as query_id, term, count(*) as qtf from (select item_id, unnest(regexp_extract_all(lower(text), '{_W}')) as term from benchmark) group by all),
+tf as materialized (select doc_id, dl, term, count(*) as tf from (select doc_id, len(w) as dl, unnest(w) as term from tok) where term in (select term from qt) group by all),
 sc as (select query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from tf join qt using (term) join idf using (term), st group by all),
-bm as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc where score > 0)"""
+bm as materialized (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc where score > 0)"""
 _QX = r"""
 qx as (select item_id as query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) as t from benchmark),
 dx as (select doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]{3,}')) as t from documents)"""
@@ -195,8 +195,8 @@ dn as (select q.id as query_id, d.id as doc_id, round(sum(q.c * d.c) / (any_valu
 dz as (select query_id, doc_id, score from dn union all select q.id, d.id, 0.0 from (select id from tv where kind = 'q') q, (select id from tv where kind = 'd') d where (q.id, d.id) not in (select (query_id, doc_id) from dn)),
 de as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from dz)"""
 _CHILDREN = r"""
-ct as (select doc_id, regexp_extract_all(text, '\S+\s*') as t from documents), cw as (select doc_id, t, unnest(range(0, len(t), 96)) as start from ct where len(t) > 0),
-ch as (select doc_id || ':' || (start // 96) as child_id, doc_id as parent_id, array_to_string(t[start + 1 : start + 128], '') as text from cw)"""
+ct as materialized (select doc_id, regexp_extract_all(text, '\S+\s*') as t from documents), cw as materialized (select doc_id, t, unnest(range(0, len(t), 96)) as start from ct where len(t) > 0),
+ch as materialized (select doc_id || ':' || (start // 96) as child_id, doc_id as parent_id, array_to_string(t[start + 1 : start + 128], '') as text from cw)"""
 _VEC = """
 v as (select vec_id, cast(embedding as double[]) as e from embeddings), q as (select vec_id as query_id, e as qe from v where vec_id % 20 = 0),
 p as (select query_id, vec_id as doc_id, round(list_cosine_similarity(qe, e), 6) as cosine, round(-list_distance(qe, e), 6) as l2, round(list_inner_product(qe, e), 6) as dot from q join v on vec_id <> query_id)"""
