@@ -26,6 +26,8 @@ DIGITS = 6
 SHARD_DOCS = 2048
 #: Queries, and pairs of query and term, that are asked at once: they travel to every task.
 BLOCK_QUERIES, BLOCK_PAIRS = 1000, 1_000_000
+#: Asked terms that are sought in the files' statistics, at most.
+PUSHED_TERMS = 500
 #: Terms of a shard in one matrix product.
 BLOCK_TERMS = 4096
 
@@ -85,6 +87,11 @@ class Index:
         """(query_id, doc_id, score): documents by the share of a query's distinct terms that they contain."""
         return self._search(queries, k, False)
 
+    def _hits(self, wanted: DataFrame, terms: list[str]) -> DataFrame:
+        """(shard, t, idf, docs, tfs, dls): postings of the asked terms."""
+        rows = self.postings.where(F.col("term").isin(terms)) if len(terms) <= PUSHED_TERMS else self.postings  # files are sorted by term: few terms read few of their parts
+        return rows.join(F.broadcast(wanted), "term").select("shard", "t", "idf", "docs", "tfs", "dls")
+
     def _search(self, queries: DataFrame, k: int | None, weighted: bool) -> DataFrame:
         words = T.evaluated(queries.select("query_id", "query"), {"w": self.tokens(F.col("query"))})
         asked = words.select("query_id", F.size(F.array_distinct("w")).alias("n"), F.explode_outer("w").alias("term")).where("term is not null").groupBy("query_id", "n", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -106,7 +113,7 @@ class Index:
             pairs = sorted((at[r.term], place[r.query_id], float(r.qtf) if weighted else 1 / r.n) for r in rows)
             idf = {r.term: r.idf for r in rows}
             wanted = self.spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "t": pa.array(range(len(terms)), pa.int32()), "idf": pa.array([idf[t] if weighted else 1.0 for t in terms], pa.float64())}))
-            hits = self.postings.join(F.broadcast(wanted), "term").select("shard", "t", "idf", "docs", "tfs", "dls")  # as many terms as a block has pairs at most
+            hits = self._hits(wanted, terms)  # as many terms as a block has pairs at most
             dealt = hits.repartition(shared.shuffle_partitions(self.spark), "shard").sortWithinPartitions("shard")
             out.append(dealt.mapInArrow(_scorer(ids, to_arrow_type(queries.schema["query_id"].dataType), pairs, self.avgdl if weighted else None, k), schema))
         return reduce(DataFrame.unionByName, out)
@@ -131,6 +138,12 @@ def _scorer(ids: list, id_type: pa.DataType, pairs: list, avgdl: float | None, k
             else:
                 tf, dl = (rows.column(c).combine_chunks().flatten().to_numpy().astype(np.float64) for c in ("tfs", "dls"))
                 weight = np.repeat(idf, lengths) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+            if "gone" in rows.column_names:  # bits of deleted documents, by their place in the shard
+                places = rows.column("places").combine_chunks().flatten().to_numpy()
+                for bits in rows.column("gone").unique().to_pylist():
+                    if bits is not None:
+                        dead = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")[places].astype(bool)
+                        weight[dead] = 0.0
             known, number = np.unique(t, return_inverse=True)
             line, scores = np.repeat(number, lengths), np.zeros((len(ids), len(docs)))
             for at in range(0, len(known), BLOCK_TERMS):
