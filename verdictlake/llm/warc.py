@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import filesystem, new_path, written
+from .scratch import filesystem, new_path, shuffle_partitions, written
 from .textops import batches
 
 #: Magic number of the skippable frame that holds a dictionary.
@@ -195,4 +195,6 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     if held:
                         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, (_, t) in enumerate(fields)], [f for f, _ in fields])
 
-    return manifest.select("path").mapInArrow(run, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
+    # an archive a task, as long as there are shuffle partitions for that
+    tasks = max(1, min(manifest.count(), shuffle_partitions(spark)))
+    return manifest.select("path").repartitionByRange(tasks, "path").mapInArrow(run, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
