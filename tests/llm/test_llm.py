@@ -405,6 +405,14 @@ def test_tiles_leave_no_run_behind():
         assert sum(n for _, _, n in found) == brute_tiles(a, b, 3)
 
 
+def test_short_items_are_compared_whole(spark):
+    items = [(1, "Yes, it is"), (2, "one two three four"), (3, "alone"), (4, "one two three four five"), (5, ""), (6, None), (7, "YES it is")]
+    texts = [(1, "I say: yes -- it is so"), (2, "yes is it"), (3, "one two three four"), (4, "four three two one alone"), (5, "alone"), (6, None), (7, "yes it")]
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    found = sorted((r.doc_id, r.item_id, r.coverage, r.item_tokens) for r in got.collect())
+    assert found == [(1, 1, 1.0, 3), (1, 7, 1.0, 3), (3, 2, 1.0, 4), (4, 3, 1.0, 1), (5, 3, 1.0, 1)]
+
+
 def test_decontamination(spark, edge):
     item = " ".join(f"tok{k}" for k in range(40))
     w = item.split()

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .textops import NOT_ALNUM, _powers, batches, window_hashes, word_hashes
 
@@ -90,13 +91,18 @@ def rolling(tokens: np.ndarray, size: int) -> np.ndarray:
     return (sums[size:] - sums[:-size]) * inverse[: n - size + 1]
 
 
+def _clear(free: np.ndarray, size: int) -> np.ndarray:
+    """Whether each window of ``size`` tokens is free."""
+    taken = np.concatenate([[0], np.cumsum(~free)])
+    return taken[size:] == taken[:-size]
+
+
 def tiles(text: np.ndarray, item: np.ndarray, min_tile: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Tiles (start in text, start in item, length), longest first in each round, none overlapping."""
     free_t, free_i, found = np.ones(len(text), bool), np.ones(len(item), bool), []
     size = min(len(text), len(item))
     while size >= min_tile:
-        clear = lambda free: np.convolve(free, np.ones(size, int), "valid") == size if len(free) >= size else np.zeros(0, bool)  # noqa: E731,B023
-        at_t, at_i = np.flatnonzero(clear(free_t)), np.flatnonzero(clear(free_i))
+        at_t, at_i = np.flatnonzero(_clear(free_t, size)), np.flatnonzero(_clear(free_i, size))
         table: dict[int, list[int]] = {}
         for k, h in zip(at_i.tolist(), rolling(item, size)[at_i].tolist(), strict=True):
             table.setdefault(h, []).append(k)
@@ -139,9 +145,20 @@ class Seeds:
         self.hash = h[order]
         self.item = np.repeat(np.arange(len(texts)), [len(x) for x in hashes])[order]
         self.place = np.concatenate([np.arange(len(x)) for x in hashes])[order] if hashes else np.zeros(0, int)
+        #: Items too short for a seed, by length: hash of the whole item -> items.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k, w in enumerate(self.items):
+            if 0 < len(w) < min_tile:
+                self.short.setdefault(len(w), {}).setdefault(int(window_hashes(w, len(w))[0]), []).append(k)
 
     def matches(self, words: np.ndarray, threshold: float):
         """(item number, coverage, tiles) of each item that ``words`` contains."""
+        for size, known in self.short.items():
+            h = window_hashes(words, size)
+            places = np.flatnonzero(np.isin(h, np.fromiter(known, np.uint64, len(known))))
+            first = np.unique(h[places], return_index=True)[1]
+            for at in sorted(places[first].tolist()):
+                yield from ((item, 1.0, [(at, 0, size)]) for item in known[int(h[at])])
         if len(self.hash) == 0:
             return
         h = window_hashes(words, self.min_tile)
@@ -177,15 +194,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per pair of document and benchmark item that it contains: id, item id, coverage, n_tiles, longest_tile, item_tokens.
 
     Tokens are runs of letters, marks and numbers of Unicode without case, and single characters in scripts without blanks. Items of fewer than ``min_tile``
-    tokens and null or empty texts match nothing; an empty benchmark gives an empty result;
-    repeated rows are reported each; other columns are ignored.
+    tokens are compared whole: a text that has all of their tokens in a row contains them. Null and empty texts match nothing; an empty benchmark, or an empty table, gives an empty result;
+    texts of any length are read whole; of matches that tie the first in the text, then in the item, is marked first; repeated rows are reported each; other columns are ignored.
     """
     types = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = f"id_ {types[0].simpleString()}, item_ {types[1].simpleString()}, coverage double, n_tiles int, longest_tile int, item_tokens int"
     source = docs.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text}`").alias("t_"))
     out = None
     for seeds in _blocks(benchmark, item_col, item_text, min_tile, block_bytes):
-        found = source.mapInArrow(_scan(seeds, threshold), schema)
+        found = source.mapInArrow(_scan(seeds, threshold, to_arrow_type(types[1])), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id_": id_col, "item_": item_col})
 
@@ -200,7 +217,7 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text: str, min_tile: int,
         yield benchmark.sparkSession.sparkContext.broadcast(Seeds([r.i for r in rows], [r.t for r in rows], min_tile))
 
 
-def _scan(seeds, threshold: float):
+def _scan(seeds, threshold: float, item_type: pa.DataType):
     def run(rows):
         s = seeds.value
         for whole in rows:
@@ -210,7 +227,7 @@ def _scan(seeds, threshold: float):
                 if got:
                     at = pa.array([g[0] for g in got], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("id_").take(at), pa.array([g[1] for g in got]), pa.array([g[2] for g in got], pa.float64()), *(pa.array([g[k] for g in got], pa.int32()) for k in (3, 4, 5))],
+                        [batch.column("id_").take(at), pa.array([g[1] for g in got], item_type), pa.array([g[2] for g in got], pa.float64()), *(pa.array([g[k] for g in got], pa.int32()) for k in (3, 4, 5))],
                         ["id_", "item_", "coverage", "n_tiles", "longest_tile", "item_tokens"],
                     )
 
