@@ -135,9 +135,24 @@ def group_lines(words: DataFrame, page: str, tolerance: float = 3.0) -> DataFram
 
 
 def outside_boxes(points: DataFrame, boxes: DataFrame, page: str) -> DataFrame:
-    """Points (page, x, y) that lie in no box (page, x0, y0, x1, y1): a range anti-join within a page."""
-    inside = (points[page] == boxes[page]) & points["x"].between(boxes["x0"], boxes["x1"]) & points["y"].between(boxes["y0"], boxes["y1"])
-    return points.join(boxes, inside, "left_anti")
+    """Points (page, x, y) that lie in no box (page, x0, y0, x1, y1): a range anti-join within a page. Points without a place lie in none.
+
+    A box stands in the cells, four at most, of a grid as coarse as the box is large; a point looks in one cell of each grid that has boxes. So
+    points meet boxes of their own cell only, and a page with very many of both is as many keys as it has cells.
+    """
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1.0))
+    grid = F.ceil(F.log2(side)).cast("int")
+    cell = lambda c, g: F.floor(c / F.pow(F.lit(2.0), g)).cast("long")
+    known = boxes.where("x0 <= x1 and y0 <= y1").select(F.col(page).alias("p_"), "x0", "y0", "x1", "y1", grid.alias("g_"))
+    grids = [r.g_ for r in known.select("g_").distinct().collect()]  # one for each power of two between the smallest and the largest box
+    if not grids:
+        return points
+    placed = known.select("*", F.explode(F.sequence(cell(F.col("x0"), F.col("g_")), cell(F.col("x1"), F.col("g_")))).alias("cx_")).select("*", F.explode(F.sequence(cell(F.col("y0"), F.col("g_")), cell(F.col("y1"), F.col("g_")))).alias("cy_"))
+    asked = points.select(F.col(page).alias("q_"), F.col("x").alias("x_"), F.col("y").alias("y_")).distinct().select("*", F.explode(F.array(*[F.lit(g) for g in sorted(grids)])).alias("h_"))
+    asked = asked.select("q_", "x_", "y_", "h_", cell(F.col("x_"), F.col("h_")).alias("dx_"), cell(F.col("y_"), F.col("h_")).alias("dy_"))
+    same = [F.col("q_") == F.col("p_"), F.col("h_") == F.col("g_"), F.col("dx_") == F.col("cx_"), F.col("dy_") == F.col("cy_")]
+    inside = asked.join(placed, [*same, F.col("x_").between(F.col("x0"), F.col("x1")), F.col("y_").between(F.col("y0"), F.col("y1"))], "left_semi").select("q_", "x_", "y_").distinct()
+    return points.join(inside, [points[page] == inside["q_"], points["x"] == inside["x_"], points["y"] == inside["y_"]], "left_anti")
 
 
 def page_regions(lines: DataFrame, pages: DataFrame, file: str = "file", page: str = "page", edge: float = 0.10, least_height: float = 0.70) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, grounding, increments, ranking, records, requests, review, upkeep, vectors
+from . import chunks, grounding, increments, ranking, records, requests, review, scans, upkeep, vectors
 
-_MODULES = (ranking, chunks, requests, grounding, records, review, upkeep, vectors, increments)
+_MODULES = (ranking, chunks, requests, grounding, records, review, upkeep, vectors, increments, scans)
 
 
 def queries() -> dict:
