@@ -74,7 +74,11 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, depth: int | None = None)
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, attrs) and edges (src, dst, relation, attrs) of a node-link JSON file; attributes are maps of strings."""
+    """Nodes (id, attrs) and edges (src, dst, relation, attrs) of a node-link JSON file, or of a folder that :func:`write_graph` wrote; attributes are maps of strings."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        attrs = "attrs map<string,string>"
+        return spark.read.schema(f"id string, {attrs}").json(f"{path}/nodes"), spark.read.schema(f"src string, dst string, relation string, {attrs}").json(f"{path}/links")
     text = spark.read.text(path, wholetext=True)
     listed = lambda key: text.select(F.explode(F.from_json(F.get_json_object("value", f"$.{key}"), "array<map<string,string>>")).alias("m"))
     rest = lambda *own: F.map_filter("m", lambda k, v: ~k.isin(list(own)))

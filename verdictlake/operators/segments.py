@@ -12,9 +12,7 @@ their deleted documents; a segment that has lost half of its documents is writte
 
 from __future__ import annotations
 
-import json
 import math
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -23,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources import shared
+from ..sources.manifest import Manifest
 from . import index as I
 
 #: Segments of a size class that are merged; a class holds sizes of one power of this.
@@ -47,43 +46,19 @@ class SegmentedIndex(I.Index):
 
     def __init__(self, spark: SparkSession, path: str, tokens: Callable[[Column], Column] = I.bm25_words):
         self.spark, self.path, self.tokens = spark, path, tokens
-        self.version, state = self._last()
-        self._open(state)
-
-    # the manifest
-    def _fs(self):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.path)
-        return hadoop, root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
-
-    def _last(self) -> tuple[int, dict]:
-        hadoop, fs, root = self._fs()
-        fs.mkdirs(root)
-        names = sorted(f.getPath().getName() for f in fs.listStatus(root) if f.getPath().getName().startswith("manifest-"))
-        if not names:
-            return 0, {"segments": [], "bitmaps": None, "terms": None, "n": 0, "tokens": 0, "id_type": "bigint"}
-        rows = self.spark.read.text(_join(self.path, names[-1])).collect()
-        return int(names[-1].removeprefix("manifest-")), json.loads("".join(r.value for r in rows))
+        self.manifest = Manifest(spark, path, {"segments": [], "bitmaps": None, "terms": None, "n": 0, "tokens": 0, "id_type": "bigint"})
+        self._open(self.manifest.state)
 
     def _commit(self, state: dict) -> None:
-        hadoop, fs, root = self._fs()
-        draft, final = hadoop.Path(self._new(".draft")), hadoop.Path(root, f"manifest-{self.version + 1:09d}")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        if fs.exists(final) or not fs.rename(draft, final):
-            raise RuntimeError("the index was changed by another writer: open it again")
-        self.version += 1
+        self.manifest.commit(state)
         self._open(state)
 
-    def _open(self, state: dict) -> None:
-        self.state, self.n, self.id_type = state, state["n"], state["id_type"]
-        self.avgdl = state["tokens"] / state["n"] if state["n"] else 0.0
-        schema = "term string, df long, ctf long, idf double"
-        self.terms = self.spark.read.schema(schema).parquet(state["terms"]) if state["terms"] else self.spark.createDataFrame([], schema)
+    @property
+    def version(self) -> int:
+        return self.manifest.version
 
     def _new(self, name: str) -> str:
-        return _join(self.path, f"{name}-{uuid.uuid4().hex}")
+        return self.manifest.new_path(name)
 
     # tables of the state
     def _docs(self, segments: list[dict]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop, new_path, shuffle_partitions, written
+
 
 def latest(events: DataFrame, key: str, *order: Column) -> DataFrame:
     """The last row per key in the given order (latest wins)."""
@@ -89,9 +91,36 @@ def merged(old: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
 
 
+class SortedRows:
+    """Rows in a fixed order, written in ranges, of which a search by place reads those it needs. Rows that tie stand by a hash of the whole row, which also parts many with one key."""
+
+    def __init__(self, df: DataFrame, order: str):
+        spark = df.sparkSession
+        self.columns, self.order = df.columns, [order, "tie_"]
+        rows = written(df.withColumn("tie_", F.xxhash64(*df.columns)), "unsorted")
+        self.path = new_path(spark, "sorted")
+        dealt = rows.repartitionByRange(shuffle_partitions(spark), *self.order).sortWithinPartitions(*self.order)
+        dealt.withColumn("part_", F.spark_partition_id()).write.partitionBy("part_").parquet(self.path)
+        drop(rows)
+        # an empty table writes no folder of a part
+        self.rows = spark.read.schema(dealt.withColumn("part_", F.lit(0)).schema).parquet(self.path)
+        at, self.starts = 0, []  # as many as there are parts
+        for r in self.rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n")).orderBy("part_").collect():
+            self.starts.append((r.part_, at, r.n))
+            at += r.n
+
+    def range(self, start: int, end: int) -> DataFrame:
+        """Rows start..end-1: only the parts that hold some of them are read, and each counts its own."""
+        met = [(p, at) for p, at, n in self.starts if at < end and start < at + n]
+        rows = self.rows.where(F.col("part_").isin([p for p, _ in met]) if met else F.lit(False))
+        shift = F.coalesce(*[F.when(F.col("part_") == p, F.lit(at)) for p, at in met], F.lit(0))
+        place = shift + F.row_number().over(Window.partitionBy("part_").orderBy(*self.order)) - 1
+        return rows.withColumn("place_", place).where(F.col("place_").between(start, end - 1)).orderBy("place_").select(*self.columns)
+
+
 def row_range(df: DataFrame, order: str, start: int, end: int) -> DataFrame:
-    """Rows start..end-1 in the given order: a limit, then the rest of it, so that only ``end`` rows per task are sorted."""
-    return df.orderBy(order).offset(start).limit(end - start)
+    """Rows start..end-1 in the given order."""
+    return SortedRows(df, order).range(start, end)
 
 
 def new_assignments(requests: DataFrame, at: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, rules, workflow
+from ..sources import shared, tables
 from ..sources.tables import table
 from ..streaming import ingest
 from . import requests
@@ -62,8 +63,34 @@ def new_assignments(spark, sf_dir):
     return made.select("record_id", "assigned_by", "assigned_to", "assignment_id", "action_type", "status")
 
 
-QUERIES = {f.__name__: f for f in (fact_cleanup, reconciliation, page_regions, status_merge, event_routing, new_assignments)}
+def merge_sink_status(spark, sf_dir):
+    """Each user's last event, from batches that reach the sink out of order, some of them twice."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), "event_id", F.col("event_type").alias("status"))
+    path = shared.new_path(spark, "merged")
+    sink = ingest.merge_sink(path)
+    for number, part in enumerate((2, 0, 0, 1, 2)):
+        sink(e.where(F.pmod("event_id", F.lit(3)) == part), number)
+    sink(e, 4)  # a number that is committed already
+    return ingest.merged_table(spark, path, e.schema)
+
+
+def tolerant_props(spark, sf_dir):
+    """A number inside the events' properties, as they are, nested, as a text, as another kind, cut off, or missing."""
+    e = table(spark, sf_dir, "events")
+    n = F.get_json_object("props", "$.k")
+    kind = (F.col("event_id") % 7).cast("int")
+    written = F.get(F.array(
+        F.col("props"), F.concat(F.lit('{"a": {"b": [{"k": '), n, F.lit("}]}}")), F.concat(F.lit('{"k": "'), n, F.lit('"}')), F.lit('{"k": [1, 2]}'), F.expr("left(props, length(props) - 1)"), F.lit('{"k": null}'), F.lit(None).cast("string"),
+    ), kind)
+    rows = e.select("event_id", written.alias("p"))
+    return rows.select("event_id", tables.tolerant_field(F.col("p"), "$.k", "bigint", -1).alias("k"), tables.tolerant_field(F.col("p"), "$.a.b[0].k", "bigint", -2).alias("nested"), tables.tolerant_field(F.col("p"), "$.k", "string", "none").alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (fact_cleanup, reconciliation, page_regions, status_merge, event_routing, new_assignments, merge_sink_status, tolerant_props)}
 ORACLE_SQL = {
+    "merge_sink_status": "select user_id as document_id, max(event_id) as event_id, arg_max(event_type, event_id) as status from events group by user_id",
+    "tolerant_props": """with n as (select event_id, event_id % 7 as f, json_extract_string(props, '$.k') as n from events)
+        select event_id, case when f in (0, 2) then n::bigint else -1 end as k, case when f = 1 then n::bigint else -2 end as nested, case when f in (0, 2) then n when f = 3 then '[1,2]' else 'none' end as text from n""",
     "fact_cleanup": f"with {requests._FACTS} select request_id, destination, currency from facts",
     "reconciliation": """with v as (select o_orderkey, case when o_orderpriority <> '5-LOW' then floor(o_totalprice) end as v from orders)
         select o_orderkey, case when v is null then 'ACTION_REQUIRED' else 'COMPLIANT' end as reported_status, coalesce('$' || format('{:,.2f}', v) || ' USD', 'UNRESOLVED USD') as value_shown, '$250,000.00 USD' as ceiling_shown, coalesce('$' || format('{:,.2f}', v - 250000) || ' USD', 'UNRESOLVED USD') as variance_shown from v""",

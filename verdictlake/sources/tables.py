@@ -125,6 +125,11 @@ def tolerant_map(json: str):
     return F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def tolerant_field(json: str, path: str, kind: str, default):
+    """The value at a path of a JSON text as ``kind``, or ``default`` where the text does not parse, the path leads nowhere, or the value is of another kind or null."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(json), path, kind), F.lit(default).cast(kind))
+
+
 def scan_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files of a folder as (path, modificationTime, length, content, document_id)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.manifest import Manifest
+
 MAX_RETRIES = 3
 EVENT = "event_id long, ts timestamp, document_id long, event_type string, failed boolean"
 #: Event type -> status that it leads to.
@@ -66,6 +68,44 @@ def upsert_sink(path: str, key: str = "document_id"):
     return write
 
 
+#: Folders of keys of a merged table.
+BUCKETS = 32
+
+
+def merge_sink(path: str, key: str = "document_id", order: str = "event_id", buckets: int = BUCKETS):
+    """For ``foreachBatch``: one row per key, the one with the greatest ``order``, whatever batches come, again or late.
+
+    A batch is merged with the buckets of keys that it touches; these are written beside the old ones, and a manifest that names
+    the new ones is renamed into place with the batch's number. A batch that runs again finds its number, or its rows, there already and changes nothing; a run that dies leaves the old
+    table. Rows without a key are left out; of rows of one key and order the greatest stays.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        manifest = Manifest(spark, path, {"buckets": {}, "last": None, "count": buckets})
+        if manifest.state["last"] == number:
+            return
+        count, known = manifest.state["count"], manifest.state["buckets"]
+        rows = batch.where(F.col(key).isNotNull()).withColumn("bucket_", F.pmod(F.xxhash64(key), F.lit(count)).cast("int"))
+        touched = [r.bucket_ for r in rows.select("bucket_").distinct().collect()]  # as many as there are buckets
+        old = [known[str(b)] for b in touched if str(b) in known]
+        if old:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("bucket_", F.pmod(F.xxhash64(key), F.lit(count)).cast("int")))
+        whole = F.struct(order, *[c for c in batch.columns if c != order])
+        merged = rows.groupBy("bucket_", key).agg(F.max(whole).alias("r")).select("bucket_", *[F.col(f"r.{c}").alias(c) for c in batch.columns])
+        place = manifest.new_path("rows")
+        merged.write.partitionBy("bucket_").parquet(place)
+        manifest.commit({"buckets": known | {str(b): f"{place}/bucket_={b}" for b in touched}, "last": number, "count": count})
+
+    return write
+
+
+def merged_table(spark, path: str, schema) -> DataFrame:
+    """The rows that a :func:`merge_sink` committed."""
+    known = Manifest(spark, path, {"buckets": {}}).state["buckets"]
+    return spark.read.schema(schema).parquet(*known.values()) if known else spark.createDataFrame([], schema)
+
+
 #: Wire format of an event.
 WIRE = "event_id string, event_type string, document_id string, content_hash string, source_path string, original_filename string, produced_at timestamp, retry_count int, metadata map<string,string>"
 TOPICS = ("document.ingested", "document.parsed", "embedding.created")
