@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as T
 from ..operators import evidence as E
+from ..operators import names
 from ..operators import retrieval as R
 from ..operators import rules
 from ..sources.shared import shuffle_partitions
+from ..sources.tables import table
 from . import ranking
 from .policy import POLICY, SOURCES
 
@@ -126,7 +128,16 @@ def citation_coverage(spark, sf_dir):
     return df.select("query_id", F.size(found).alias("n_cited"), F.round(E.coverage(found, F.coalesce("want", none)), 6).alias("coverage"))
 
 
-QUERIES = {f.__name__: f for f in (context_score, context_pack, evidence_scores, evidence_select, promoted_source, evidence_reselect, check_evidence, citation_list, citation_validity, citation_coverage)}
+def source_mentions(spark, sf_dir):
+    """Parts' names and nations' names that occur in documents' texts, of all of them at once."""
+    listed = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).unionByName(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower(F.substring("source", 1, 20)), " ")).alias("name"))
+    frequent = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("name")).where(F.length("name") >= 5)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return names.occurring(docs, listed.unionByName(words).unionByName(frequent), "doc_id", "text").select("doc_id", "name")
+
+
+QUERIES = {f.__name__: f for f in (source_mentions, context_score, context_pack, evidence_scores, evidence_select, promoted_source, evidence_reselect, check_evidence, citation_list, citation_validity, citation_coverage)}
 
 
 def _any(column: str, terms) -> str:
@@ -169,6 +180,9 @@ def _line_pass(name: str, expected: str, lines: str = "li") -> str:
 
 _ROUTES = " union all ".join(f"select '{n}' as check_name, [{', '.join(repr(x) for x in s)}] as docs, [{', '.join(repr(x) for x in t)}] as rt" for n, (s, t) in TABLE_POLICY.check_routes.items())
 ORACLE_SQL = {
+    "source_mentions": r"""with l as (select distinct name from (select unnest(string_split(lower(p_name), ' ')) as name from part union all select lower(n_name) from nation union all select lower(source) from documents
+        union all select unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 5)) from benchmark) where name <> '')
+        select doc_id, name from (select doc_id, lower(text) as t from documents) join l on contains(t, name)""",
     "context_score": f"with {_SCORED} select query_id, doc_id, cast(score as integer) as score from cs",
     "context_pack": rf"""with {_SCORED}, f as (select *, row_number() over (partition by query_id, source order by score desc, place) as turn from cs),
         r as (select *, row_number() over (partition by query_id order by case when turn = 1 then 0 else 1 end, score desc, place) as rank from f qualify rank <= 14),
