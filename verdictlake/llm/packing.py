@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textops import batches
+from .tokens import REMEMBERED_BYTES
 from .tokens import encoder as shared_encoder
 
 WINDOW = 2048
@@ -111,12 +112,13 @@ def pack(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int,
     return [w for w in packed if w]
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 1, vocabulary: str | None = None, buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 1, vocabulary: str | None = None, buffer_tokens: int = BUFFER_TOKENS, remembered_bytes: int = REMEMBERED_BYTES) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian, id_bytes each), ids_crc32 (of the ids as unsigned 32-bit integers), doc_tokens, sequence_id, offset, window_tokens, padded_tokens.
 
     A document is its ids plus ``end_id``; start counts its ids before the piece, offset those before
     it in its sequence, window_tokens those that the sequence holds in all, padded_tokens its length once padded (see :func:`padded_sequences`). Null text counts as empty (one piece, the end id); a null id stays null;
     repeated rows are packed one by one; other columns are ignored.
+    Texts of any length are encoded whole; an empty table gives an empty result. ``remembered_bytes`` bounds what a worker keeps of words and their ids, which it has until it ends.
     """
     id_type = docs.schema[id_col].dataType
     source = docs.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text}`").alias("t_"))
@@ -124,7 +126,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def run(rows):
         from pyspark import TaskContext
 
-        encoder = shared_encoder(vocabulary)
+        encoder = shared_encoder(vocabulary, remembered_bytes)
         task = TaskContext.get().partitionId() << 32
         serial, held, tokens = 0, [], 0
         arrow_id = None

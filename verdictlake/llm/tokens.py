@@ -15,8 +15,10 @@ from functools import lru_cache
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words remembered per worker; the rest is encoded anew each time, which bounds the memory.
-REMEMBERED = 1_000_000
+#: Words remembered per worker, and the bytes that they may take with their ids, about; the rest is encoded anew each time, which bounds the memory.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 256 << 20
+#: Bytes of a remembered word beside its own and its ids'.
+_ENTRY = 180
 #: Where a cut at each blank would differ from the library's: blanks beside other white space.
 _WHOLE = re.compile("  |[\n\t\r\x0b\x0c] | [\n\t\r\x0b\x0c]|[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]|<\\|endoftext\\|>")
 #: Punctuation that may be cut off a word's end. Not the apostrophe, which begins contractions.
@@ -64,7 +66,7 @@ class Encoder:
     by default the public 50k vocabulary.
     """
 
-    def __init__(self, path: str | None = None, remembered: int = REMEMBERED):
+    def __init__(self, path: str | None = None, remembered: int = REMEMBERED, remembered_bytes: int = REMEMBERED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,7 +76,7 @@ class Encoder:
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # byte-level: one character of a token stands for one byte
             self.widths[i] = len(token)
-        self.remembered = remembered
+        self.remembered, self.room = remembered, remembered_bytes
         self.tokenizer.model._resize_cache(0)  # every piece is asked for once
         self.known = _Known()
         self.tails: dict[str, bytes] = {}
@@ -119,8 +121,11 @@ class Encoder:
                     self.tails.clear()
                 self.tails[tail] = np.array(self._whole(tail), self.dtype).tobytes()
             new[word] = (new[stem] if stem in new else known[stem]) + self.tails[tail]
-        if len(known) < self.remembered:
-            known.update(new)
+        if len(known) < self.remembered and self.room > 0:
+            size = sum(map(len, new)) + sum(map(len, new.values())) + _ENTRY * len(new)
+            if size <= self.room:
+                self.room -= size
+                known.update(new)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -150,6 +155,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, remembered_bytes: int = REMEMBERED_BYTES) -> Encoder:
     """The worker process's encoder: tasks that run in it later find the vocabulary loaded and its words known."""
-    return Encoder(path)
+    return Encoder(path, remembered_bytes=remembered_bytes)
