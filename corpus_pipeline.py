@@ -17,6 +17,8 @@ from verdictlake.llm.scratch import drop, written
 NEAR_PER_CENT = 80
 #: Keys of dropped rows that are broadcast, at most: some 10 MB. More are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Words and ids that a worker keeps: workers live through all stages, and what they keep adds up.
+WORD_BYTES = 48 << 20
 
 
 def _without(docs: DataFrame, gone: DataFrame, keys: dict) -> DataFrame:
@@ -64,7 +66,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences. Rows that repeat are packed one by one; a null id stays null."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, remembered_bytes=WORD_BYTES)
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", benchmarks), ("packing", pack)]
