@@ -165,7 +165,8 @@ def pipeline_compare(spark, sf_dir):
     bm25, dense = R.bm25(q, words_index(spark, sf_dir), 50), _dense(spark, sf_dir, 50)
     fused = R.rrf(bm25, dense, top=50)
     lists = {"bm25": bm25, "dense": dense, "hybrid": fused, "rerank": R.lexical_rerank(fused, q, d, 50)}
-    return reduce(DataFrame.unionByName, [R.mean_metrics(R.retrieval_metrics(x, g, q)).withColumn("pipeline", F.lit(n)) for n, x in lists.items()])
+    # a row each, written: each list is planned by itself
+    return reduce(DataFrame.unionByName, [shared.written(R.mean_metrics(R.retrieval_metrics(x, g, q)), n).withColumn("pipeline", F.lit(n)) for n, x in lists.items()])
 
 
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, lexical_topk, child_to_parent, dense_topk, dense_text_topk, id_resolution, rrf_three_way, hybrid_rrf, lexical_rerank, retrieval_metrics, gap_report, pipeline_compare)}
