@@ -1,5 +1,6 @@
 """Page scans, text outside boxes, and sections and bodies of scanned pages."""
 
+import os
 import random
 import time
 
@@ -28,6 +29,19 @@ def test_layout():
     assert layout.laid_out(None) == layout.laid_out("") == [] and layout.laid_out("</ul></table>plain")[0][5] == "plain"
 
 
+def test_references_without_semicolon(spark, tmp_path):
+    """Words, lines and text of pages that break off inside a reference agree with SQL."""
+    cut = ["and&amp", "and&am", "and&", "&quot", "a&lt b&copy c", "&amp;&amp", "&amp;lt;", "&amp;&middot;", "&nosuch;", "&ampx; y", "R&D;", "&#x27;x", "&#x27 y"]
+    pages = [(k, f"http://a.b/{k}", f"<h1>Title {t}</h1><ul><li>in {t}</li></ul><p><b>{t}</b> x {t}") for k, t in enumerate(cut)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "parts"))
+    os.rename(next((tmp_path / "parts").glob("*.parquet")), tmp_path / "pages.parquet")
+    for t in set(compare.TABLES) - {"pages"}:
+        os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    assert [i[5] for i in layout.laid_out("<p>and&amp</p><p>&amp;&lt;")] == ["and&amp", "&<"]
+    for name, sql in scans.ORACLE_SQL.items():
+        assert compare.difference(spark, str(tmp_path), scans.QUERIES[name], sql) == ""
+
+
 def test_scan_edges(spark):
     rows = [(1, None), (1, ""), (2, "<p>a b"), (2, "<p>a b"), (None, "x"), (3, "<table><tr><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table>"), (4, "w " * 300_000)]
     df = spark.createDataFrame(rows, "page_id int, html string").selectExpr("*", "1 as kind", "2 as id_")
