@@ -28,12 +28,13 @@ def reconciliation(spark, sf_dir):
 
 def page_regions(spark, sf_dir):
     """Lines laid out from line items: ship mode letters repeat at the edges of an order's pages."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.max("l_returnflag").alias("f"), F.max("l_linestatus").alias("s"), F.max("l_linenumber").alias("n"))
+    li = tables.dealt(spark, sf_dir, "lineitem", ["l_suppkey", "l_orderkey", "l_returnflag", "l_linestatus"], "l_suppkey", "l_orderkey")
+    li = li.groupBy("l_suppkey", "l_orderkey").agg(F.max("l_returnflag").alias("f"), F.max("l_linestatus").alias("s"))
     pages = li.select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("page"), F.lit(100.0).alias("height"))
     line = lambda y, text: F.struct(F.lit(y).alias("y0"), F.lit(y + 5.0).alias("y1"), text.alias("text"))
     made = F.array(line(2.0, F.concat(F.lit("Report "), F.col("f"), F.lit(" page "), F.col("l_orderkey").cast("string"))), line(50.0, F.lit("body")), line(93.0, F.concat(F.lit("Foot "), F.col("s"), F.lit("-"), F.col("f"))))
     lines = li.select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("page"), F.inline(made))
-    return chunking.page_regions(lines, pages)
+    return chunking.page_regions(lines, pages, parts=tables.parts_of(spark, sf_dir, "lineitem"))
 
 
 def status_merge(spark, sf_dir):
