@@ -43,3 +43,15 @@ def _dealt_to(monkeypatch, spark, name, table):
 def test_partitions_follow_the_table(spark, monkeypatch, name):
     dealt = _dealt_to(monkeypatch, spark, name, "lineitem")
     assert max(dealt) in (10, 11) and (name == "page_regions" or min(dealt) >= 10)
+
+
+def test_a_bucket_of_postings_is_several_tasks(spark, tmp_path, monkeypatch):
+    from verdictlake.operators import index as I
+    from verdictlake.operators import segments
+
+    monkeypatch.setattr(segments, "BUCKET_DOCS", 300)
+    monkeypatch.setattr(I, "SHARD_DOCS", 10)
+    found = segments.SegmentedIndex(spark, f"file://{tmp_path}/index")
+    found.add(spark.range(600).selectExpr("id as doc_id", "concat('the w', id % 50) as text"))
+    files = [len(list(d.glob("*.parquet"))) for d in tmp_path.glob("index/segment-*/postings/bucket=*")]
+    assert len(files) == 2 and min(files) >= 4

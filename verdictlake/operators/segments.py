@@ -30,6 +30,8 @@ MERGE = 4
 BUCKET_DOCS = 100_000
 #: Rows of bitmaps (4 KB each) and of ids that are broadcast, at most.
 BROADCAST_BITMAPS, BROADCAST_IDS = 2_000, 200_000
+#: Shards of a task, about: tasks grow in number with the documents, not in size.
+TASK_SHARDS = 2
 _LOCAL = 1 << 24
 
 
@@ -101,15 +103,19 @@ class SegmentedIndex(I.Index):
         shards = max(1, math.ceil(size.n / I.SHARD_DOCS))
         shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long")
         # a shard holds some 2,048 documents, and a bitmap 32,768 places
-        placed = docs.withColumn("shard", shard).withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("doc_id")).cast("long") - 1)
+        placed = docs.withColumn("shard", shard).repartition(self._tasks(size.n), "shard").withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("doc_id")).cast("long") - 1)
         placed.select("shard", "place", "doc_id", "dl", "words", "tfs").write.parquet(_join(path, "docs"))
-        placed = self.spark.read.parquet(_join(path, "docs"))
+        # dealt by shard once: the postings of a shard are made where its documents are
+        placed = self.spark.read.parquet(_join(path, "docs")).repartition(self._tasks(size.n), "shard")
         entries = placed.select("shard", "place", "doc_id", "dl", F.explode(F.arrays_zip("words", "tfs")).alias("e")).select("shard", "place", "doc_id", "dl", F.col("e.words").alias("term"), F.col("e.tfs").alias("tf"))
         buckets = max(1, size.n // BUCKET_DOCS)
         posting = F.sort_array(F.collect_list(F.struct("place", "doc_id", "tf", "dl")))
         rows = entries.groupBy("shard", "term").agg(posting.alias("p")).select("shard", "term", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), F.col("p.place").alias("places"))
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        rows.repartition(min(buckets, 4 * shared.shuffle_partitions(self.spark)) if buckets > 1 else shared.shuffle_partitions(self.spark), *(["bucket"] if buckets > 1 else ["term"])).sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(_join(path, "postings"))
+        # a bucket is several tasks, by shard: none gathers all documents of a bucket or of a hot term
+        parts = math.ceil(shards / buckets / TASK_SHARDS)
+        rows = rows.withColumn("part_", F.pmod("shard", F.lit(parts)))
+        rows.repartition(max(shared.shuffle_partitions(self.spark), buckets * parts), "bucket", "part_").drop("part_").sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(_join(path, "postings"))
         entries.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("ctf")).write.parquet(_join(path, "terms"))
         shared.drop(docs)
         return {"no": no, "path": path, "n": size.n, "live": size.n, "tokens": size.tokens or 0, "buckets": buckets, "lost": []}
@@ -125,12 +131,17 @@ class SegmentedIndex(I.Index):
             shared.drop(counts)
         self._commit({"segments": segments, "bitmaps": bitmaps, "terms": terms, "n": n, "tokens": tokens, "id_type": self.id_type})
 
+    def _tasks(self, n: int) -> int:
+        return max(shared.shuffle_partitions(self.spark), math.ceil(n / (TASK_SHARDS * I.SHARD_DOCS)))
+
     def _without(self, ids: DataFrame) -> tuple[list[dict], str | None]:
         """Segments and bitmaps after the documents of ``ids`` went."""
         segments = [dict(s, lost=list(s["lost"])) for s in self.state["segments"]]
         if not segments:
             return segments, self.state["bitmaps"]
-        going = shared.written(self._live(segments).join(_small(ids.select("doc_id").distinct(), BROADCAST_IDS), "doc_id", "left_semi"), "going")
+        gone, live, known = ids.select("doc_id").distinct(), self._live(segments), sum(s["n"] for s in segments)
+        going = live.join(F.broadcast(gone), "doc_id", "left_semi") if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else live.repartition(self._tasks(known), "doc_id").join(gone, "doc_id", "left_semi")
+        going = shared.written(going, "going")
         per = {r.seg: r for r in going.groupBy("seg").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens")).collect()}
         if not per:
             shared.drop(going)
@@ -154,7 +165,8 @@ class SegmentedIndex(I.Index):
         """Adds (doc_id, text); documents that are known get the new text. Of rows that repeat an id in ``docs`` the greatest text stays; null ids are left out."""
         if not self.state["segments"]:
             self.id_type = docs.schema["doc_id"].dataType.simpleString()
-        rows = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", self.tokens(F.col("text")).alias("w"))
+        dealt = docs.where("doc_id is not null").select("doc_id", "text").repartition(self._tasks(docs.count()), "doc_id")
+        rows = dealt.groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", self.tokens(F.col("text")).alias("w"))
         words = rows.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         pairs = F.filter(F.collect_list(F.struct("term", "tf")), lambda x: x["term"].isNotNull())
         whole = shared.written(words.groupBy("doc_id", "dl").agg(pairs.alias("p")).select("doc_id", F.greatest("dl", F.lit(0)).alias("dl"), F.col("p.term").alias("words"), F.col("p.tf").alias("tfs")), "added")
