@@ -55,3 +55,37 @@ def test_a_bucket_of_postings_is_several_tasks(spark, tmp_path, monkeypatch):
     found.add(spark.range(600).selectExpr("id as doc_id", "concat('the w', id % 50) as text"))
     files = [len(list(d.glob("*.parquet"))) for d in tmp_path.glob("index/segment-*/postings/bucket=*")]
     assert len(files) == 2 and min(files) >= 4
+
+
+def test_exhaustive_search_is_bounded(monkeypatch):
+    """4,096 queries against 20,000 rows, many of them equal, in little memory; the first ten by score and then id."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from verdictlake.operators import retrieval as R
+
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(20_000, 16)), 1)
+    x[r.integers(0, 20_000, 9_000)] = x[7]
+    x[11] = np.nan
+    ids = r.permutation(20_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[at : at + 5000]), pa.array(list(x[at : at + 5000]))], ["doc_id", "embedding"]) for at in range(0, 20_000, 5000)]
+    asked = list(range(4096))
+    q = x[np.argsort(ids)[:4096]]
+    for metric in ("cosine", "l2", "dot"):
+        tracemalloc.start()
+        got = pa.Table.from_batches(list(R._best_of_task(asked, pa.int64(), q, metric, 10, True)(iter(batches))))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200e6
+        rows = list(zip(*(got.column(c).to_pylist() for c in ("query_id", "doc_id", "score"))))
+        for n in (0, 7, 511, 512, 4095):
+            with np.errstate(invalid="ignore"):
+                dots = x @ q[n]
+                s = {"dot": dots, "l2": -np.sqrt(np.maximum((q[n] ** 2).sum() + (x**2).sum(1) - 2 * dots, 0)), "cosine": dots / (np.sqrt((q[n] ** 2).sum() * (x**2).sum(1)) + 1e-300)}[metric]
+            want = sorted((-round(float(v), 6), int(i)) for v, i in zip(s, ids) if np.isfinite(v) and i != n)[:10]
+            mine = sorted((-v, d) for a, d, v in rows if a == n)
+            assert len(mine) == (10 if want else 0) and np.allclose([v for v, _ in want], [v for v, _ in mine], atol=2e-6)
+            assert metric != "dot" or [i for _, i in want] == [d for _, d in mine]
