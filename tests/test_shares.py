@@ -89,3 +89,19 @@ def test_exhaustive_search_is_bounded(monkeypatch):
             mine = sorted((-v, d) for a, d, v in rows if a == n)
             assert len(mine) == (10 if want else 0) and np.allclose([v for v, _ in want], [v for v, _ in mine], atol=2e-6)
             assert metric != "dot" or [i for _, i in want] == [d for _, d in mine]
+
+
+def test_cells_are_found_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from verdictlake.operators import ann
+
+    r = np.random.default_rng(6)
+    x, centres = r.normal(size=(5000, 8)), r.normal(size=(4096, 8))
+    tracemalloc.start()
+    got = ann.nearest(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and all(got[k] == ((centres - x[k]) ** 2).sum(1).argmin() for k in range(0, 5000, 97))
