@@ -105,3 +105,11 @@ def test_cells_are_found_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6 and all(got[k] == ((centres - x[k]) ** 2).sum(1).argmin() for k in range(0, 5000, 97))
+
+
+@pytest.mark.parametrize("name", ["check_evidence", "context_pack", "child_to_parent"])
+def test_ranked_lists_are_searched_once(spark, name):
+    """Lists are read back where they are used, and few rows do not move the documents."""
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Broadcast" in plan
+    assert compare.difference(spark, SF, catalog.queries()[name], catalog.oracle_sql()[name]) == ""
