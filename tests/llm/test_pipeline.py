@@ -70,3 +70,15 @@ def test_language_stage_without_languages(spark):
     held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 3 == 1)
     tiny = spark.createDataFrame([(held, "some text", "en")], docs.schema)
     assert corpus_pipeline.language(spark, tiny, SF).count() == 1
+
+
+def test_workers_keep_nothing_of_other_stages(spark):
+    """A worker that encoded texts has forgotten the vocabulary once a task of another operator runs in it, and a packing task finds it again."""
+    from verdictlake.llm import textops, tokens
+
+    kept = tokens.encoder(None, 1 << 20)
+    seen = []
+    assert list(textops.lean(lambda rows: (seen.append(tokens.encoder.cache_info().currsize) or r for r in rows), "encoder")([1, 2])) == [1, 2]
+    assert seen == [1, 1] and tokens.encoder(None, 1 << 20) is kept
+    assert list(textops.lean(lambda rows: (seen.append(tokens.encoder.cache_info().currsize) or r for r in rows))([3])) == [3]
+    assert seen[2:] == [0]

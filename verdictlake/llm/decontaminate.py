@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .textops import NOT_ALNUM, _powers, batches, window_hashes, word_hashes
+from .textops import NOT_ALNUM, _powers, batches, lean, window_hashes, word_hashes
 
 MIN_TILE = 5
 THRESHOLD = 0.5
@@ -202,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     source = docs.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text}`").alias("t_"))
     out = None
     for seeds in _blocks(benchmark, item_col, item_text, min_tile, block_bytes):
-        found = source.mapInArrow(_scan(seeds, threshold, to_arrow_type(types[1])), schema)
+        found = source.mapInArrow(lean(_scan(seeds, threshold, to_arrow_type(types[1]))), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id_": id_col, "item_": item_col})
 
@@ -238,7 +238,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """Rows of ``docs`` that contain no benchmark item: a filter in the scan, without a shuffle; each row is judged by itself."""
     out = docs
     for seeds in _blocks(benchmark, item_col, item_text, min_tile, block_bytes):
-        out = out.mapInArrow(_clean(seeds, text, threshold), docs.schema)
+        out = out.mapInArrow(lean(_clean(seeds, text, threshold)), docs.schema)
     return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import drop, written
-from .textops import batches
+from .textops import batches, lean
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -147,7 +147,7 @@ def fit_prototypes(labelled: DataFrame, fit_rows: int = FIT_ROWS, dimensions: in
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<f4").tobytes() for v in sums.values()], pa.binary())], ["lang", "v"])
 
     total: dict[str, np.ndarray] = {}
-    for r in sorted(sample.mapInArrow(run, "lang string, v binary").collect(), key=lambda r: (r.lang, r.v)):
+    for r in sorted(sample.mapInArrow(lean(run), "lang string, v binary").collect(), key=lambda r: (r.lang, r.v)):
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.v, "<f4").astype(np.float64)
     drop(counts)
     langs = sorted(total)
@@ -198,4 +198,4 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text:
                     margin.append(float(likeness[best] - rest.max()) if len(rest) else float(likeness[best]))
                 yield pa.RecordBatch.from_arrays([batch.column("row_"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["row_", "lang_pred", "score", "margin"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

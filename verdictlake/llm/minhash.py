@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import drop, shuffle_partitions, written
-from .textops import batches, mix, shingle_set, utf8, word_hashes
+from .textops import batches, lean, mix, shingle_set, utf8, word_hashes
 
 ROWS, BANDS, BITS = 7, 36, 8
 FIELDS = ROWS * BANDS
@@ -94,7 +94,7 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
                     sigs.append(signature(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def _bands(classes: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column("c").to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "c"])
 
-    return classes.select("c", "sig").mapInArrow(run, "key long, c long")
+    return classes.select("c", "sig").mapInArrow(lean(run), "key long, c long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
@@ -120,7 +120,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, FIELDS) for k in ("sa", "sb"))
                 yield batch.select(["a", "b"]).filter(pa.array(estimate((x == y).sum(axis=1)) >= cut))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, per_cent: int, width: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, per_cent: int, width: int) ->
                     keep.append(100 * common >= per_cent * (len(x) + len(y) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _dealt(members: DataFrame) -> DataFrame:
@@ -256,9 +256,9 @@ def _across(members: DataFrame, docs: DataFrame, cut: float, per_cent: int, widt
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     schema = "key long, c long, comp long, n long, sig binary, own int, i int, j int"
-    named = written(dealt(_dealt(members)).mapInArrow(name, schema), "named")
+    named = written(dealt(_dealt(members)).mapInArrow(lean(name), schema), "named")
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("c"), "text")
-    out = written(dealt(named.join(texts, "c").select(*named.columns, "text")).mapInArrow(link, "a long, b long").distinct(), "links")
+    out = written(dealt(named.join(texts, "c").select(*named.columns, "text")).mapInArrow(lean(link), "a long, b long").distinct(), "links")
     drop(named)
     return out
 

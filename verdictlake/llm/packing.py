@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import batches
+from .textops import batches, lean
 from .tokens import REMEMBERED_BYTES
 from .tokens import encoder as shared_encoder
 
@@ -118,7 +118,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     A document is its ids plus ``end_id``; start counts its ids before the piece, offset those before
     it in its sequence, window_tokens those that the sequence holds in all, padded_tokens its length once padded (see :func:`padded_sequences`). Null text counts as empty (one piece, the end id); a null id stays null;
     repeated rows are packed one by one; other columns are ignored.
-    Texts of any length are encoded whole; an empty table gives an empty result. ``remembered_bytes`` bounds what a worker keeps of words and their ids, which it has until it ends.
+    Texts of any length are encoded whole; an empty table gives an empty result. ``remembered_bytes`` bounds what a worker keeps of words and their ids, which it has until it ends or another operator's task begins in it.
     """
     id_type = docs.schema[id_col].dataType
     source = docs.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text}`").alias("t_"))
@@ -171,7 +171,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         if held:
             yield from emit()
 
-    out = source.mapInArrow(run, SCHEMA.format(id_type=id_type.simpleString()))
+    out = source.mapInArrow(lean(run, "encoder"), SCHEMA.format(id_type=id_type.simpleString()))
     return out.withColumnRenamed("id_", id_col)
 
 

@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .textops import KEPT
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Words remembered per worker, and the bytes that they may take with their ids, about; the rest is encoded anew each time, which bounds the memory.
 REMEMBERED, REMEMBERED_BYTES = 1_000_000, 256 << 20
@@ -158,3 +160,6 @@ class Encoder:
 def encoder(path: str | None = None, remembered_bytes: int = REMEMBERED_BYTES) -> Encoder:
     """The worker process's encoder: tasks that run in it later find the vocabulary loaded and its words known."""
     return Encoder(path, remembered_bytes=remembered_bytes)
+
+
+KEPT["encoder"] = encoder.cache_clear
