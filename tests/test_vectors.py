@@ -114,3 +114,21 @@ def test_queries(spark):
     top = vectors.lsa_topk(spark, SF)
     assert top.groupBy("query_id").count().where("count <> 10").count() == 0
     assert vectors.lsa_hybrid_rrf(spark, SF).count() and vectors.ann_topk(spark, SF).count()
+
+
+def test_compared_lists_are_searched_once(spark, monkeypatch):
+    """What the measures of a comparison read is written: no plan of theirs searches again, or seeks the relevant documents again."""
+    from verdictlake.operators import retrieval as R
+    from verdictlake.plans import ranking
+
+    plans, real = [], R.retrieval_metrics
+
+    def watched(lists, relevant, queries, *more):
+        plans.extend(x._jdf.queryExecution().optimizedPlan().toString() for x in (lists, relevant))
+        return real(lists, relevant, queries, *more)
+
+    monkeypatch.setattr(R, "retrieval_metrics", watched)
+    for name in ("bm25_topk",):  # the index is built before
+        ranking.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert ranking.pipeline_compare(spark, "/root/testdata/sf0.001").count() == 4
+    assert len(plans) == 8 and not any("MapInArrow" in p or "Contains" in p for p in plans)
