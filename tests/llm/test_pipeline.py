@@ -76,6 +76,7 @@ def test_workers_keep_nothing_of_other_stages(spark):
     """A worker that encoded texts has forgotten the vocabulary once a task of another operator runs in it, and a packing task finds it again."""
     from verdictlake.llm import textops, tokens
 
+    tokens.encoder.cache_clear()
     kept = tokens.encoder(None, 1 << 20)
     seen = []
     assert list(textops.lean(lambda rows: (seen.append(tokens.encoder.cache_info().currsize) or r for r in rows), "encoder")([1, 2])) == [1, 2]
