@@ -132,3 +132,30 @@ def test_compared_lists_are_searched_once(spark, monkeypatch):
         ranking.QUERIES[name](spark, "/root/testdata/sf0.001").count()
     assert ranking.pipeline_compare(spark, "/root/testdata/sf0.001").count() == 4
     assert len(plans) == 8 and not any("MapInArrow" in p or "Contains" in p for p in plans)
+
+
+def test_shares_of_a_fit_do_not_grow_with_partitions(spark):
+    """A pass over a table of many partitions, with very many shuffle partitions, emits one share for each task that runs at once at most."""
+    import numpy as np
+
+    from verdictlake.operators import embedding
+
+    old, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    frame = type(spark.range(1))
+    real = frame.coalesce
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('word', id % 7, ' and ', id % 11) as text").repartition(40)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "500")
+        frame.coalesce = lambda self, n: (seen.append(n), real(self, n))[1]
+        rows = embedding.hashed_rows(docs, 64)
+        basis = np.random.default_rng(1).standard_normal((64, 4)).astype(np.float32)
+        out, square = embedding._product(rows, np.ones(64, np.float32), basis)
+    finally:
+        frame.coalesce = real
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism < 500
+    matrix = np.zeros((400, 64), np.float32)
+    for r in embedding.hashed_rows(docs, 64).collect():
+        matrix[r.doc_id, r.features] = r.weights
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    assert np.allclose(out, matrix.T @ (matrix @ basis), atol=1e-3) and np.allclose(square, (matrix @ basis).T @ (matrix @ basis), atol=1e-3)
